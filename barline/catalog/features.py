@@ -53,7 +53,7 @@ ALL_COLS = ema_columns(9, 20, 21) | MACD_COLS | RSI_COLS | ADX_COLS | {
     "mo": ("NULL", f"""CASE WHEN s.rn < 12 THEN NULL
    WHEN s.rn = 12 THEN s.mom ELSE {step('mo', 's.mom', 2 / 7)} END""")}
 ALL_SRC = GL + ATR_CTE + DM + MOM + """,
-src AS (SELECT b.*, gain, loss, pdm, mdm, atr14, atr20, mom, mid, sd
+src AS (SELECT b.*, gain, loss, pdm, mdm, a.atr14, a.atr20, mom, mid, sd
         FROM b JOIN g USING (symbol, rn) JOIN d2 USING (symbol, rn) JOIN m USING (symbol, rn)
         JOIN a ON a.symbol = b.symbol AND a.ts = b.ts)"""
 HH, LL = full_sql("max", "high", 14), full_sql("min", "low", 14)

@@ -40,24 +40,46 @@ def _differenced(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def add_ffd(blocks: DataFrame, columns: list[str], d: float, threshold: float = 1e-5,
-            keys=("symbol",)) -> DataFrame:
-    """Adds ``<column>_ffd`` to a frame in blocks; NULL until the kernel is full."""
+def _rolling_zscore(x: np.ndarray, window: int, chunk: int = 8192) -> np.ndarray:
+    """0 until the window is full and on constant windows; two-pass deviations per window."""
+    out = np.zeros(x.size)
+    for start in range(window - 1, x.size, chunk):
+        end = min(start + chunk, x.size)
+        frames = np.lib.stride_tricks.sliding_window_view(x[start - window + 1:end], window)
+        sd = frames.std(axis=1, ddof=1)
+        vary = frames.max(axis=1) > frames.min(axis=1)  # NaN compares false
+        z = np.divide(x[start:end] - frames.mean(axis=1), sd, out=np.zeros(end - start),
+                      where=vary & (sd > 0))
+        out[start:end] = z
+    return out
+
+
+def add_block_features(blocks: DataFrame, ffd_columns: list[str] = (), d: float = 0.5,
+                       threshold: float = 1e-5, zscore_columns: list[str] = (),
+                       window: int = 252, keys=("symbol",)) -> DataFrame:
+    """Adds ``<column>_ffd`` and ``<column>_zscore`` in one pass over each block.
+
+    Both need frames of hundreds of rows for every value. A moving window in the engine would
+    re-aggregate each frame from scratch, for every column.
+    """
     weights = ffd_weights(d, threshold)
-    names = [f"{c}_ffd" for c in columns]
 
-    def convolve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn", kind="stable")
-        done = {n: _differenced(pdf[c].to_numpy(dtype=float, na_value=np.nan), weights)
-                for c, n in zip(columns, names)}
+
+        def values(c):
+            return pdf[c].to_numpy(dtype=float, na_value=np.nan)
+        done = {f"{c}_ffd": _differenced(values(c), weights) for c in ffd_columns}
+        done |= {f"{c}_zscore": _rolling_zscore(values(c), window) for c in zscore_columns}
         return pdf.assign(**done)
 
+    ffd_names = [f"{c}_ffd" for c in ffd_columns]
+    names = ffd_names + [f"{c}_zscore" for c in zscore_columns]
     schema = T.StructType(blocks.schema.fields
                           + [T.StructField(n, T.DoubleType()) for n in names])
-    out = blocks.groupBy(*keys, "blk").applyInPandas(convolve, schema)
+    out = blocks.groupBy(*keys, "blk").applyInPandas(per_block, schema)
     # NaN crosses the Arrow border as NaN; the engine's missing value is NULL
-    nullable = {n: F.when(~F.isnan(n), F.col(n)) for n in names}
-    return out.withColumns(nullable)
+    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in ffd_names})
 
 
 def ffd(bars: DataFrame, columns: list[str], d: float = 0.5, threshold: float = 1e-5,
@@ -65,7 +87,7 @@ def ffd(bars: DataFrame, columns: list[str], d: float = 0.5, threshold: float =
     df = bars.select("symbol", "ts", *columns, *[c for c in ("rn",) if c in bars.columns])
     df = in_blocks(df, len(ffd_weights(d, threshold)) - 1, block_rows=block_rows)
     df = df.withColumns({c: F.col(c).cast("double") for c in columns})
-    out = add_ffd(df, columns, d, threshold).filter("core")
+    out = add_block_features(df, columns, d, threshold).filter("core")
     return out.select("symbol", "ts", *[f"{c}_ffd" for c in columns])
 
 

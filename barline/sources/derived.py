@@ -53,3 +53,53 @@ def bars_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.col("event_type").alias("symbol"), "ts", v.alias("open"),
                      v.alias("high"), v.alias("low"), v.alias("close"),
                      F.lit(1).cast("bigint").alias("volume"))
+
+
+def ohlcv(spark: SparkSession, sf_dir: str, timeframe: str) -> DataFrame:
+    return rollup(event_ticks(spark, sf_dir), timeframe)
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    entry = F.col("o_totalprice") / 100
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("symbol"),
+        (F.col("o_custkey") % 50 + 1).cast("int").alias("quantity"),
+        entry.alias("entry_price"),
+        (entry * (1 + ((F.col("o_orderkey") % 21) - 10) / 100)).alias("current_price"),
+        F.when(F.col("o_custkey") % 3 == 0, "SHORT").otherwise("LONG").alias("position_type"),
+        F.col("o_orderdate").alias("entry_time"),
+        F.when(F.col("o_orderstatus") == "F", "CLOSED").otherwise("OPEN").alias("status"))
+
+
+def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        (F.col("o_totalprice") / 100 * (1 + ((F.col("o_orderkey") % 13) - 6) / 100))
+        .alias("exit_price"),
+        F.expr("o_orderdate + INTERVAL '5' DAY").alias("exit_time"))
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), "ts",
+        F.when(F.col("user_id") % 2 == 0, "CONFLUENCE").otherwise("TECHNICAL").alias("signal_type"),
+        F.when(F.col("value") > 15, "LONG").otherwise("SHORT").alias("direction"),
+        (F.col("value") / 100).alias("strength"))
+
+
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("metric_name"),
+                     F.col("value").alias("metric_value"), F.col("props").alias("labels"))
+
+
+def trades_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed trades: pnl is the order total against the average of its symbol."""
+    o = table(spark, sf_dir, "orders")
+    mean = o.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("_mean"))
+    return o.join(mean, "o_orderpriority").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("symbol"),
+        F.col("o_orderdate").alias("ts"), (F.col("o_totalprice") - F.col("_mean")).alias("pnl"))
