@@ -9,11 +9,10 @@ from barline.catalog.features import ALL_INDICATORS
 from barline.catalog.labels import PREDICTIONS, SYMBOLS, actuals, predictions
 from barline.catalog.stats import RET, daily_returns
 from barline.operators import align, regimes, scores
-from barline.operators import features as feat
 from barline.operators import tables as tb
 from barline.session import scratch_path
 from barline.sources import derived as src
-from barline.sources.derived import bars_series
+from barline.sources.derived import indicator_table
 
 WITH = f"WITH {NUMBERED}\n"
 
@@ -149,7 +148,7 @@ TECH = f"""te AS (SELECT *, {CLIP(f"(0.15e0 * ((rsi - 50) / 50) + 0.15e0 * {CLIP
 
 
 def indicator_rows(spark, d):
-    df = feat.all_indicators(bars_series(spark, d))
+    df = indicator_table(spark, d)
     return df.select("symbol", "ts", *TECH_COLS,
                      (F.greatest(F.least((F.col("volume") - 100) / 100, F.lit(1.0)), F.lit(-1.0))).alias("sentiment"),
                      F.when(F.col("open") > F.col("close"), 0.5).otherwise(0.0).alias("fundamental"),
@@ -259,7 +258,7 @@ def rolling_corr(spark, d):
 def market_months(spark, d):
     c = regimes.corr_by(daily_returns(spark, d), F.date_trunc("month", "ts"))
     c = c.groupBy("bucket").agg(F.avg("corr").alias("avg_corr"), F.max("corr").alias("max_corr"))
-    z = feat.all_indicators(bars_series(spark, d)).groupBy(F.date_trunc("month", "ts").alias("bucket")).agg(
+    z = indicator_table(spark, d).groupBy(F.date_trunc("month", "ts").alias("bucket")).agg(
         (F.avg("natr") / 1000).alias("volatility"), (F.avg("adx") * 1.6).alias("trend"))
     return c.join(z, "bucket")
 

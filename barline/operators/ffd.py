@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barline.functions import ratio
 from barline.plans.series import in_blocks
 
 
@@ -95,3 +96,50 @@ def ffd_conv(bars: DataFrame, column: str, d: float = 0.5, threshold: float = 1e
              block_rows: int | None = None) -> DataFrame:
     """As ``ffd``, keeping only rows with a full kernel."""
     return ffd(bars, [column], d, threshold, block_rows).filter(F.col(f"{column}_ffd").isNotNull())
+
+
+def optimal_d(bars: DataFrame, column: str = "close", step: float = 0.05, top: float = 1.0,
+              threshold: float = 1e-5, critical: float = -2.86, min_rows: int = 20,
+              block_rows: int | None = None) -> DataFrame:
+    """Smallest differencing order whose series passes a Dickey-Fuller test, per symbol.
+
+    The test regresses the change on the level with a constant. Every block differences its rows
+    at all orders and hands on the regression sums only, which then add up per (symbol, order).
+    Without a pass the order with the lowest statistic wins; 0.5 if no series is long enough.
+    """
+    grid = [round(step * (i + 1), 10) for i in range(int(round(top / step)))]
+    kernels = {d: ffd_weights(d, threshold) for d in grid}
+    sums = ["n", "x", "y", "xx", "xy", "yy"]
+
+    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn", kind="stable")
+        values, core = pdf[column].to_numpy(dtype=float), pdf["core"].to_numpy()
+        out = []
+        for d, w in kernels.items():
+            level = _differenced(values, w)
+            x, dy = level[:-1], np.diff(level)
+            use = core[1:] & ~np.isnan(dy)
+            x, dy = x[use], dy[use]
+            out.append((pdf["symbol"].iloc[0], d, float(x.size), x.sum(), dy.sum(), x @ x, x @ dy,
+                        dy @ dy))
+        return pd.DataFrame(out, columns=["symbol", "d", *sums])
+
+    df = bars.select("symbol", "ts", F.col(column).cast("double").alias(column),
+                     *[c for c in ("rn",) if c in bars.columns])
+    blocks = in_blocks(df, max(len(w) for w in kernels.values()), block_rows=block_rows)
+    schema = "symbol string, d double, " + ", ".join(f"{c} double" for c in sums)
+    t = blocks.groupBy("symbol", "blk").applyInPandas(per_block, schema)
+    t = t.groupBy("symbol", "d").agg(*[F.sum(c).alias(c) for c in sums])
+    n = F.col("n")
+    sxx = F.col("xx") - F.col("x") * F.col("x") / n
+    sxy = F.col("xy") - F.col("x") * F.col("y") / n
+    syy = F.col("yy") - F.col("y") * F.col("y") / n
+    t = t.filter((n >= min_rows - 1) & (sxx > 0)).withColumn("slope", sxy / sxx).withColumn(
+        "stat", ratio(F.col("slope"), F.sqrt(ratio(syy - F.col("slope") * sxy, (n - 2) * sxx))))
+    best = t.groupBy("symbol").agg(
+        F.min(F.when(F.col("stat") < critical, F.col("d"))).alias("_pass"),
+        F.min_by("d", "stat").alias("_least"), F.count(F.lit(1)).alias("orders_tested"))
+    out = bars.select("symbol").distinct().join(best, "symbol", "left")
+    return out.select("symbol", F.coalesce("_pass", "_least", F.lit(0.5)).alias("d"),
+                      F.col("_pass").isNotNull().alias("stationary"),
+                      F.coalesce("orders_tested", F.lit(0)).alias("orders_tested"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barline.functions import bounded, ratio, zero_if_null
 from barline.functions.cols import rows
 from barline.plans.series import block_window, core_rows, number_rows, running, split_blocks
+from barline.sources.stored import stage
 
 # The default limits.
 RISK_PER_TRADE, MAX_POSITION, MAX_EXPOSURE = 0.02, 0.10, 0.20
@@ -89,15 +90,12 @@ def trailing_stop(path: DataFrame, block_rows: int | None = None) -> DataFrame:
 
 
 def with_streak(df: DataFrame, keys=("symbol",), block_rows: int | None = None) -> DataFrame:
-    """Losing trades in a row: distance to the last trade that was no loss.
+    """Losing trades in a row: losses since the last trade that was none.
 
     Needs ``rn`` and ``pnl``; rows without pnl (other events) leave the streak alone.
     """
-    df = running(df, {"_losses": ("sum", F.when(F.col("pnl") < 0, 1.0).otherwise(0.0))}, keys,
-                 block_rows)
-    df = running(df, {"_base": ("max", F.when(F.col("pnl") >= 0, F.col("_losses")))}, keys, block_rows)
-    return df.withColumn("loss_streak", (F.col("_losses") - zero_if_null("_base")).cast("long")) \
-        .drop("_losses", "_base")
+    loss = F.when(F.col("pnl") < 0, 1).otherwise(0).cast("long")
+    return running(df, {"loss_streak": ("since", loss, F.col("pnl") >= 0)}, keys, block_rows)
 
 
 def loss_streak(trades: DataFrame, block_rows: int | None = None) -> DataFrame:
@@ -184,13 +182,12 @@ def breaker_level(log: DataFrame, starting_equity: float = 100_000.0, seconds: i
                   block_rows: int | None = None) -> DataFrame:
     """Breaker level after each log row (symbol, ts, id, kind, pnl). Levels only escalate."""
     df = trailing_count(log, F.col("kind") == "error", seconds, "errors", "symbol")
+    df = stage(number_rows(df, ("symbol",), ("ts", "id"), 6 * 3600), "breaker-log")
     df = df.withColumn("_day", F.to_date("ts"))
-    df = number_rows(df, ("symbol", "_day"), ("ts", "id"), 3600, name="rn")
     df = running(df, {"day_loss": ("sum", F.when(F.col("pnl") < 0, F.col("pnl")).otherwise(0.0))},
-                 ("symbol", "_day"), block_rows).drop("rn", "_day")
-    df = number_rows(df, ("symbol",), ("ts", "id"), 6 * 3600)
+                 ("symbol", "_day"), block_rows)
     df = with_streak(df, block_rows=block_rows).withColumn("_raw", raw_level(starting_equity))
-    df = running(df, {"_level": ("max", F.col("_raw"))}, block_rows=block_rows)
+    df = running(stage(df, "breaker-state"), {"_level": ("max", F.col("_raw"))}, block_rows=block_rows)
     names = F.array(*[F.lit(x) for x in LEVELS])
     return df.select("symbol", "ts", "id", "kind", "errors", "loss_streak", "day_loss",
                      F.element_at(names, F.col("_level") + 1).alias("level"))

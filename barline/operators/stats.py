@@ -128,10 +128,10 @@ def equity_curve(trades: DataFrame, start: float = 100_000.0, scale: float = 1.0
     """Running equity, its peak (at least the start) and drawdown per symbol."""
     df = trades if "rn" in trades.columns else number_rows(
         trades, ("symbol",), ("ts", "id"), bucket_seconds=30 * 86400)
-    df = running(df, {"_sum": ("sum", F.col("pnl") / scale)}, block_rows=block_rows)
-    df = df.withColumn("equity", F.col("_sum") + start).drop("_sum")
-    df = running(df, {"_peak": ("max", F.col("equity"))}, block_rows=block_rows)
-    df = df.withColumn("peak", F.greatest(F.col("_peak"), F.lit(start))).drop("_peak")
+    step = F.col("pnl") / scale
+    df = running(df, {"_sum": ("sum", step), "_peak": ("peak", step)}, block_rows=block_rows)
+    df = (df.withColumn("equity", F.col("_sum") + start)
+          .withColumn("peak", F.greatest(F.col("_peak"), F.lit(0.0)) + start).drop("_sum", "_peak"))
     return df.withColumn("drawdown", ratio(F.col("peak") - F.col("equity"), "peak"))
 
 

@@ -79,29 +79,59 @@ def in_blocks(df: DataFrame, before: int = 0, after: int = 0, keys: Sequence[str
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def running(df: DataFrame, totals: dict[str, tuple[str, Column]], keys: Sequence[str] = ("symbol",),
+def running(df: DataFrame, totals: dict[str, tuple], keys: Sequence[str] = ("symbol",),
             block_rows: int | None = None) -> DataFrame:
-    """Running sum / max / min from the first row of each series to the current row.
-
-    ``totals`` maps an output name to ``(kind, column)``. ``df`` carries ``rn``.
+    """Running values from the first row of each series to the current row.
+
+    ``totals`` maps an output name to one of
+      ("sum" | "max" | "min", x)   the running aggregate
+      ("peak", x)                  the highest running sum of x so far
+      ("since", x, reset)          the sum of x since the last row with ``reset``
+    ``df`` carries ``rn``. Each block is scanned on its own; one row per block carries the state
+    on, so chained values come out of one pass instead of nested ones.
     """
     keys = list(keys)
-    size = block_rows or BLOCK_ROWS
-    b = df.withColumn("_rb", F.floor(F.col("rn") / size))
-    for name, (_, c) in totals.items():
-        b = b.withColumn(f"_x_{name}", c)
+    b = df.withColumn("_rb", F.floor(F.col("rn") / (block_rows or BLOCK_ROWS)))
     local = Window.partitionBy(*keys, "_rb").orderBy("rn").rowsBetween(
         Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, 0)
     prior = Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = b.groupBy(*keys, "_rb").agg(
-        *[_COMBINE[k](f"_x_{n}").alias(f"_t_{n}") for n, (k, _) in totals.items()])
-    blocks = blocks.select(*keys, "_rb", *[
-        _COMBINE[k](f"_t_{n}").over(prior).alias(f"_p_{n}") for n, (k, _) in totals.items()])
-    b = b.select("*", *[_COMBINE[k](f"_x_{n}").over(local).alias(f"_l_{n}")
-                        for n, (k, _) in totals.items()])
-    b = b.join(blocks, [*keys, "_rb"])
-    for name, (kind, _) in totals.items():
-        lo, pre = F.col(f"_l_{name}"), F.col(f"_p_{name}")
-        both = {"sum": lo + pre, "max": F.greatest(lo, pre), "min": F.least(lo, pre)}[kind]
-        b = b.withColumn(name, both if kind != "sum" else F.coalesce(both, lo, pre))
-    return b.drop("_rb", *[f"_{t}_{n}" for n in totals for t in ("x", "l", "p")])
+    first, second, blocks, prefix, out = [], [], [], [], []
+    for n, (kind, x, *reset) in totals.items():
+        b = b.withColumn(f"_x_{n}", x)
+        agg = _COMBINE.get(kind, F.sum)
+        first.append(agg(f"_x_{n}").over(local).alias(f"_l_{n}"))
+        lo, pre = F.col(f"_l_{n}"), F.col(f"_p_{n}")
+        if kind in _COMBINE:
+            blocks.append(agg(f"_x_{n}").alias(f"_t_{n}"))
+            prefix.append([(f"_p_{n}", agg(f"_t_{n}").over(prior))])
+            merged = {"sum": F.coalesce(lo + pre, lo, pre), "max": F.greatest(lo, pre),
+                      "min": F.least(lo, pre)}[kind]
+            out.append((n, merged))
+        elif kind == "peak":
+            second.append(F.max(lo).over(local).alias(f"_m_{n}"))
+            blocks += [F.sum(f"_x_{n}").alias(f"_t_{n}"), F.max(lo).alias(f"_h_{n}")]
+            prefix.append([(f"_p_{n}", F.coalesce(F.sum(f"_t_{n}").over(prior), F.lit(0))),
+                           (f"_q_{n}", F.max(pre + F.col(f"_h_{n}")).over(prior))])
+            out.append((n, F.greatest(pre + F.col(f"_m_{n}"), F.col(f"_q_{n}"))))
+        else:
+            b = b.withColumn(f"_r_{n}", F.coalesce(reset[0], F.lit(False)))
+            second.append(F.max(F.when(F.col(f"_r_{n}"), lo)).over(local).alias(f"_m_{n}"))
+            blocks += [F.sum(f"_x_{n}").alias(f"_t_{n}"),
+                       F.max(F.when(F.col(f"_r_{n}"), lo)).alias(f"_h_{n}")]
+            # x is not negative, so the running sum at the last reset is the largest at any reset
+            prefix.append([(f"_c_{n}", F.sum(f"_t_{n}").over(upto)),
+                           (f"_p_{n}", F.coalesce(F.sum(f"_t_{n}").over(prior), F.lit(0)) - F.coalesce(
+                               F.max(F.col(f"_c_{n}") - F.col(f"_t_{n}") + F.col(f"_h_{n}")).over(prior),
+                               F.lit(0)))])
+            out.append((n, F.coalesce(lo - F.col(f"_m_{n}"), lo + F.coalesce(pre, F.lit(0)))))
+    b = b.select("*", *first)
+    if second:
+        b = b.select("*", *second)
+    state = b.groupBy(*keys, "_rb").agg(*blocks)
+    for stage in range(max(len(p) for p in prefix)):
+        state = state.select("*", *[p[stage][1].alias(p[stage][0]) for p in prefix if stage < len(p)])
+    carried = [name for p in prefix for name, _ in p]
+    b = b.join(state.select(*keys, "_rb", *carried), [*keys, "_rb"])
+    kept = [F.col(c) for c in df.columns if c not in totals]
+    return b.select(*kept, *[c.alias(n) for n, c in out])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.operators.bars import rollup
+from barline.operators.features import all_indicators
 from barline.plans.series import number_rows
 from barline.sources.stored import stored
 
@@ -103,3 +104,8 @@ def trades_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(mean, "o_orderpriority").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("symbol"),
         F.col("o_orderdate").alias("ts"), (F.col("o_totalprice") - F.col("_mean")).alias("pnl"))
+
+
+def indicator_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All indicators of the daily bars, written once per session like any feature store."""
+    return stored(spark, sf_dir, "indicators", lambda: all_indicators(bars_series(spark, sf_dir)))

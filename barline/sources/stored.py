@@ -23,3 +23,10 @@ def stored(spark: SparkSession, sf_dir: str, name: str,
         build().write.parquet(path)
         _PATHS[key] = path
     return spark.read.parquet(_PATHS[key])
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """A written stage boundary: what follows reads the rows instead of recomputing them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
