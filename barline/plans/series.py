@@ -42,8 +42,11 @@ def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequenc
 
 
 def split_blocks(df: DataFrame, before: int = 0, after: int = 0,
-                 block_rows: int | None = None) -> DataFrame:
-    """Adds ``blk`` and ``sub``; halo rows are repeated in the neighbouring blocks."""
+                 block_rows: int | None = None, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Adds ``blk`` and ``sub``; halo rows are repeated in the neighbouring blocks.
+
+    Shuffled once by (keys, blk), which every window over a block and any part of it accepts.
+    """
     size = block_rows or BLOCK_ROWS
     rn = F.col("rn")
     own = F.floor(rn / size)
@@ -54,7 +57,8 @@ def split_blocks(df: DataFrame, before: int = 0, after: int = 0,
     else:
         df = df.withColumn("blk", own)
     return (df.withColumn("sub", F.floor(rn / SUB_ROWS))
-            .withColumn("core", F.col("blk") == own))
+            .withColumn("core", F.col("blk") == own)
+            .repartition(*keys, "blk"))
 
 
 def block_window(keys: Sequence[str] = ("symbol",)) -> WindowSpec:
@@ -73,7 +77,7 @@ def in_blocks(df: DataFrame, before: int = 0, after: int = 0, keys: Sequence[str
     """number_rows + split_blocks; a frame that is already numbered is not numbered again."""
     if "rn" not in df.columns:
         df = number_rows(df, keys, order, bucket_seconds, with_total=with_total)
-    return split_blocks(df, before, after, block_rows)
+    return split_blocks(df, before, after, block_rows, keys)
 
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
