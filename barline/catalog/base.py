@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.session import use_utc
+from barline.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None, rnd: str = "", digits: int =
     """``rnd`` names the oracle's double columns; both sides round them to ``digits``."""
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(fn(use_utc(spark), sf_dir), digits)
+            return rounded(fn(prepare(spark), sf_dir), digits)
         run.__name__ = name
         assert name not in QUERIES, name
         QUERIES[name] = run

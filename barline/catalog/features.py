@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.catalog.base import BARS, full_sql, lag_sql, register, std_sql, zscore_sql
+from barline.catalog.base import BARS, full_sql, lag_sql, register, zscore_sql
 from barline.catalog.indicators import (
     ADX_COLS, ATR_CTE, DM, GL, MACD_COLS, MOM, RSI_COLS, SQUEEZE_OUT, ema_columns, ewm_sql,
     rsi_sql,

@@ -13,7 +13,6 @@ from barline.catalog.stats import psr_sql, MOM, SHARPE
 from barline.functions import norm_cdf_sql
 from barline.operators import folds, labels, models
 from barline.operators import ffd as ffd_ops
-from barline.operators import tables as tb
 from barline.session import scratch_path
 from barline.sources import derived as src
 from barline.sources.derived import bars_series, indicator_table

@@ -19,7 +19,7 @@ def align_signals(technical: DataFrame, **scores: DataFrame) -> DataFrame:
 
 
 def asof_join(left: DataFrame, right: DataFrame, value: str, key: str = "symbol", ts: str = "ts",
-              tie: Sequence[str] = (), bucket_seconds: int = 86400) -> DataFrame:
+              tie: Sequence[str] = (), bucket_seconds: int = 3600) -> DataFrame:
     """Newest ``value`` at or before each left row.
 
     The union is scanned per (key, time bucket); what a bucket inherits is the last value of the

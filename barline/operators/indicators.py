@@ -6,7 +6,7 @@ take a bars frame and return (symbol, ts, values).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from barline.functions import bounded, filled, full, ratio, zero_if_null
@@ -70,7 +70,7 @@ def zscore_col(x: str, window: int, w: WindowSpec | None = None) -> Column:
 
 
 def with_atr(df: DataFrame, *periods: int) -> DataFrame:
-    df = df if "_tr" in df.columns else df.withColumn("_tr", true_range())
+    df = df.withColumn("_tr", true_range())
     return df.select("*", *[sma_col(p, "_tr").alias(f"_atr_{p}") for p in periods])
 
 
@@ -87,12 +87,12 @@ def sma(bars: DataFrame, *periods: int, block_rows: int | None = None) -> DataFr
 
 
 def with_bollinger(df: DataFrame, period: int = 20, width: float = 2.0) -> DataFrame:
-    df = df.withColumn("bb_middle", sma_col(period)).withColumn("_bb_sd", std_col(period))
-    df = (df.withColumn("bb_upper", F.col("bb_middle") + F.col("_bb_sd") * width)
-          .withColumn("bb_lower", F.col("bb_middle") - F.col("_bb_sd") * width))
+    df = df.withColumns({"bb_middle": sma_col(period), "_bb_sd": std_col(period)})
+    mid, reach = F.col("bb_middle"), F.col("_bb_sd") * width
     # the exact zero test keeps rounding noise out of 0/0
-    pct = ratio(F.col("close") - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower"))
-    return df.withColumn("bb_pct_b", filled(F.when(F.col("_bb_sd") > 0, pct), 0.5)).drop("_bb_sd")
+    pct = ratio(F.col("close") - (mid - reach), reach * 2)
+    return df.withColumns({"bb_upper": mid + reach, "bb_lower": mid - reach,
+                           "bb_pct_b": filled(F.when(F.col("_bb_sd") > 0, pct), 0.5)})
 
 
 def bollinger(bars: DataFrame, period: int = 20, width: float = 2.0,
@@ -236,9 +236,8 @@ def ema(bars: DataFrame, *periods: int, x: str = "close", block_rows: int | None
 
 def gain_loss(df: DataFrame) -> DataFrame:
     delta = zero_if_null(F.col("close") - lagged("close", 1))
-    return (df.withColumn("_delta", delta)
-            .withColumn("_gain", F.when(F.col("_delta") > 0, F.col("_delta")).otherwise(0.0))
-            .withColumn("_loss", F.when(F.col("_delta") < 0, -F.col("_delta")).otherwise(0.0)))
+    return df.withColumns({"_gain": F.greatest(delta, F.lit(0.0)),
+                           "_loss": F.greatest(-delta, F.lit(0.0))})
 
 
 def rsi_specs(*periods: int) -> dict[str, Ewm]:
@@ -302,10 +301,10 @@ def squeeze_columns(df: DataFrame, atr_name: str = "_atr_20", mid: str = "kc_mid
     def inside(mult):
         return ((F.col("bb_upper") < F.col(mid) + F.col(atr_name) * mult)
                 & (F.col("bb_lower") > F.col(mid) - F.col(atr_name) * mult))
-    return (df.withColumn("squeeze", inside(1.5).cast("int"))
-            .withColumn("squeeze_pro",
-                        F.when(inside(1.0), 1.0).when(inside(1.5), 0.5).otherwise(0.0))
-            .withColumn("squeeze_momentum", zero_if_null("_mom_ewm")))
+    return df.withColumns({
+        "squeeze": inside(1.5).cast("int"),
+        "squeeze_pro": F.when(inside(1.0), 1.0).when(inside(1.5), 0.5).otherwise(0.0),
+        "squeeze_momentum": zero_if_null("_mom_ewm")})
 
 
 def momentum_spec() -> Ewm:
@@ -322,21 +321,18 @@ def squeeze_pro(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
 
 
 def directional_moves(df: DataFrame) -> DataFrame:
-    up = filled(F.greatest(F.col("high") - lagged("high", 1), F.lit(0.0)), 0.0)
-    down = filled(F.greatest(lagged("low", 1) - F.col("low"), F.lit(0.0)), 0.0)
-    first = F.col("rn") == 0
-    df = (df.withColumn("_up", F.when(first, 0.0).otherwise(up))
-          .withColumn("_down", F.when(first, 0.0).otherwise(down)))
+    up = zero_if_null(F.when(F.col("rn") > 0, F.greatest(F.col("high") - lagged("high", 1), F.lit(0.0))))
+    down = zero_if_null(F.when(F.col("rn") > 0, F.greatest(lagged("low", 1) - F.col("low"), F.lit(0.0))))
+    df = df.withColumns({"_up": up, "_down": down})
     # on a tie the upward move is zeroed first and the downward one survives
-    return (df.withColumn("_pdm", F.when(F.col("_up") > F.col("_down"), F.col("_up"))
-                          .otherwise(0.0))
-            .withColumn("_mdm", F.when(F.col("_down") > F.col("_pdm"), F.col("_down"))
-                        .otherwise(0.0)))
+    return df.withColumns({
+        "_pdm": F.when(F.col("_up") > F.col("_down"), F.col("_up")).otherwise(0.0),
+        "_mdm": F.when(F.col("_down") >= F.col("_up"), F.col("_down")).otherwise(0.0)})
 
 
-def di_columns(df: DataFrame, period: int = 14) -> DataFrame:
-    df = (df.withColumn("_pdi", ratio("_pdm_ewm", f"_atr_{period}") * 100)
-          .withColumn("_mdi", ratio("_mdm_ewm", f"_atr_{period}") * 100))
+def di_columns(df: DataFrame, period: int = 14, **more: Column) -> DataFrame:
+    df = df.withColumns({"_pdi": ratio("_pdm_ewm", f"_atr_{period}") * 100,
+                         "_mdi": ratio("_mdm_ewm", f"_atr_{period}") * 100, **more})
     return df.withColumn("_dx", zero_if_null(
         ratio(F.abs(F.col("_pdi") - F.col("_mdi")), F.col("_pdi") + F.col("_mdi")) * 100))
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.functions import ratio
-from barline.plans.series import BLOCK_ROWS, block_window, core_rows, in_blocks, number_rows
-from barline.plans.series import split_blocks
+from barline.plans.series import (
+    block_size, block_window, core_rows, in_blocks, number_rows, split_blocks,
+)
 from barline.session import scratch_path
 
 
@@ -117,7 +118,7 @@ def triple_barrier(spark: SparkSession, bars: DataFrame, rise: float = 0.02, fal
     if "n" not in bars.columns:
         bars = number_rows(bars.drop("rn"), with_total=True)
     bars = bars.select("symbol", "ts", "rn", "n", "close")
-    size = block_rows or BLOCK_ROWS
+    size = block_rows or block_size(reach)
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn", kind="stable")

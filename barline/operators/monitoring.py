@@ -114,11 +114,18 @@ def ks_test(spark: SparkSession, reference: DataFrame, current: DataFrame,
             .filter(F.col("value").isNotNull()))
     marks = [i / slices for i in range(1, slices)]
     path = scratch_path(spark, "ks-cuts")
-    both.groupBy("feature").agg(F.percentile_approx("value", marks, 10 * slices).alias("cuts")) \
-        .withColumn("cuts", F.array_sort(F.array_distinct("cuts"))).write.parquet(path)
+    cuts = both.groupBy("feature").agg(F.percentile_approx("value", marks, 10 * slices).alias("cuts"))
+    cuts = cuts.withColumn("cuts", F.array_sort(F.array_distinct("cuts")))
+    # cut points in chunks of 16: a value is looked up among the chunk heads, then in one chunk
+    starts = F.sequence(F.lit(1), F.size("cuts"), F.lit(16))
+    cuts = cuts.select("feature", F.transform(starts, lambda i: F.slice("cuts", i, 16)).alias("chunks"))
+    cuts.withColumn("heads", F.transform("chunks", lambda c: c[0])).write.parquet(path)
     counts = both.groupBy("feature", "value").agg(F.sum("_r").alias("_r"), F.sum("_c").alias("_c"))
-    counts = counts.join(spark.read.parquet(path), "feature").withColumn(
-        "slice", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    counts = counts.join(spark.read.parquet(path), "feature")
+    chunk = F.size(F.filter("heads", lambda c: c < F.col("value")))
+    within = F.size(F.filter(F.get("chunks", chunk - 1), lambda c: c < F.col("value")))
+    counts = counts.withColumn("slice", F.when(chunk == 0, 0).otherwise((chunk - 1) * 16 + within)) \
+        .drop("chunks", "heads")
     local = Window.partitionBy("feature", "slice").orderBy("value").rowsBetween(
         Window.unboundedPreceding, 0)
     per_feature = Window.partitionBy("feature")

@@ -15,7 +15,7 @@ RISK_PER_TRADE, MAX_POSITION, MAX_EXPOSURE = 0.02, 0.10, 0.20
 KELLY_SHARE, ATR_STOPS, TRAIL, MAX_DRAWDOWN = 0.25, 2.0, 0.05, 0.10
 MAX_ERRORS, ERROR_SECONDS = 5, 60
 LEVELS = ["normal", "warn", "soft_halt", "hard_halt"]
-TRADE_BUCKET = 30 * 86400
+TRADE_BUCKET = 86400
 
 
 def whole(c: Column) -> Column:
@@ -157,8 +157,9 @@ def time_blocks(df: DataFrame, reach_seconds: int, block_seconds: int, ts: str =
 
 
 def trailing_count(df: DataFrame, cond: Column, seconds: int, name: str, key: str,
-                   block_seconds: int = 6 * 3600) -> DataFrame:
+                   block_seconds: int | None = None) -> DataFrame:
     """Rows with ``cond`` in the last ``seconds`` up to and including the row's own time."""
+    block_seconds = block_seconds or max(900, 8 * seconds)  # copies stay below an eighth
     w = Window.partitionBy(key, "_tb").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
     out = time_blocks(df, seconds, block_seconds).withColumn(name, F.count(F.when(cond, 1)).over(w))
     return out.filter("_own").drop("_us", "_tb", "_own")
@@ -182,7 +183,7 @@ def breaker_level(log: DataFrame, starting_equity: float = 100_000.0, seconds: i
                   block_rows: int | None = None) -> DataFrame:
     """Breaker level after each log row (symbol, ts, id, kind, pnl). Levels only escalate."""
     df = trailing_count(log, F.col("kind") == "error", seconds, "errors", "symbol")
-    df = stage(number_rows(df, ("symbol",), ("ts", "id"), 6 * 3600), "breaker-log")
+    df = stage(number_rows(df, ("symbol",), ("ts", "id"), 3600), "breaker-log")
     df = df.withColumn("_day", F.to_date("ts"))
     df = running(df, {"day_loss": ("sum", F.when(F.col("pnl") < 0, F.col("pnl")).otherwise(0.0))},
                  ("symbol", "_day"), block_rows)

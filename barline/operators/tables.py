@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from barline.functions import ratio, timeframe_seconds
 from barline.operators.bars import BAR_COLUMNS, bucket_start
+from barline.sources.stored import stage
 
 # Bar sizes with a stored rollup; anything else reads the daily one.
 ROLLUPS = {"1min": "ohlcv_1min", "1hour": "ohlcv_1hour", "1day": "ohlcv_daily",
@@ -142,6 +143,18 @@ def upsert_bars(stored: DataFrame, fresh: DataFrame) -> DataFrame:
         *[F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_n_{c}")).alias(c) for c in keep])
 
 
+def upsert_partitions(spark: SparkSession, path: str, fresh: DataFrame) -> None:
+    """Upserts into a bars table stored by ``date``: only the days the new rows touch are read,
+    merged and replaced."""
+    day = F.to_date("ts")
+    fresh = fresh.withColumn("date", day)
+    touched = fresh.select("date").distinct()
+    old = spark.read.parquet(path).join(touched, "date", "left_semi")
+    merged = stage(upsert_bars(old.drop("date"), fresh.drop("date")), "bars-merged")
+    (merged.withColumn("date", day).write.mode("overwrite").partitionBy("date")
+     .option("partitionOverwriteMode", "dynamic").parquet(path))
+
+
 def to_long(features: DataFrame, names: Sequence[str], version: str, created_at) -> DataFrame:
     """Wide features to (symbol, ts, feature_name, feature_value) rows without NULLs."""
     typed = features.select("symbol", "ts", *[F.col(n).cast("double").alias(n) for n in names])
@@ -248,7 +261,6 @@ def last_n(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str],
     Each (key, bucket) keeps its own newest n first, so the final ranking of a hot key sees at
     most n rows per bucket; buckets are spread over tasks.
     """
-    from pyspark.sql import Window
     newest = [F.desc(c) for c in order]
     local = Window.partitionBy(*keys, "_b").orderBy(*newest)
     overall = Window.partitionBy(*keys).orderBy(*newest)

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SUB_ROWS = 1024          # grain of the exponential averages
-BLOCK_ROWS = 64 * SUB_ROWS
+BLOCK_ROWS = 16 * SUB_ROWS   # blocks of running totals
+MIN_BLOCK = 8 * SUB_ROWS
 DAY = 86400
 BAR_BUCKET = 180 * DAY   # calendar bucket for bar tables
 TICK_BUCKET = 6 * 3600   # for event and tick tables
@@ -41,23 +42,28 @@ def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequenc
             .drop("_bk", "_off", "_pos"))
 
 
+def block_size(halo: int) -> int:
+    """Rows per block: many blocks for parallelism, but halo copies stay below an eighth."""
+    return max(MIN_BLOCK, -(-8 * halo // SUB_ROWS) * SUB_ROWS)
+
+
 def split_blocks(df: DataFrame, before: int = 0, after: int = 0,
                  block_rows: int | None = None, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Adds ``blk`` and ``sub``; halo rows are repeated in the neighbouring blocks.
 
     Shuffled once by (keys, blk), which every window over a block and any part of it accepts.
     """
-    size = block_rows or BLOCK_ROWS
+    size = block_rows or block_size(before + after)
     rn = F.col("rn")
     own = F.floor(rn / size)
     if before or after:
         first = F.floor(F.greatest(rn - after, F.lit(0)) / size)
         last = F.floor((rn + before) / size)
-        df = df.withColumn("blk", F.explode(F.sequence(first, last)))
+        blk = F.explode(F.sequence(first, last))
     else:
-        df = df.withColumn("blk", own)
-    return (df.withColumn("sub", F.floor(rn / SUB_ROWS))
-            .withColumn("core", F.col("blk") == own)
+        blk = own
+    df = df.select("*", F.floor(rn / SUB_ROWS).alias("sub"), own.alias("_own"), blk.alias("blk"))
+    return (df.withColumn("core", F.col("blk") == F.col("_own")).drop("_own")
             .repartition(*keys, "blk"))
 
 

@@ -8,27 +8,36 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Window frames cost CPU, not bytes: a block of a few hundred kilobytes is a full task's work,
+# so small shuffle partitions must not be folded into one.
+SQL_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+}
+
+
 def get_spark(app: str = "barline", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
+    for key, value in {**SQL_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Event times are UTC; calendar days and rollup buckets depend on it."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Runtime settings every job relies on; event times are UTC."""
+    for key, value in SQL_SETTINGS.items():
+        spark.conf.set(key, value)
     return spark
 
 

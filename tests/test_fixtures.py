@@ -4,7 +4,6 @@ import datetime as dt
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +318,19 @@ def test_timeframes():
     assert tables.lookback_days(252, "15Min") == 3
     with pytest.raises(ValueError):
         timeframe_seconds("1Fortnight")
+
+
+def test_upsert_replaces_touched_days_only(spark, tmp_path):
+    t = [dt.datetime(2024, 1, d, 10) for d in (1, 2, 3)]
+    ddl = ("symbol string, ts timestamp, open double, high double, low double, close double, volume bigint, "
+           "vwap double, trade_count int")
+    path = str(tmp_path / "bars")
+    old = spark.createDataFrame([("A", x, 9., 10., 8., 9., 5, 9.5, 3) for x in t], ddl)
+    old.withColumn("date", F.to_date("ts")).write.partitionBy("date").parquet(path)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "bars" / "date=2024-01-01").glob("*.parquet")}
+    fresh = spark.createDataFrame([("A", t[1], 1., 1., 1., 1., 1, 0., 0), ("B", t[1], 2., 2., 2., 2., 2, 2., 2)], ddl)
+    tables.upsert_partitions(spark, path, fresh)
+    rows = {(r["symbol"], r["ts"].day): r for r in spark.read.parquet(path).collect()}
+    assert len(rows) == 4 and rows["A", 2]["close"] == 1 and rows["A", 2]["vwap"] == 9.5
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "bars" / "date=2024-01-01").glob("*.parquet")}
+    assert before == after
