@@ -38,13 +38,13 @@ FFD_SQL = f"""WITH RECURSIVE {WEIGHTS.format(d=0.8)}, {BARS}, {NUM}, c AS ({conv
 SELECT symbol, ts, close_ffd, volume_ffd FROM b LEFT JOIN c USING (symbol, rn)"""
 
 
-@register("ffd", FFD_SQL, "close_ffd volume_ffd", digits=5)
+@register("ffd", FFD_SQL, "close_ffd volume_ffd", digits=4)
 def ffd(spark, d):
     return ffd_ops.ffd(bars_series(spark, d), ["close", "volume"], 0.8)
 
 
 @register("ffd_conv", f"""SELECT symbol, ts, close_ffd FROM ({FFD_SQL}) WHERE close_ffd IS NOT NULL""",
-          "close_ffd", digits=5)
+          "close_ffd", digits=4)
 def ffd_conv(spark, d):
     return ffd_ops.ffd_conv(bars_series(spark, d), "close", 0.8)
 
@@ -93,14 +93,14 @@ BAR_LIST = "symbol, ts, open, high, low, close, volume"
 
 
 @register("all_indicators", f"{ALL_INDICATORS} SELECT {BAR_LIST}, {', '.join(feat.BASE)} FROM z",
-          f"{PRICES} {BASE_DOUBLES}", digits=5)
+          f"{PRICES} {BASE_DOUBLES}", digits=4)
 def all_indicators(spark, d):
     return feat.all_indicators(bars_series(spark, d))
 
 
 @register("drop_warmup", f"{ALL_INDICATORS} SELECT symbol, ts, close, rsi, macd, atr FROM z "
           "WHERE close IS NOT NULL AND rsi IS NOT NULL AND macd IS NOT NULL AND atr IS NOT NULL",
-          "close rsi macd atr")
+          "close rsi macd atr", digits=4)
 def drop_warmup(spark, d):
     return feat.drop_warmup(feat.all_indicators(bars_series(spark, d))).select(
         "symbol", "ts", "close", "rsi", "macd", "atr")

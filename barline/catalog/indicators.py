@@ -18,7 +18,7 @@ TR = f"""t AS (SELECT *, greatest(high - low, abs(high - {lag_sql('close', 1)}),
                                   abs(low - {lag_sql('close', 1)})) AS tr FROM bars)"""
 
 
-@register("bollinger", BB_OUT, "close bb_upper bb_middle bb_lower bb_pct_b")
+@register("bollinger", BB_OUT, "close bb_upper bb_middle bb_lower bb_pct_b", digits=4)
 def bollinger(spark, d):
     return ind.bollinger(bars_series(spark, d))
 
@@ -32,12 +32,12 @@ def upper_band_crossings(spark, d):
 
 @register("sma", WITH + "SELECT symbol, ts, " + ", ".join(
     f"{full_sql('avg', 'close', p)} AS sma_{p}" for p in (20, 50, 200)) + " FROM bars",
-    "sma_20 sma_50 sma_200")
+    "sma_20 sma_50 sma_200", digits=4)
 def sma(spark, d):
     return ind.sma(bars_series(spark, d), 20, 50, 200)
 
 
-@register("atr", f"{WITH}, {TR} SELECT symbol, ts, {full_sql('avg', 'tr', 14)} AS atr FROM t", "atr")
+@register("atr", f"{WITH}, {TR} SELECT symbol, ts, {full_sql('avg', 'tr', 14)} AS atr FROM t", "atr", digits=4)
 def atr(spark, d):
     return ind.atr(bars_series(spark, d))
 
@@ -103,7 +103,7 @@ DH, DL = full_sql("max", "high", 20), full_sql("min", "low", 20)
 
 
 @register("donchian", f"""{WITH} SELECT symbol, ts, {DH} AS dc_upper, ({DH} + {DL}) / 2 AS dc_middle,
-  {DL} AS dc_lower FROM bars""", "dc_upper dc_middle dc_lower")
+  {DL} AS dc_lower FROM bars""", "dc_upper dc_middle dc_lower", digits=4)
 def donchian(spark, d):
     return ind.donchian(bars_series(spark, d))
 
@@ -177,7 +177,7 @@ def ema_columns(*periods: int) -> dict[str, tuple[str, str]]:
 
 @register("ema", ewm_sql(ema_columns(9, 12, 20, 21, 26)) + """
 SELECT symbol, ts, e9 AS ema_9, e12 AS ema_12, e20 AS ema_20, e21 AS ema_21, e26 AS ema_26
-FROM e JOIN b USING (symbol, rn)""", "ema_9 ema_12 ema_20 ema_21 ema_26")
+FROM e JOIN b USING (symbol, rn)""", "ema_9 ema_12 ema_20 ema_21 ema_26", digits=4)
 def ema(spark, d):
     return ind.ema(bars_series(spark, d), 9, 12, 20, 21, 26)
 
@@ -210,7 +210,7 @@ MACD_COLS = ema_columns(12, 26) | {
 
 @register("macd", ewm_sql(MACD_COLS) + """
 SELECT symbol, ts, e12 - e26 AS macd, sig AS macd_signal, e12 - e26 - sig AS macd_histogram
-FROM e JOIN b USING (symbol, rn)""", "macd macd_signal macd_histogram")
+FROM e JOIN b USING (symbol, rn)""", "macd macd_signal macd_histogram", digits=4)
 def macd(spark, d):
     return ind.macd(bars_series(spark, d))
 
@@ -230,7 +230,7 @@ a AS (SELECT symbol, ts, {full_sql('avg', 'tr', 14)} AS atr14, {full_sql('avg',
 
 @register("keltner", ewm_sql(ema_columns(20), ATR_CTE) + """
 SELECT symbol, ts, e20 + 2 * atr20 AS kc_upper, e20 AS kc_middle, e20 - 2 * atr20 AS kc_lower
-FROM e JOIN b USING (symbol, rn) JOIN a USING (symbol, ts)""", "kc_upper kc_middle kc_lower")
+FROM e JOIN b USING (symbol, rn) JOIN a USING (symbol, ts)""", "kc_upper kc_middle kc_lower", digits=4)
 def keltner(spark, d):
     return ind.keltner(bars_series(spark, d))
 
@@ -253,7 +253,7 @@ SQUEEZE_OUT = f"""CAST({inside_sql(1.5)} AS INTEGER) AS squeeze,
 
 @register("squeeze_pro", ewm_sql(MOM_COLS, ATR_CTE + MOM, "m") + f"""
 SELECT symbol, ts, {SQUEEZE_OUT}
-FROM e JOIN m USING (symbol, rn) JOIN a USING (symbol, ts)""", "squeeze_pro squeeze_momentum")
+FROM e JOIN m USING (symbol, rn) JOIN a USING (symbol, ts)""", "squeeze_pro squeeze_momentum", digits=4)
 def squeeze_pro(spark, d):
     return ind.squeeze_pro(bars_series(spark, d))
 
@@ -282,7 +282,7 @@ ADX_COLS = {"p": ("s.pdm", _next("p", "s.pdm")), "m": ("s.mdm", _next("m", "s.md
 @register("adx", ewm_sql(ADX_COLS, ATR_CTE + DM, "d2") + """
 SELECT symbol, ts, ax AS adx, coalesce(p / atr14 * 100, 0e0) AS plus_di,
        coalesce(m / atr14 * 100, 0e0) AS minus_di
-FROM e JOIN d2 USING (symbol, rn)""", "adx plus_di minus_di")
+FROM e JOIN d2 USING (symbol, rn)""", "adx plus_di minus_di", digits=4)
 def adx(spark, d):
     return ind.adx(bars_series(spark, d))
 

@@ -38,7 +38,7 @@ cd AS (SELECT *, CASE WHEN is_long THEN entry - 2 * atr ELSE entry + 2 * atr END
   CASE WHEN is_long THEN entry + 4 * atr ELSE entry - 4 * atr END AS target FROM ca)"""
 
 
-@register("atr_stop", f"WITH {BARS}, {CAND} SELECT symbol, ts, entry, stop, target FROM cd", "entry stop target")
+@register("atr_stop", f"WITH {BARS}, {CAND} SELECT symbol, ts, entry, stop, target FROM cd", "entry stop target", digits=4)
 def atr_stop(spark, d):
     return candidates(spark, d).select("symbol", "ts", "entry", "stop", "target")
 
@@ -58,7 +58,7 @@ kl AS (SELECT *, capital * fraction AS risk_amount, CASE WHEN fraction > 0 THEN
 
 
 @register("kelly_size", f"""WITH {BARS}, {CAND}, {KELLY} SELECT symbol, ts, coalesce(payoff, 0e0) AS payoff_ratio, kelly_fraction, edge, fraction,
-  risk_amount, position_size FROM kl""", "payoff_ratio kelly_fraction edge fraction risk_amount")
+  risk_amount, position_size FROM kl""", "payoff_ratio kelly_fraction edge fraction risk_amount", digits=4)
 def kelly_size(spark, d):
     return risk.kelly_size(candidates(spark, d)).select(
         "symbol", "ts", "payoff_ratio", "kelly_fraction", "edge", "fraction", "risk_amount", "position_size")
@@ -77,7 +77,7 @@ def kelly_history(spark, d):
 
 @register("trailing_stop", f"""WITH {BARS} SELECT symbol, ts, CASE WHEN symbol LIKE '%F' THEN
   max(greatest(50e0, close * (1 - 0.05e0))) OVER w ELSE min(least(200000e0, close * (1 + 0.05e0))) OVER w END AS stop
-FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)""", "stop")
+FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)""", "stop", digits=4)
 def trailing_stop(spark, d):
     df = bars_series(spark, d).withColumn("is_long", F.col("symbol").endswith("F"))
     return risk.trailing_stop(df.withColumn("first_stop", F.when(F.col("is_long"), 50.0).otherwise(200000.0)))
@@ -181,7 +181,7 @@ co AS (SELECT *, commission + spread_cost + market_impact + slippage AS total_co
 
 
 @register("order_cost", f"""WITH {BARS}, {ORDERS} SELECT symbol, ts, order_value, participation, commission, spread_cost, market_impact, slippage, total_cost,
-  total_cost / order_value * 100 AS cost_pct FROM co""", "order_value participation commission spread_cost market_impact slippage total_cost cost_pct")
+  total_cost / order_value * 100 AS cost_pct FROM co""", "order_value participation commission spread_cost market_impact slippage total_cost cost_pct", digits=4)
 def order_cost(spark, d):
     return cost.order_cost(orders_to_cost(spark, d)).drop("size", "price", "adv", "urgency", "order_type")
 
@@ -301,7 +301,7 @@ def weight_sweep(spark, d):
 @register("portfolio_metrics", f"""{WITH}, {QR}, {COV}, mu AS (SELECT rebalance, symbol, avg(ret) AS mu, 1e0 / count(*) OVER (PARTITION BY rebalance) AS w FROM qr GROUP BY 1, 2),
 e AS (SELECT rebalance, sum(w * mu) AS expected_return, any_value(w) AS w FROM mu GROUP BY 1),
 v AS (SELECT rebalance, sqrt(sum(CASE WHEN a = b THEN 1 ELSE 2 END * w * w * cov)) AS volatility FROM cv JOIN e USING (rebalance) GROUP BY 1)
-SELECT rebalance, expected_return, volatility, expected_return / volatility AS ratio FROM e JOIN v USING (rebalance)""", "expected_return volatility ratio")
+SELECT rebalance, expected_return, volatility, expected_return / volatility AS ratio FROM e JOIN v USING (rebalance)""", "expected_return volatility ratio", digits=4)
 def portfolio_metrics(spark, d):
     mu = quarter_mu(spark, d)
     w = portfolio.equal_weight(mu, "rebalance")

@@ -68,7 +68,7 @@ def stream_upsert(spark, d):
 
 @register("stream_signals", f"""WITH {BARS}, s AS (SELECT *, {full_sql('avg', 'close', 20)} AS mid, {std_sql('close', 20)} AS sd FROM bars)
 SELECT symbol, ts, close, mid + 2 * sd AS bb_upper, CASE WHEN close > mid + 2 * sd THEN 'short' WHEN close < mid - 2 * sd THEN 'long' ELSE 'neutral' END AS direction
-FROM s""", "close bb_upper")
+FROM s""", "close bb_upper", digits=4)
 def stream_signals(spark, d):
     hist, out, ckpt = (scratch_path(spark, f"signals-{k}") for k in ("history", "out", "ckpt"))
 
