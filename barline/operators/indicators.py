@@ -151,14 +151,14 @@ def with_obv_vwap(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
     df = in_blocks(bars, 1, block_rows=block_rows)
     move = F.col("close") - lagged("close", 1)
     df = df.withColumn("_signed", zero_if_null(F.signum(move)) * F.col("volume"))
-    df = core_rows(df, drop_rn=False)
+    df = df.filter("core").drop("core", "sub")  # blk stays: running totals reuse its partitions
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     df = running(df, {"obv": ("sum", F.col("_signed").cast("double")),
                       "_pv": ("sum", typical * F.col("volume")),
                       "_v": ("sum", F.col("volume").cast("double"))}, block_rows=block_rows)
     vwap = ratio("_pv", "_v")
     df = df.withColumn("vwap_dev", zero_if_null(ratio(F.col("close") - vwap, vwap) * 100))
-    return df.drop("_signed", "_pv", "_v")
+    return df.drop("_signed", "_pv", "_v", "blk")
 
 
 def obv(bars: DataFrame, block_rows: int | None = None) -> DataFrame:

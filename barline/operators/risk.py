@@ -99,7 +99,8 @@ def with_streak(df: DataFrame, keys=("symbol",), block_rows: int | None = None)
 
 
 def loss_streak(trades: DataFrame, block_rows: int | None = None) -> DataFrame:
-    df = number_rows(trades, ("symbol",), ("ts", "id"), TRADE_BUCKET)
+    df = number_rows(trades, ("symbol",), ("ts", "id"), TRADE_BUCKET,
+                     keep_bucket=block_rows is None)
     return with_streak(df, block_rows=block_rows).select("symbol", "id", "pnl", "loss_streak")
 
 

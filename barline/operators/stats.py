@@ -127,11 +127,11 @@ def equity_curve(trades: DataFrame, start: float = 100_000.0, scale: float = 1.0
                  block_rows: int | None = None) -> DataFrame:
     """Running equity, its peak (at least the start) and drawdown per symbol."""
     df = trades if "rn" in trades.columns else number_rows(
-        trades, ("symbol",), ("ts", "id"), bucket_seconds=86400)
+        trades, ("symbol",), ("ts", "id"), bucket_seconds=86400, keep_bucket=block_rows is None)
     step = F.col("pnl") / scale
     df = running(df, {"_sum": ("sum", step), "_peak": ("peak", step)}, block_rows=block_rows)
     df = (df.withColumn("equity", F.col("_sum") + start)
-          .withColumn("peak", F.greatest(F.col("_peak"), F.lit(0.0)) + start).drop("_sum", "_peak"))
+          .withColumn("peak", F.greatest(F.col("_peak"), F.lit(0.0)) + start).drop("_sum", "_peak", "blk"))
     return df.withColumn("drawdown", ratio(F.col("peak") - F.col("equity"), "peak"))
 
 

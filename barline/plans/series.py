@@ -23,9 +23,12 @@ TICK_BUCKET = 6 * 3600   # for event and tick tables
 
 
 def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",),
-                bucket_seconds: int = BAR_BUCKET, name: str = "rn",
-                with_total: bool = False) -> DataFrame:
-    """0-based position of each row in its series; ``n`` is the series length on request."""
+                bucket_seconds: int = BAR_BUCKET, name: str = "rn", with_total: bool = False,
+                keep_bucket: bool = False) -> DataFrame:
+    """0-based position of each row in its series; ``n`` is the series length on request.
+
+    The calendar bucket may stay as ``blk``: ``running`` then works in buckets as they lie.
+    """
     keys = list(keys)
     b = df.withColumn("_bk", F.floor(F.unix_seconds(F.col(order[0])) / bucket_seconds))
     counts = b.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"))
@@ -38,8 +41,10 @@ def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequenc
     local = Window.partitionBy(*keys, "_bk").orderBy(*order)
     return (b.withColumn("_pos", F.row_number().over(local))
             .join(offsets, [*keys, "_bk"])
-            .withColumn(name, F.col("_off") + F.col("_pos") - 1)
-            .drop("_bk", "_off", "_pos"))
+            .select(*[c for c in df.columns if c != name],
+                    (F.col("_off") + F.col("_pos") - 1).alias(name),
+                    *(["n"] if with_total else []),
+                    *([F.col("_bk").alias("blk")] if keep_bucket else [])))
 
 
 def block_size(halo: int) -> int:
@@ -97,11 +102,12 @@ def running(df: DataFrame, totals: dict[str, tuple], keys: Sequence[str] = ("sym
       ("sum" | "max" | "min", x)   the running aggregate
       ("peak", x)                  the highest running sum of x so far
       ("since", x, reset)          the sum of x since the last row with ``reset``
-    ``df`` carries ``rn``. Each block is scanned on its own; one row per block carries the state
+    ``df`` carries ``rn``; a column ``blk`` of consecutive row groups is used as it is. Each block is scanned on its own; one row per block carries the state
     on, so chained values come out of one pass instead of nested ones.
     """
     keys = list(keys)
-    b = df.withColumn("_rb", F.floor(F.col("rn") / (block_rows or BLOCK_ROWS)))
+    own = F.col("blk") if "blk" in df.columns else F.floor(F.col("rn") / (block_rows or BLOCK_ROWS))
+    b = df.withColumn("_rb", own)
     local = Window.partitionBy(*keys, "_rb").orderBy("rn").rowsBetween(
         Window.unboundedPreceding, 0)
     upto = Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, 0)

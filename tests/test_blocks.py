@@ -205,3 +205,12 @@ def test_trailing_count_across_blocks(spark, trades):
     for i in (0, 17, 400, 799):
         near = (t <= t[i]) & (t >= t[i] - pd.Timedelta(seconds=3600))
         assert p["c"][i] == ((p["pnl"] < 0) & near).sum()
+
+
+def test_running_in_calendar_buckets(trades):
+    df, pnl = trades
+    got = stats.equity_curve(df).orderBy("id").toPandas()
+    close(got["equity"], 100000 + np.cumsum(pnl))
+    streak = risk.loss_streak(df).orderBy("id").toPandas()["loss_streak"]
+    blocked = risk.loss_streak(df, block_rows=33).orderBy("id").toPandas()["loss_streak"]
+    assert streak.tolist() == blocked.tolist()
