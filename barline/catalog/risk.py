@@ -245,7 +245,7 @@ def quarter_returns(spark, d):
 
 
 QR = f"{RET}, qr AS (SELECT *, date_trunc('quarter', ts) AS rebalance FROM r)"
-COV = """cv AS (SELECT p.rebalance, p.symbol AS a, q.symbol AS b, covar_samp(p.ret, q.ret) AS cov, count(*) AS rows
+COV = """cv AS (SELECT p.rebalance, p.symbol AS a, q.symbol AS b, CASE WHEN count(*) > 1 THEN covar_samp(p.ret, q.ret) END AS cov, count(*) AS rows
   FROM qr p JOIN qr q ON p.ts = q.ts AND p.symbol <= q.symbol GROUP BY 1, 2, 3)"""
 
 
@@ -301,7 +301,7 @@ def weight_sweep(spark, d):
 @register("portfolio_metrics", f"""{WITH}, {QR}, {COV}, mu AS (SELECT rebalance, symbol, avg(ret) AS mu, 1e0 / count(*) OVER (PARTITION BY rebalance) AS w FROM qr GROUP BY 1, 2),
 e AS (SELECT rebalance, sum(w * mu) AS expected_return, any_value(w) AS w FROM mu GROUP BY 1),
 v AS (SELECT rebalance, sqrt(sum(CASE WHEN a = b THEN 1 ELSE 2 END * w * w * cov)) AS volatility FROM cv JOIN e USING (rebalance) GROUP BY 1)
-SELECT rebalance, expected_return, volatility, expected_return / volatility AS ratio FROM e JOIN v USING (rebalance)""", "expected_return volatility ratio", digits=4)
+SELECT rebalance, expected_return, volatility, coalesce(expected_return / nullif(volatility, 0), 0) AS ratio FROM e JOIN v USING (rebalance)""", "expected_return volatility ratio", digits=4)
 def portfolio_metrics(spark, d):
     mu = quarter_mu(spark, d)
     w = portfolio.equal_weight(mu, "rebalance")

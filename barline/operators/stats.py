@@ -91,10 +91,11 @@ def pbo(spark: SparkSession, returns: DataFrame, parts: int = 16, limit: int = 1
     """Probability of backtest overfitting by combinatorially symmetric splits.
 
     ``returns`` holds (ts, trial, x) for the same time steps of every trial. Only count, sum and
-    square sum per (segment, trial) meet the splits, never the returns themselves.
+    square sum per (segment, trial) meet the splits, never the returns themselves. Fewer time
+    steps than parts, or a single trial, give 0.
     """
     steps = number_rows(returns.select("ts").distinct(), keys=(), name="t", with_total=True)
-    rows = returns.join(steps, "ts")
+    rows = returns.join(steps.filter(F.col("n") >= parts), "ts")
     size = F.greatest(F.floor(F.col("n") / parts), F.lit(1))
     seg = F.least(F.floor(F.col("t") / size), F.lit(parts - 1)).cast("int")
     m = rows.groupBy(seg.alias("seg"), "trial").agg(
@@ -116,8 +117,9 @@ def pbo(spark: SparkSession, returns: DataFrame, parts: int = 16, limit: int = 1
     best = per.groupBy("mask").agg(
         F.max_by("sr_out", F.struct(F.col("sr_in"), F.col("sr_out"))).alias("_best"))
     rank = per.join(best, "mask").groupBy("mask").agg(
-        (F.count(F.when(F.col("sr_out") < F.col("_best"), 1)) / F.count(F.lit(1))).alias("rank"))
-    return rank.agg(F.avg(F.when(F.col("rank") < 0.5, 1.0).otherwise(0.0)).alias("pbo"),
+        (F.count(F.when(F.col("sr_out") < F.col("_best"), 1)) / F.count(F.lit(1))).alias("rank"),
+        F.count(F.lit(1)).alias("trials")).filter("trials >= 2")
+    return rank.agg(zero_if_null(F.avg(F.when(F.col("rank") < 0.5, 1.0).otherwise(0.0))).alias("pbo"),
                     F.count(F.lit(1)).alias("splits"))
 
 
