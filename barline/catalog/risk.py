@@ -300,7 +300,7 @@ def weight_sweep(spark, d):
 
 @register("portfolio_metrics", f"""{WITH}, {QR}, {COV}, mu AS (SELECT rebalance, symbol, avg(ret) AS mu, 1e0 / count(*) OVER (PARTITION BY rebalance) AS w FROM qr GROUP BY 1, 2),
 e AS (SELECT rebalance, sum(w * mu) AS expected_return, any_value(w) AS w FROM mu GROUP BY 1),
-v AS (SELECT rebalance, sqrt(sum(CASE WHEN a = b THEN 1 ELSE 2 END * w * w * cov)) AS volatility FROM cv JOIN e USING (rebalance) GROUP BY 1)
+v AS (SELECT rebalance, sqrt(greatest(sum(CASE WHEN a = b THEN 1 ELSE 2 END * w * w * cov), 0)) AS volatility FROM cv JOIN e USING (rebalance) GROUP BY 1)
 SELECT rebalance, expected_return, volatility, coalesce(expected_return / nullif(volatility, 0), 0) AS ratio FROM e JOIN v USING (rebalance)""", "expected_return volatility ratio", digits=4)
 def portfolio_metrics(spark, d):
     mu = quarter_mu(spark, d)
