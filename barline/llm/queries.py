@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import exact, mixing, neardup, packing, quality, toxicity
+from barline.llm import ann, exact, langid, mixing, neardup, packing, pii, quality, sharding, toxicity
 from barline.llm.common import fold, ready, table
 
 QUERIES = {}
@@ -37,11 +37,53 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, fold(F.col("doc_id"), 5) != 0)
+    return langid.predict(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_nearest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op5_pii(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_near_dedup(spark, sf_dir):
     return neardup.near_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_sharding(spark, sf_dir):
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+# The same rule in closed form: a document's shard is the shortest prefix of its hash whose
+# documents fit, or the longest prefix; the last bit is never reached with distinct keys.
+ORACLES["op7_sharding"] = f"""
+WITH d AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
+         lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)),
+              {sharding.BITS}, '0') AS hash
+  FROM documents),
+deep AS (
+  SELECT least({sharding.BITS}, CAST(ceil(log2(greatest(1, sum(bytes) / {sharding.LIMIT}e0))) AS BIGINT)
+               + {sharding.SPARE_BITS}) AS deep FROM d),
+p AS (SELECT doc_id, bytes, k, substr(hash, 1, k) AS shard FROM d, deep, unnest(range(0, deep + 1)) AS u(k)),
+s AS (SELECT k, shard, sum(bytes) AS shard_bytes FROM p GROUP BY ALL),
+f AS (SELECT p.*, s.shard_bytes FROM p JOIN s USING (k, shard)
+      WHERE s.shard_bytes <= {sharding.LIMIT} OR k = (SELECT deep FROM deep))
+SELECT doc_id, bytes, shard, CAST(0 AS BIGINT) AS page, CAST(shard_bytes AS BIGINT) AS shard_bytes
+FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1"""
+
+
 @query
 def op8_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
