@@ -137,6 +137,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     x = units(dense(sample["v"], dim))
     c = centroids(x, max(1, min(LISTS, math.isqrt(total), total // LIST_ROWS)))
     probe = probes_needed(x, c, k)
+    # A query's first bound is that of the sample's vectors in its probed lists, which the scan will
+    # meet again; twice as many as needed, for some may be abandoned by chance.
+    home, spare = (x @ c.T).argmax(axis=1), 2 * more
     turn = rotation(dim)
     vtype = entries.schema["v"].dataType.simpleString()
 
@@ -150,8 +153,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
         for b in batches:
             u = units(dense(b.column("v"), dim))
             lists = np.argsort(-(u @ c.T), axis=1)[:, :probe]
-            near = np.sort(2 - 2 * (u @ x.T), axis=1)[:, :more]
-            bound = near[:, -1] + 1e-9 if near.shape[1] == more else np.full(len(u), np.inf)
+            held_here = np.zeros((len(u), len(c)), dtype=bool)
+            np.put_along_axis(held_here, lists, True, axis=1)
+            far = np.sort(np.where(held_here[:, home], 2 - 2 * (u @ x.T), np.inf), axis=1)
+            bound = far[:, spare - 1] + 1e-9 if len(x) >= spare else np.full(len(u), np.inf)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(lists), pa.list_(pa.int32())), pa.array(bound, pa.float64()), b.column("entry"),
                  b.column("v")], names=["lists", "bound", "entry", "v"])

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barline.llm import trees
 from barline.llm.common import col, labelled_sample
@@ -62,7 +63,7 @@ class Model:
 def measured(df: DataFrame, model: Model | None = None) -> DataFrame:
     """``df`` (id, body, ...) without the body: its statistics, or its score if a model is given."""
     others = [f for f in df.schema if f.name != "body"]
-    kind = "score double" if model else "x array<double>"
+    value_field = T.StructField("score", T.DoubleType()) if model else T.StructField("x", T.ArrayType(T.DoubleType()))
 
     def run(batches):
         for b in batches:
@@ -70,9 +71,9 @@ def measured(df: DataFrame, model: Model | None = None) -> DataFrame:
             value = pa.array(model.score(np.array(x)), pa.float64()) if model \
                 else pa.array(x, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), value],
-                                             names=[*(f.name for f in others), kind.split()[0]])
+                                             names=[*(f.name for f in others), value_field.name])
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", " + kind)
+    return df.mapInArrow(run, T.StructType([*others, value_field]))
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, rows: int = TRAIN_ROWS,
@@ -82,7 +83,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, rows: int = TRAIN_RO
     sample = labelled_sample(docs, labels, label, keep, rows, key, text)
     got = measured(sample).orderBy(F.xxhash64("id"), "id").toArrow()
     y = np.array(got["label"].to_pylist(), dtype=float)
-    x = np.array(got["x"].to_pylist(), dtype=float).reshape(len(y), -1)
+    x = np.array(got["x"].to_pylist(), dtype=float).reshape(len(y), -1 if len(y) else 0)
     return Model(*trees.fit_calibrated(x, y))
 
 
