@@ -11,13 +11,18 @@ from barline.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+EXACT = 2.0 ** 53
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles on a grid whose borders sit off .5, where prices often land exactly."""
+    """Doubles on a grid whose borders sit off .5, where prices often land exactly.
+
+    From 2^53 grid steps on a double has no such digits: it stays as it is.
+    """
     scale = float(10 ** digits)
-    return df.select(*[(F.floor(F.col(c) * scale + 0.37) / scale).alias(c) if t == "double"
-                       else F.col(c) for c, t in df.dtypes])
+    x = F.col
+    return df.select(*[F.when(F.abs(x(c)) < EXACT / scale, F.floor(x(c) * scale + 0.37) / scale)
+                       .otherwise(x(c)).alias(c) if t == "double" else x(c) for c, t in df.dtypes])
 
 
 def register(name: str, oracle: str | None = None, rnd: str = "", digits: int = 6):
@@ -29,8 +34,9 @@ def register(name: str, oracle: str | None = None, rnd: str = "", digits: int =
         assert name not in QUERIES, name
         QUERIES[name] = run
         if oracle is not None:
-            repl = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e{digits} + 0.37e0) / 1e{digits} AS {c}"
-                             for c in rnd.split())
+            repl = ", ".join(f"CASE WHEN abs(CAST({c} AS DOUBLE)) < {EXACT!r} / 1e{digits} "
+                             f"THEN floor(CAST({c} AS DOUBLE) * 1e{digits} + 0.37e0) / 1e{digits} "
+                             f"ELSE CAST({c} AS DOUBLE) END AS {c}" for c in rnd.split())
             ORACLES[name] = f"SELECT * REPLACE ({repl}) FROM (\n{oracle}\n)" if repl else oracle
         return fn
     return wrap
@@ -39,11 +45,9 @@ def register(name: str, oracle: str | None = None, rnd: str = "", digits: int =
 # Daily bars of the oracle; every market query starts from them.
 BARS = """bars AS (
   SELECT l_returnflag || '-' || l_linestatus AS symbol, date_trunc('day', l_shipdate) AS ts,
-         arg_min(l_extendedprice / l_quantity, row(l_shipdate, l_orderkey, l_linenumber, l_partkey,
-                 l_suppkey, l_extendedprice)) AS open,
+         arg_min(l_extendedprice / l_quantity, row(l_shipdate, l_orderkey, l_linenumber, l_partkey % 1000000)) AS open,
          max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-         arg_max(l_extendedprice / l_quantity, row(l_shipdate, l_orderkey, l_linenumber, l_partkey,
-                 l_suppkey, l_extendedprice)) AS close,
+         arg_max(l_extendedprice / l_quantity, row(l_shipdate, l_orderkey, l_linenumber, l_partkey % 1000000)) AS close,
          CAST(sum(l_quantity) AS BIGINT) AS volume
   FROM lineitem GROUP BY 1, 2)"""
 NUMBERED = BARS + """,

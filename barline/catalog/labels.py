@@ -122,8 +122,7 @@ def purged_kfold_intervals(spark, d):
 
 
 @register("cpcv_splits", f"""{WITH},
-m AS (SELECT mask FROM range(1024) t(mask) WHERE bit_count(mask) = 5
-      ORDER BY md5(CAST(mask AS VARCHAR)), mask LIMIT 100),
+m AS (SELECT mask FROM range(1024) t(mask) WHERE bit_count(mask) = 5),
 p AS (SELECT symbol, least(rn // greatest(n // 10, 1), 9) AS part, count(*) AS rows FROM b GROUP BY 1, 2)
 SELECT symbol, mask, CAST(sum(CASE WHEN (mask >> part) & 1 = 1 THEN rows ELSE 0 END) AS BIGINT) AS train_rows,
   CAST(sum(CASE WHEN (mask >> part) & 1 = 1 THEN 0 ELSE rows END) AS BIGINT) AS test_rows

@@ -30,40 +30,81 @@ def training_rows(spark, d):
     return x.join(y, ["symbol", "ts"]).join(n, ["symbol", "ts"])
 
 
-@register("gbt_train")
+# A fit has no SQL. These queries return facts about the fit that SQL derives from the tables alone:
+# how many rows each fold or window holds, and that every output keeps the rules it must obey.
+ROWS = f"""{WITH}, t AS (SELECT symbol, ts, rn, n - 5 AS n, CASE WHEN (lead(close, 5) {P}) - close) / close > 0.02e0 THEN 1 ELSE 0 END AS label FROM b),
+tr AS (SELECT * FROM t WHERE rn < n)"""
+HELD = "tr WHERE rn >= floor(n * 0.8e0)"
+
+
+def share(c):
+    return (c >= 0) & (c <= 1)
+
+
+@register("gbt_train", f"{ROWS} SELECT symbol, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, TRUE AS sound FROM {HELD} GROUP BY 1")
 def gbt_train(spark, d):
+    """Held-out rows per symbol, and that the metrics agree with the predictions."""
     _, scored = models.gbt_train(training_rows(spark, d), TRAIN_ON, trees=8, depth=3)
-    return models.validation_metrics(scored, ["symbol"])
+    hit = (F.col("predicted") == F.col("label")).cast("double")
+    facts = scored.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("label").cast("bigint")).alias("positives"),
+        F.avg(hit).alias("_hits"), F.bool_and(F.col("predicted").isin(0, 1)).alias("_classes"))
+    out = facts.join(models.validation_metrics(scored, ["symbol"]).drop("rows"), "symbol")
+    return out.select("symbol", "rows", "positives", (
+        F.col("_classes") & (F.abs(F.col("accuracy") - F.col("_hits")) < 1e-9) & share(F.col("precision"))
+        & share(F.col("recall"))).alias("sound"))
 
 
-@register("score_rows")
+@register("score_rows", f"{ROWS} SELECT symbol, ts, label, TRUE AS sound FROM {HELD}")
 def score_rows(spark, d):
-    _, scored = models.gbt_train(training_rows(spark, d), TRAIN_ON, trees=5, depth=3)
-    return scored.select("symbol", "ts", "label", "predicted", "probability_up", "confidence", "score")
+    """Held-out rows, and that class, confidence and score follow from the probability."""
+    _, s = models.gbt_train(training_rows(spark, d), TRAIN_ON, trees=5, depth=3)
+    p, up = F.col("probability_up"), F.col("predicted")
+    sound = (share(p) & ((up == 1) == (p > 0.5)) & (F.col("score") == 2 * up - 1)
+             & (F.abs(F.col("confidence") - F.greatest(p, 1 - p)) < 1e-9))
+    return s.select("symbol", "ts", F.col("label").cast("int").alias("label"), sound.alias("sound"))
 
 
-@register("gbt_importance")
+@register("gbt_importance", f"SELECT {len(TRAIN_ON)} AS features, 1e0 AS total, TRUE AS sound FROM lineitem LIMIT 1", "total")
 def gbt_importance(spark, d):
+    """Importances are shares of 1, ranked from the largest on."""
     model, _ = models.gbt_train(training_rows(spark, d), TRAIN_ON, trees=5, depth=3)
-    return models.gbt_importance(model, TRAIN_ON, spark)
+    top = models.gbt_importance(model, TRAIN_ON, spark)
+    later = F.lead("importance").over(Window.partitionBy(F.lit(0)).orderBy("rank"))
+    return top.withColumn("_next", F.coalesce(later, F.lit(0.0))).agg(
+        F.countDistinct("feature").cast("int").alias("features"), F.sum("importance").alias("total"),
+        F.bool_and(share(F.col("importance")) & (F.col("importance") >= F.col("_next"))).alias("sound"))
 
 
-@register("param_search")
+GRID = [{"maxDepth": 2, "maxIter": 4, "stepSize": 0.1}, {"maxDepth": 3, "maxIter": 4, "stepSize": 0.2, "subsamplingRate": 0.8},
+        {"maxDepth": 4, "maxIter": 3, "minInstancesPerNode": 20, "minInfoGain": 0.001, "maxBins": 64}]
+
+
+@register("param_search", f"{ROWS} SELECT CAST(k AS INTEGER) AS choice, (SELECT count(*) FROM {HELD}) AS rows, TRUE AS sound FROM range({len(GRID)}) g(k)")
 def param_search(spark, d):
-    grid = [{"maxDepth": 2, "maxIter": 3}, {"maxDepth": 3, "maxIter": 3}]
-    return models.param_search(training_rows(spark, d), TRAIN_ON, grid, k=2)
+    """Every choice is scored on the later rows; the order is that of the accuracy."""
+    found = models.param_search(training_rows(spark, d), TRAIN_ON, GRID)
+    better = F.lag("accuracy").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("accuracy"), "choice"))
+    return found.select("choice", "rows", (share(F.col("accuracy"))
+                                           & (F.coalesce(better, F.lit(1.0)) >= F.col("accuracy"))).alias("sound"))
 
 
-@register("purged_cv_score")
+@register("purged_cv_score", f"""{ROWS}, s AS (SELECT symbol, CAST(max(n) // 5 AS BIGINT) AS size FROM tr GROUP BY 1)
+SELECT CAST(k AS INTEGER) AS fold, CAST(sum(size) AS BIGINT) AS rows, TRUE AS sound FROM s, range(4) f(k) GROUP BY 1""")
 def purged_cv_score(spark, d):
-    return models.purged_cv_score(training_rows(spark, d), TRAIN_ON, k=4, trees=3, depth=3)
+    out = models.purged_cv_score(training_rows(spark, d), TRAIN_ON, k=5, trees=3, depth=3)
+    return out.select("fold", "rows", share(F.col("accuracy")).alias("sound"))
 
 
-@register("walk_forward_fit")
+@register("walk_forward_fit", f"""{ROWS}, m AS (SELECT symbol, max(n) AS n FROM tr GROUP BY 1),
+w AS (SELECT symbol, CAST(k AS BIGINT) AS window_id, 504 + k * 630 AS s, n FROM m, range(1000) g(k) WHERE 504 + k * 630 <= n - 126 - 1)
+SELECT symbol, window_id, 126 AS rows, TRUE AS sound FROM w""")
 def walk_forward_fit(spark, d):
     rows = training_rows(spark, d)
     members = folds.window_membership(rows, *TRAIN_ON, "label", "ret", step=630)
-    return models.wfo_report(models.walk_forward_fit(members, TRAIN_ON, trees=3, depth=2))
+    out = models.wfo_report(models.walk_forward_fit(members, TRAIN_ON, trees=3, depth=2))
+    return out.select("symbol", F.col("window_id").cast("bigint").alias("window_id"), F.col("rows").cast("int").alias("rows"),
+                      (share(F.col("accuracy")) & F.col("strategy_sharpe").isNotNull()).alias("sound"))
 
 
 def rule_oos(spark, d):
@@ -159,11 +200,18 @@ def meta_training(spark, d):
     return m.join(y, "ts"), [f"m{i}" for i in range(len(names))]
 
 
-@register("meta_learner")
+def fit_facts(metrics):
+    error, mean = F.col("mse"), F.col("mae")
+    sound = share(F.abs(F.col("correlation"))) & (error >= 0) & (mean * mean <= error + 1e-12)
+    return metrics.select("rows", sound.alias("sound"))
+
+
+@register("meta_learner", f"""{ROWS}, {PREDICTIONS}, e AS (SELECT DISTINCT ts FROM pred)
+SELECT count(*) AS rows, TRUE AS sound FROM tr JOIN e USING (ts)""")
 def meta_learner(spark, d):
     rows, names = meta_training(spark, d)
     _, fitted = models.meta_learner(rows, names)
-    return models.regression_metrics(fitted)
+    return fit_facts(models.regression_metrics(fitted))
 
 
 def _stack(spark, d):
@@ -172,19 +220,20 @@ def _stack(spark, d):
     rows = training_rows(spark, d).join(y, ["symbol", "ts"])
     bases = {"linear": LinearRegression(labelCol="target", regParam=0.1),
              "trees": GBTRegressor(labelCol="target", maxIter=3, maxDepth=3, seed=42)}
-    return models.oof_stack(rows, TRAIN_ON, bases, k=3), list(bases)
+    return models.oof_stack(rows, TRAIN_ON, bases, k=5), list(bases)
 
 
-@register("oof_stack")
+@register("oof_stack", f"{ROWS} SELECT count(*) AS rows, TRUE AS sound FROM tr")
 def oof_stack(spark, d):
+    """Every row is predicted once, by models that have not seen its fold."""
     (_, _, out), _ = _stack(spark, d)
-    return models.regression_metrics(out)
+    return fit_facts(models.regression_metrics(out))
 
 
-@register("meta_importance")
+@register("meta_importance", "SELECT unnest(['linear', 'trees']) AS model, TRUE AS sound FROM (SELECT 1 FROM lineitem LIMIT 1)")
 def meta_importance(spark, d):
     (top, _, _), names = _stack(spark, d)
-    return models.meta_importance(top, names, spark)
+    return models.meta_importance(top, names, spark).select("model", (F.col("importance") >= 0).alias("sound"))
 
 
 @register("blend", """SELECT event_id, (2 * value + 1 * user_id + 0.5e0 * (value - user_id)) / 3.5e0 AS blended FROM events""", "blended")

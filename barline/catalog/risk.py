@@ -210,22 +210,22 @@ def _per_step(df):
     return df.groupBy("symbol", "step").agg(F.sum("shares").alias("shares"), F.count(F.lit(1)).alias("orders"))
 
 
-@register("twap_schedule", f"""WITH {BARS}, {ORDERS}, s AS (SELECT symbol, CAST(k AS INTEGER) AS step, size / 26 AS shares FROM oc, range(26) t(k))
+@register("twap_schedule", f"""WITH {BARS}, {ORDERS}, s AS (SELECT symbol, CAST(k AS INTEGER) AS step, size / 390 AS shares FROM oc, range(390) t(k))
 SELECT {SCHEDULE} FROM s GROUP BY 1, 2""", "shares")
 def twap_schedule(spark, d):
-    return _per_step(cost.twap_schedule(orders_to_cost(spark, d), 26))
+    return _per_step(cost.twap_schedule(orders_to_cost(spark, d), 390))
 
 
 @register("ac_schedule", f"""WITH {BARS}, {ORDERS}, s AS (SELECT symbol, CAST(k AS INTEGER) AS step, CASE WHEN k = 0 THEN 0e0 ELSE
-  size * exp((k - 1) * (-{cost.DAILY_VOLATILITY!r}e0 / 0.1e0 / 25)) - size * exp(k * (-{cost.DAILY_VOLATILITY!r}e0 / 0.1e0 / 25)) END AS shares FROM oc, range(26) t(k))
+  size * exp((k - 1) * (-{cost.DAILY_VOLATILITY!r}e0 / 0.1e0 / 389)) - size * exp(k * (-{cost.DAILY_VOLATILITY!r}e0 / 0.1e0 / 389)) END AS shares FROM oc, range(390) t(k))
 SELECT {SCHEDULE} FROM s GROUP BY 1, 2""", "shares")
 def ac_schedule(spark, d):
-    return _per_step(cost.ac_schedule(orders_to_cost(spark, d), steps_per_day=26))
+    return _per_step(cost.ac_schedule(orders_to_cost(spark, d), steps_per_day=390))
 
 
 @register("vwap_schedule", f"""WITH o AS (SELECT symbol, volume AS size FROM ({ohlcv_sql('day')})),
 p AS (SELECT event_type AS symbol, hour(ts) AS idx, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2),
-g AS (SELECT symbol, CAST(k AS INTEGER) AS step, k * (m - 1) / 38e0 AS x, m FROM (SELECT symbol, count(*) AS m FROM p GROUP BY 1), range(39) t(k)),
+g AS (SELECT symbol, CAST(k AS INTEGER) AS step, k * (m - 1) / 389e0 AS x, m FROM (SELECT symbol, count(*) AS m FROM p GROUP BY 1), range(390) t(k)),
 i AS (SELECT g.symbol, step, a.v * (1 - (x - floor(x))) + b.v * (x - floor(x)) AS v FROM g JOIN p a ON a.symbol = g.symbol AND a.idx = floor(x)
   JOIN p b ON b.symbol = g.symbol AND b.idx = least(floor(x) + 1, m - 1)),
 s AS (SELECT symbol, step, size * v / sum(v) OVER (PARTITION BY symbol, o.size, o.k) AS shares FROM (SELECT *, row_number() OVER () AS k FROM o) o JOIN i USING (symbol))
@@ -235,7 +235,7 @@ def vwap_schedule(spark, d):
     profile = ev.groupBy(F.col("event_type").alias("symbol"), F.hour("ts").cast("bigint").alias("idx")).agg(
         F.count(F.lit(1)).cast("double").alias("volume"))
     orders = src.ohlcv(spark, d, "1Day").select("symbol", "ts", F.col("volume").alias("size"))
-    return _per_step(cost.vwap_schedule(orders, profile, 39))
+    return _per_step(cost.vwap_schedule(orders, profile, 390))
 
 
 # ---- portfolio -------------------------------------------------------------------------------
@@ -293,9 +293,16 @@ def quarter_mu(spark, d):
     return quarter_returns(spark, d).groupBy("rebalance", "symbol").agg(F.avg("ret").alias("expected_return"))
 
 
-@register("weight_sweep", digits=4)
+@register("weight_sweep", f"""{WITH}, {QR}, n AS (SELECT rebalance, count(DISTINCT symbol) AS symbols FROM qr GROUP BY 1)
+SELECT rebalance, unnest({list(portfolio.METHODS)!r}) AS method, symbols, 1e0 AS total, TRUE AS sound FROM n""", "total", digits=4)
 def weight_sweep(spark, d):
-    return portfolio.weight_sweep(cov_pairs(spark, d), quarter_mu(spark, d), "rebalance")
+    """Weights of each method: all symbols, sum 1, within the bounds or equal where these cannot hold."""
+    w = portfolio.weight_sweep(cov_pairs(spark, d), quarter_mu(spark, d), "rebalance")
+    n = F.count(F.lit(1))
+    top = F.greatest(F.lit(portfolio.MAX_WEIGHT), 1 / n)
+    return w.groupBy("rebalance", "method").agg(
+        n.alias("symbols"), F.sum("weight").alias("total"),
+        ((F.min("weight") >= portfolio.MIN_WEIGHT - 1e-9) & (F.max("weight") <= top + 1e-9)).alias("sound"))
 
 
 @register("portfolio_metrics", f"""{WITH}, {QR}, {COV}, mu AS (SELECT rebalance, symbol, avg(ret) AS mu, 1e0 / count(*) OVER (PARTITION BY rebalance) AS w FROM qr GROUP BY 1, 2),

@@ -210,16 +210,16 @@ def confluence_batch(spark, d):
 KIND = "CASE left(signal, 1) WHEN 'A' THEN 'technical' WHEN 'N' THEN 'sentiment' ELSE 'fundamental' END"
 
 
-@register("ic_weights", f"""{WITH}, {PREDICTIONS}, o AS (SELECT {KIND} AS kind, ts, score, actual FROM pred WHERE actual IS NOT NULL AND signal LIKE '%F'
-  QUALIFY row_number() OVER (PARTITION BY signal ORDER BY ts DESC) <= 100),
+@register("ic_weights", f"""{WITH}, {PREDICTIONS}, o AS (SELECT {KIND} AS kind, ts, score, actual FROM pred WHERE actual IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY kind ORDER BY ts DESC, signal DESC) <= 100),
 c AS (SELECT kind, abs(avg(CASE WHEN (score > 0) = (actual > 0) THEN 1e0 ELSE -1e0 END)) AS ic FROM o GROUP BY 1)
 SELECT max(CASE WHEN kind = 'technical' THEN ic END) / sum(ic) AS technical, max(CASE WHEN kind = 'sentiment' THEN ic END) / sum(ic) AS sentiment,
   max(CASE WHEN kind = 'fundamental' THEN ic END) / sum(ic) AS fundamental FROM c""", "technical sentiment fundamental")
 def ic_weights(spark, d):
-    obs = align.prediction_actual(predictions(spark, d), actuals(spark, d)).filter("signal LIKE '%F'")
+    obs = align.prediction_actual(predictions(spark, d), actuals(spark, d))
     kind = F.when(F.col("signal").startswith("A"), "technical").when(F.col("signal").startswith("N"), "sentiment") \
         .otherwise("fundamental")
-    return scores.ic_weights(obs.withColumn("kind", kind))
+    return scores.ic_weights(obs.withColumn("kind", kind), tie=["signal"])
 
 
 @register("agreement_signal", """WITH a AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 1e0 ELSE -1e0 END AS technical, (value - 20) / 40 AS sentiment,
@@ -293,7 +293,15 @@ def regime_history(spark, d):
     return regimes.regime_history(r, "1997-01-01", "1999-12-31").select("bucket", "regime")
 
 
-@register("regime_clusters")
+N_PAIRS = len(SYMBOLS) * (len(SYMBOLS) - 1) // 2
+
+
+@register("regime_clusters", f"""{WITH}, {PAIRS}, m AS (SELECT date_trunc('month', ts) AS bucket, a, b, {CORR} AS corr FROM pr GROUP BY 1, 2, 3),
+g AS (SELECT bucket, sum(corr) / {N_PAIRS} AS avg_corr FROM m GROUP BY 1)
+SELECT bucket, avg_corr, CASE WHEN avg_corr > 0.7 THEN 'crisis' WHEN avg_corr > 0.5 THEN 'high_vol_trending' WHEN avg_corr > 0.3 THEN 'low_vol_trending'
+  WHEN avg_corr > 0.1 THEN 'low_vol_mean_reverting' ELSE 'neutral' END AS regime, TRUE AS sound FROM g""", "avg_corr")
 def regime_clusters(spark, d):
+    """Mean correlation and name per month; that the cluster is one of the six and not all are one."""
     c = regimes.corr_by(daily_returns(spark, d), F.date_trunc("month", "ts"))
-    return regimes.regime_clusters(c, SYMBOLS)
+    out = regimes.regime_clusters(c, SYMBOLS)
+    return out.select("bucket", "avg_corr", "regime", F.col("cluster").between(0, 5).alias("sound"))

@@ -65,11 +65,11 @@ def dsr(spark, d):
     return stats.dsr(daily_returns(spark, d), ["symbol"])
 
 
-@register("pbo", f"""{WITH}, {RET}, full_ts AS (SELECT ts FROM r GROUP BY ts HAVING count(*) = 6),
+@register("pbo", f"""{WITH}, {RET}, full_ts AS (SELECT ts FROM r GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM r)),
 k AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS t, count(*) OVER () AS n FROM full_ts),
 m AS (SELECT symbol AS trial, least(t // greatest(n // 16, 1), 15) AS seg, count(*) AS c, sum(ret) AS s, sum(ret * ret) AS q
       FROM r JOIN k USING (ts) WHERE n >= 16 GROUP BY 1, 2),
-masks AS (SELECT mask FROM range(65536) x(mask) WHERE bit_count(mask) = 8 ORDER BY md5(CAST(mask AS VARCHAR)), mask LIMIT 1000),
+masks AS (SELECT mask FROM range(65536) x(mask) WHERE bit_count(mask) = 8),
 sides AS (SELECT mask, trial, (mask >> seg) & 1 AS side, sum(c) AS c, sum(s) AS s, sum(q) AS q FROM m, masks GROUP BY 1, 2, 3),
 sr AS (SELECT mask, trial, max(CASE WHEN side = 1 THEN (s / c) / sqrt((q - s * s / c) / (c - 1)) END) AS a,
    max(CASE WHEN side = 0 THEN (s / c) / sqrt((q - s * s / c) / (c - 1)) END) AS z FROM sides GROUP BY 1, 2),
@@ -78,7 +78,8 @@ rk AS (SELECT mask, count(CASE WHEN z < best THEN 1 END) / count(*) AS rank FROM
 SELECT coalesce(avg(CASE WHEN rank < 0.5 THEN 1e0 ELSE 0e0 END), 0e0) AS pbo, count(*) AS splits FROM rk""", "pbo")
 def pbo(spark, d):
     r = daily_returns(spark, d)
-    common = r.groupBy("ts").agg(F.count(F.lit(1)).alias("k")).filter("k = 6")
+    names = r.select("symbol").distinct().count()
+    common = r.groupBy("ts").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == names)
     trials = r.join(common, "ts", "left_semi").withColumnRenamed("symbol", "trial")
     return stats.pbo(spark, trials)
 

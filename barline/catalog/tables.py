@@ -130,7 +130,7 @@ def lookback_filter(spark, d):
   arg_max(value, row(ts, event_id)) AS close, CAST(count(*) AS BIGINT) AS volume
 FROM events GROUP BY 1, 2""", OHLC)
 def timeframe_bucket(spark, d):
-    return tb.timeframe_bucket(src.bars_intraday(spark, d), "4Hour", ["event_id"])
+    return tb.timeframe_bucket(src.bars_intraday(spark, d), "4Hour", "event_id")
 
 
 @register("scan_ticks", """SELECT event_type AS symbol, ts, value AS price,
@@ -295,7 +295,7 @@ SELECT * FROM ({ohlcv_sql('hour', "ts >= '2024-01-10' AND ts < '2024-01-20'")})"
 def rollup_refresh(spark, d):
     ticks = src.event_ticks(spark, d)
     late = src.table(spark, d, "events").filter("user_id > 20").select("event_id")
-    stored = rollup(ticks.join(late, F.col("seq.event_id") == late.event_id, "left_semi"), "1Hour")
+    stored = rollup(ticks.join(late, F.col("seq") == late.event_id, "left_semi"), "1Hour")
     return tb.rollup_refresh(stored, ticks, "1Hour", "2024-01-10", "2024-01-20", rollup)
 
 

@@ -44,7 +44,12 @@ def ewm_halo(alpha: float) -> int:
 
 
 def add_ewm(df: DataFrame, specs: dict[str, Ewm], keys=("symbol",)) -> DataFrame:
-    """Adds one column per spec to a frame in blocks. x has no NULL after ``start``."""
+    """Adds one column per spec to a frame in blocks.
+
+    Where x is NULL the last value stands in for it, so a gap neither pulls the average towards 0
+    nor shifts its weights, and the result is NULL on the row itself. A series whose first values
+    are NULL starts at its first value.
+    """
     rn = F.col("rn")
     plain = {n: s for n, s in specs.items() if s.alpha >= 1}
     specs = {n: s for n, s in specs.items() if s.alpha < 1}
@@ -60,9 +65,17 @@ def add_ewm(df: DataFrame, specs: dict[str, Ewm], keys=("symbol",)) -> DataFrame
     def q_pow(alpha, e):
         return F.pow(F.lit(1 - alpha), e)  # exp(log q * e) would lose digits for large e
 
+    seen = block_window(keys).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.select("*", *[s.x.alias(f"_ewx_{n}") for n, s in specs.items()])
+    df = df.select("*", F.min("rn").over(seen).alias("_ewx0"),
+                   *[F.last(f"_ewx_{n}", ignorenulls=True).over(seen).alias(f"_ewv_{n}") for n in specs],
+                   *[F.min(F.when(F.col(f"_ewx_{n}").isNotNull(), rn)).over(seen).alias(f"_ewf_{n}") for n in specs])
     local = []
     for name, s in specs.items():
-        weighted = F.when(rn == s.start, s.x).when(rn > s.start, s.x * s.alpha)
+        value = F.col(f"_ewv_{name}")
+        # only the block that holds the first row of the series decides where it starts
+        start = F.when(F.col("_ewx0") == 0, F.greatest(F.col(f"_ewf_{name}"), F.lit(s.start))).otherwise(s.start)
+        weighted = F.when(rn == start, value).when(rn > start, value * s.alpha)
         run = within[_sub_rows(s.alpha)].rowsBetween(Window.unboundedPreceding, 0)
         total = F.sum(weighted * q_pow(s.alpha, -at(s.alpha))).over(run)
         local.append((q_pow(s.alpha, at(s.alpha)) * total).alias(f"_ewl_{name}"))
@@ -82,8 +95,9 @@ def add_ewm(df: DataFrame, specs: dict[str, Ewm], keys=("symbol",)) -> DataFrame
                            .over(before).alias(f"_ewc{k}_{name}"))
         df = df.select("*", *carried)
 
-    out = [F.col(c) for c in df.columns if c != "_fast" and c[:4] not in ("_ewl", "_ewc")]
+    out = [F.col(c) for c in df.columns if c != "_fast" and c[:4] not in ("_ewl", "_ewc", "_ewx", "_ewv", "_ewf")]
     for name, s in specs.items():
         carry = F.coalesce(F.col(f"_ewc{_carries(s.alpha)}_{name}"), F.lit(0.0))
-        out.append((F.col(f"_ewl_{name}") + q_pow(s.alpha, at(s.alpha) + 1) * carry).alias(name))
+        total = F.col(f"_ewl_{name}") + q_pow(s.alpha, at(s.alpha) + 1) * carry
+        out.append(F.when(F.col(f"_ewx_{name}").isNotNull(), total).alias(name))
     return df.select(*out, *[s.x.alias(n) for n, s in plain.items()])

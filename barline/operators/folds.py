@@ -50,29 +50,31 @@ def purged_kfold(df: DataFrame, t1: str = "t1", k: int = 5, embargo: float = 0.0
         "symbol", "ts", "fold", "is_test", (~overlap & ~near & ~F.col("is_test")).alias("is_train"))
 
 
-def half_splits(spark: SparkSession, parts: int, limit: int) -> DataFrame:
-    """Train/test choices of half the parts, as bit masks; a hash picks ``limit`` of them.
-
-    The table has at most ``limit`` rows, whatever the data holds.
+def half_splits(spark: SparkSession, parts: int, limit: int | None = None) -> DataFrame:
+    """Train/test choices of half the parts, as bit masks: all of them, or ``limit`` picked by a
+    hash. Their number depends on ``parts`` only, whatever the data holds.
     """
     if parts % 2:
         raise ValueError("parts must be even")
     masks = spark.range(1 << parts).withColumnRenamed("id", "mask")
-    return (masks.filter(F.bit_count("mask") == parts // 2)
-            .orderBy(F.md5(F.col("mask").cast("string")), "mask").limit(limit))
+    masks = masks.filter(F.bit_count("mask") == parts // 2)
+    if limit is None:
+        return masks
+    return masks.orderBy(F.md5(F.col("mask").cast("string")), "mask").limit(limit)
 
 
 def in_mask(mask: str, part: str):
     return F.expr(f"(shiftright({mask}, cast({part} AS int)) & 1) = 1")
 
 
-def cpcv_splits(spark: SparkSession, df: DataFrame, parts: int = 10, limit: int = 100) -> DataFrame:
+def cpcv_splits(spark: SparkSession, df: DataFrame, parts: int = 10,
+                limit: int | None = None) -> DataFrame:
     """Rows of each symbol in train and test per combination of parts."""
     size = F.greatest(F.floor(F.col("n") / parts), F.lit(1))
     part = F.least(F.floor(F.col("rn") / size), F.lit(parts - 1)).cast("int")
     per = df.groupBy("symbol", part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
     masks = half_splits(spark, parts, limit).agg(F.collect_list("mask").alias("masks"))
-    # one row of at most `limit` masks
+    # one row with an array of masks, as many as `parts` allows
     per = per.join(F.broadcast(masks)).withColumn("mask", F.explode("masks"))
     train = in_mask("mask", "part")
     return per.groupBy("symbol", "mask").agg(

@@ -69,7 +69,7 @@ def clean_keys(raw: DataFrame) -> DataFrame:
     parsed = [F.when(text.rlike(p), F.try_to_timestamp(text, F.lit(f))) for f, p in zip(
         TIME_FORMATS, [r"^\d{4}-\d{2}-\d{2} \d", r"^\d{4}-\d{2}-\d{2}T", r"^\d{4}-\d{2}-\d{2}$"])]
     unix = F.when(text.rlike(r"^\d+(\.\d+)?$"),
-                  F.timestamp_micros((text.cast("double") * 1000000).cast("bigint")))
+                  F.timestamp_micros((text.try_cast("double") * 1000000).try_cast("bigint")))
     out = raw.withColumn("clean_symbol", s).withColumn("clean_ts", F.coalesce(*parsed, unix))
     reason = (F.when(F.coalesce(F.length("clean_symbol"), F.lit(0)) == 0, "empty symbol")
               .when(F.length("clean_symbol") > SYMBOL_MAX, "symbol too long")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,17 +68,21 @@ def regime_history(regimes: DataFrame, start, end, ts: str = "bucket") -> DataFr
 
 def regime_clusters(correlations: DataFrame, symbols: Sequence[str], k: int = 6,
                     seed: int = 42) -> DataFrame:
-    """Correlation matrices per bucket, reduced by PCA and clustered; named by mean correlation."""
-    names = [f"{a}~{b}" for i, a in enumerate(sorted(symbols)) for b in sorted(symbols)[i + 1:]]
-    wide = (correlations.withColumn("pair", F.concat_ws("~", "a", "b")).groupBy("bucket")
-            .pivot("pair", names).agg(F.first("corr")).na.fill(0.0))
-    safe = [f"p{i}" for i in range(len(names))]
-    wide = wide.select("bucket", *[F.col(f"`{n}`").alias(s) for n, s in zip(names, safe)])
-    rows_ = VectorAssembler(inputCols=safe, outputCol="pairs").transform(wide)
+    """Correlation matrices per bucket, reduced by PCA and clustered; named by mean correlation.
+
+    A matrix is one vector of its pairs; a pair that a bucket lacks counts as 0.
+    """
+    ordered = sorted(symbols)
+    names = [f"{a}~{b}" for i, a in enumerate(ordered) for b in ordered[i + 1:]]
+    pair = F.concat_ws("~", "a", "b")
+    cells = (correlations.filter(F.col("a").isin(ordered) & F.col("b").isin(ordered)).groupBy("bucket").agg(
+        F.map_from_entries(F.collect_list(F.struct(pair, "corr"))).alias("_m")))
+    values = F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.col("_m")[n], F.lit(0.0)))
+    rows_ = cells.select("bucket", values.alias("_v")).select("bucket", "_v", array_to_vector("_v").alias("pairs"))
     reduced = PCA(k=2, inputCol="pairs", outputCol="features").fit(rows_).transform(rows_)
     out = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(reduced) \
         .transform(reduced)
-    mean = sum((F.col(s) for s in safe[1:]), F.col(safe[0])) / len(safe)
+    mean = F.aggregate("_v", F.lit(0.0), lambda t, x: t + x) / len(names)
     out = out.withColumn("avg_corr", mean)
     c = F.col("avg_corr")
     return out.select("bucket", "cluster", "avg_corr", F.when(c > 0.7, "crisis")

@@ -19,8 +19,8 @@ TRADE_BUCKET = 86400
 
 
 def whole(c: Column) -> Column:
-    """Truncation toward zero."""
-    return c.cast("long")
+    """Truncation toward zero; NULL beyond the range of a bigint, which ``least`` passes over."""
+    return c.try_cast("long")
 
 
 def fixed_fraction_size(capital: str = "capital", entry: str = "entry", stop: str = "stop") -> Column:

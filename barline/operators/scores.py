@@ -27,8 +27,13 @@ NEUTRAL_BAND = 0.3
 
 # ---- sentiment -------------------------------------------------------------------------------
 
+# The forms of a number and of a named field in free model output.
+NUMBER = r"-?\d+\.?\d*"
+FIELD = r'(?i)"{name}"?\s*:\s*{value}'
+
+
 def _number(text: Column, field: str) -> Column:
-    found = F.regexp_extract(text, rf'(?i)"{field}"?\s*:\s*(-?\d+\.?\d*)', 1)
+    found = F.regexp_extract(text, FIELD.format(name=field, value=f"({NUMBER})"), 1)
     return F.when(found != "", found.cast("double"))
 
 
@@ -46,7 +51,7 @@ def parse_sentiment(responses: DataFrame, text: str = "response") -> DataFrame:
 
     def json_num(name, default):
         return F.coalesce(F.col("_j")[name].try_cast("double"), F.lit(default))
-    any_number = F.regexp_extract(t, r"-?\d+\.?\d*", 0)
+    any_number = F.regexp_extract(t, NUMBER, 0)
     loose_score = bounded(F.coalesce(_number(t, "sentiment"),
                                      F.when(any_number != "", any_number.cast("double")),
                                      F.lit(0.0)), -1.0, 1.0)
@@ -54,7 +59,7 @@ def parse_sentiment(responses: DataFrame, text: str = "response") -> DataFrame:
     low = F.lower(t)
     loose_class = (F.when(low.contains("bullish"), "bullish")
                    .when(low.contains("bearish"), "bearish").otherwise("neutral"))
-    quoted = F.regexp_extract(t, r'(?i)"reasoning"?\s*:\s*"([^"]*)"', 1)
+    quoted = F.regexp_extract(t, FIELD.format(name="reasoning", value='"([^"]*)"'), 1)
     bare = F.substring(F.regexp_replace(t, r'[{}\[\]"]', ""), 1, 200)
     df = (df.withColumn("score", F.when(valid, json_num("sentiment", 0.0)).otherwise(loose_score))
           .withColumn("confidence", F.when(valid, json_num("confidence", 0.5)).otherwise(loose_conf))
@@ -158,9 +163,10 @@ def market_regime(return_20: str = "return_20", volatility: str = "volatility",
             .otherwise("neutral"))
 
 
-def ic_weights(observations: DataFrame, keep: int = 100, min_rows: int = 20) -> DataFrame:
+def ic_weights(observations: DataFrame, keep: int = 100, min_rows: int = 20,
+               tie: Sequence[str] = ()) -> DataFrame:
     """One row of signal weights from sign agreement; the defaults until each kind has history."""
-    last = last_n(observations, keep, ["kind"], ["ts"], F.date_trunc("quarter", "ts"))
+    last = last_n(observations, keep, ["kind"], ["ts", *tie], F.date_trunc("quarter", "ts"))
     agree = F.when((F.col("score") > 0) == (F.col("actual") > 0), 1.0).otherwise(-1.0)
     per = last.groupBy("kind").agg(F.abs(F.avg(agree)).alias("ic"), F.count(F.lit(1)).alias("n"))
 

@@ -11,6 +11,7 @@ from barline.functions import corr_agg, norm_cdf, norm_ppf, ratio, zero_if_null
 from barline.operators.folds import half_splits, in_mask
 from barline.operators.tables import last_n, latest_wins
 from barline.plans.series import number_rows, running
+from barline.sources.stored import stage
 
 EULER = 0.5772156649  # fixed value, in the digits the results must equal
 
@@ -86,39 +87,43 @@ def dsr(returns: DataFrame, keys: list[str], x: str = "ret", periods: int = 252)
                       F.when(F.col("expected_max").isNotNull(), F.col("psr")).alias("dsr"))
 
 
-def pbo(spark: SparkSession, returns: DataFrame, parts: int = 16, limit: int = 1000,
+def pbo(spark: SparkSession, returns: DataFrame, parts: int = 16, limit: int | None = None,
         x: str = "ret") -> DataFrame:
     """Probability of backtest overfitting by combinatorially symmetric splits.
 
-    ``returns`` holds (ts, trial, x) for the same time steps of every trial. Only count, sum and
-    square sum per (segment, trial) meet the splits, never the returns themselves. Fewer time
-    steps than parts, or a single trial, give 0.
+    ``returns`` holds (ts, trial, x) for the same time steps of every trial. Only one row per trial
+    with count, sum and square sum per segment meets the splits, never the returns themselves: all
+    splits, or ``limit`` of them. Fewer time steps than parts, or a single trial, give 0.
     """
     steps = number_rows(returns.select("ts").distinct(), keys=(), name="t", with_total=True)
     rows = returns.join(steps.filter(F.col("n") >= parts), "ts")
     size = F.greatest(F.floor(F.col("n") / parts), F.lit(1))
     seg = F.least(F.floor(F.col("t") / size), F.lit(parts - 1)).cast("int")
-    m = rows.groupBy(seg.alias("seg"), "trial").agg(
-        F.count(x).cast("double").alias("c"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
+    def sums(i):
+        own = F.when(seg == i, F.col(x))
+        return F.struct(F.count(own).cast("double").alias("c"), F.coalesce(F.sum(own), F.lit(0.0)).alias("s"),
+                        F.coalesce(F.sum(own * own), F.lit(0.0)).alias("q"))
+
+    m = stage(rows.groupBy("trial").agg(F.array(*map(sums, range(parts))).alias("segs")), "trial-segments")
     masks = half_splits(spark, parts, limit).agg(F.collect_list("mask").alias("masks"))
-    # one row of at most `limit` masks
+    # one row with an array of masks, as many as `parts` allows
     m = m.join(F.broadcast(masks)).withColumn("mask", F.explode("masks")).drop("masks")
-    train = in_mask("mask", "seg")
 
-    def side(cond):
-        return [F.sum(F.when(cond, F.col(k))) for k in ("c", "s", "q")]
+    def side(k, bit):
+        return sum((F.when(in_mask("mask", str(i)) == bit, F.col("segs")[i][k]).otherwise(0.0)
+                    for i in range(parts)), F.lit(0.0))
 
-    def sr(c, s, q):
+    def sr(bit):
+        c, s, q = (side(k, bit) for k in "csq")
         var = ratio(q - ratio(s * s, c), c - 1)
         return F.when(var > 0, ratio(ratio(s, c), F.sqrt(var)))
 
-    per = m.groupBy("mask", "trial").agg(sr(*side(train)).alias("sr_in"),
-                                         sr(*side(~train)).alias("sr_out"))
-    best = per.groupBy("mask").agg(
-        F.max_by("sr_out", F.struct(F.col("sr_in"), F.col("sr_out"))).alias("_best"))
-    rank = per.join(best, "mask").groupBy("mask").agg(
+    per_mask = Window.partitionBy("mask")
+    best = F.max(F.when(F.col("sr_in").isNotNull(), F.struct("sr_in", "sr_out"))).over(per_mask)
+    per = m.select("mask", "trial", sr(True).alias("sr_in"), sr(False).alias("sr_out"))
+    rank = (per.withColumn("_best", best["sr_out"]).groupBy("mask").agg(
         (F.count(F.when(F.col("sr_out") < F.col("_best"), 1)) / F.count(F.lit(1))).alias("rank"),
-        F.count(F.lit(1)).alias("trials")).filter("trials >= 2")
+        F.count(F.lit(1)).alias("trials")).filter("trials >= 2"))
     return rank.agg(zero_if_null(F.avg(F.when(F.col("rank") < 0.5, 1.0).otherwise(0.0))).alias("pbo"),
                     F.count(F.lit(1)).alias("splits"))
 

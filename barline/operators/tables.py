@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from barline.functions import ratio, timeframe_seconds
-from barline.operators.bars import BAR_COLUMNS, bucket_start
+from barline.operators.bars import BAR_COLUMNS, bucket_start, time_order
 from barline.sources.stored import stage
 
 # Bar sizes with a stored rollup; anything else reads the daily one.
@@ -52,12 +52,35 @@ def scan_open_positions(positions: DataFrame) -> DataFrame:
     return positions.filter(F.col("status") == "OPEN")
 
 
+# Parsed plan nodes other than commands that change something.
+COMMAND_NODES = ("ParsedStatement", "InsertIntoStatement", "V2WriteCommand", "MergeIntoTable", "DeleteFromTable",
+                 "UpdateTable", "CreateTable", "CreateTableAsSelect", "ReplaceTable", "ReplaceTableAsSelect")
+
+
 def sql_select(spark: SparkSession, text: str, views: dict[str, DataFrame],
                args: dict | None = None) -> DataFrame:
-    """Parameterised SQL over read-only views."""
+    """One parameterised query over ``views``. Commands are refused by the type of their parsed
+    plan, before anything runs; the views exist only for the time of the call."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    kinds, open_ = [], [plan]
+    while open_:
+        node = open_.pop()
+        kinds.append(node.getClass())
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    for kind in kinds:
+        while kind is not None:
+            names = [kind.getSimpleName(), *(i.getSimpleName() for i in kind.getInterfaces())]
+            if any(n.endswith("Command") or n in COMMAND_NODES for n in names):
+                raise ValueError(f"only queries are allowed, not {names[0]}")
+            kind = kind.getSuperclass()
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(text, args=args or {})
+    try:
+        return spark.sql(text, args=args or {})
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
 
 
 def preview(df: DataFrame, n: int = 100) -> DataFrame:
@@ -104,9 +127,9 @@ def lookback_filter(bars: DataFrame, end, lookback: int, timeframe: str = "1Day"
     return bars.filter((F.col("ts") >= since) & (F.col("ts") <= until))
 
 
-def timeframe_bucket(bars: DataFrame, timeframe: str, tie: Sequence[str] = ()) -> DataFrame:
-    """Bars to coarser bars."""
-    order = F.struct("ts", *tie)
+def timeframe_bucket(bars: DataFrame, timeframe: str, tie: str | None = None) -> DataFrame:
+    """Bars to coarser bars; ``tie``, a bigint column, decides between bars of one time."""
+    order = time_order("ts", tie)
     return (bars.groupBy("symbol", bucket_start("ts", timeframe_seconds(timeframe)).alias("b"))
             .agg(F.min_by("open", order).alias("open"), F.max("high").alias("high"),
                  F.min("low").alias("low"), F.max_by("close", order).alias("close"),

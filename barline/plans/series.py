@@ -20,6 +20,7 @@ MIN_BLOCK = 8 * SUB_ROWS
 DAY = 86400
 BAR_BUCKET = 180 * DAY   # calendar bucket for bar tables
 TICK_BUCKET = 6 * 3600   # for event and tick tables
+UNPLACED = "a row without key or time has no place in a series; set such rows apart first (clean_keys)"
 
 
 def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",),
@@ -28,9 +29,14 @@ def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequenc
     """0-based position of each row in its series; ``n`` is the series length on request.
 
     The calendar bucket may stay as ``blk``: ``running`` then works in buckets as they lie.
+    A row whose key or time is NULL ends the job with a message instead of vanishing in a join.
     """
     keys = list(keys)
-    b = df.withColumn("_bk", F.floor(F.unix_seconds(F.col(order[0])) / bucket_seconds))
+    unplaced = F.col(order[0]).isNull()
+    for k in keys:
+        unplaced = unplaced | F.col(k).isNull()
+    bucket = F.floor(F.unix_seconds(F.col(order[0])) / bucket_seconds)
+    b = df.withColumn("_bk", F.when(unplaced, F.raise_error(F.lit(UNPLACED))).otherwise(bucket))
     counts = b.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"))
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = per_key.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)

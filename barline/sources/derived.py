@@ -27,8 +27,8 @@ def line_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("ts"),
         F.try_divide("l_extendedprice", "l_quantity").alias("price"),
         F.col("l_quantity").alias("size"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                 "l_extendedprice").alias("seq"))
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000
+         + F.col("l_partkey") % 1_000_000).cast("bigint").alias("seq"))
 
 
 def bars_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"),
-                     F.lit(1.0).alias("size"), F.struct("ts", "event_id").alias("seq"))
+                     F.lit(1.0).alias("size"), F.col("event_id").cast("bigint").alias("seq"))
 
 
 def bars_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:

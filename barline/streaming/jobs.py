@@ -16,7 +16,8 @@ from barline.functions import timeframe_seconds
 from barline.operators.risk import (
     ERROR_SECONDS, LEVELS, MAX_DRAWDOWN, MAX_ERRORS,
 )
-from barline.operators.tables import last_n
+from barline.operators.bars import time_order
+from barline.operators.tables import last_n, latest_wins
 
 # How late a row may be, per bar size.
 LATENESS = {"1Min": "1 hour", "1Hour": "1 day", "1Day": "7 days"}
@@ -30,7 +31,7 @@ def drain(query) -> None:
 def stream_bars(ticks: DataFrame, timeframe: str, lateness: str | None = None) -> DataFrame:
     """Bars of a tick stream (symbol, ts, price, size, seq), each once its window is closed."""
     width = f"{timeframe_seconds(timeframe)} seconds"
-    order = F.struct("ts", "seq")
+    order = time_order("ts", "seq")
     out = (ticks.withWatermark("ts", lateness or LATENESS.get(timeframe, "1 day"))
            .groupBy("symbol", F.window("ts", width).alias("w"))
            .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"),
@@ -62,17 +63,16 @@ def each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint:
             .foreachBatch(fn).trigger(availableNow=True).start())
 
 
-def stream_upsert(bars: DataFrame, root: str, checkpoint: str, lateness: str = "1 day"):
+def stream_upsert(bars: DataFrame, root: str, checkpoint: str):
     """Writes every micro-batch of bars to its own folder, so a retried batch replaces itself.
 
-    A batch costs what it holds; ``read_upserted`` merges and ``compact`` folds batches.
+    Every row is kept with its place of arrival, however late it is and whatever was there before;
+    ``read_upserted`` merges and ``compact`` folds batches.
     """
-    once = bars.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(
-        ["symbol", "ts", "open", "high", "low", "close", "volume"])
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id:012d}")
-    return each_batch(once, write, checkpoint)
+        (batch.withColumn("arrival", F.monotonically_increasing_id())
+         .write.mode("overwrite").parquet(f"{root}/batch={batch_id:012d}"))
+    return each_batch(bars, write, checkpoint)
 
 
 def read_upserted(spark: SparkSession, root: str) -> DataFrame:
@@ -80,14 +80,18 @@ def read_upserted(spark: SparkSession, root: str) -> DataFrame:
     df = spark.read.parquet(root)
     newest = ["open", "high", "low", "close", "volume"]
     first = [c for c in ("vwap", "trade_count") if c in df.columns]
+    arrived = F.struct(F.col("batch").cast("bigint"), "arrival")
     out = df.groupBy("symbol", "ts").agg(
-        F.max_by(F.struct(*newest), "batch").alias("_new"),
-        *([F.min_by(F.struct(*first), "batch").alias("_old")] if first else []))
+        F.max_by(F.struct(*newest), arrived).alias("_new"),
+        *([F.min_by(F.struct(*first), arrived).alias("_old")] if first else []))
     return out.select("symbol", "ts", "_new.*", *(["_old.*"] if first else []))
 
 
 def compact(spark: SparkSession, root: str, target: str) -> None:
-    read_upserted(spark, root).write.mode("overwrite").parquet(f"{target}/batch={0:012d}")
+    """One merged batch in a new root, which takes the place of the old one for the readers and for
+    a stream that goes on with the same checkpoint: later batches have higher numbers."""
+    (read_upserted(spark, root).withColumn("arrival", F.lit(0).cast("bigint"))
+     .write.mode("overwrite").parquet(f"{target}/batch={0:012d}"))
 
 
 # ---- breaker ---------------------------------------------------------------------------------
@@ -98,7 +102,7 @@ BREAKER_STATE = ("errors array<bigint>, streak int, level int, day string, day_l
 
 def breaker_step(starting_equity: float, seconds: int = ERROR_SECONDS, max_errors: int = MAX_ERRORS,
                  daily_reset: bool = True):
-    """State change of one strategy. Only as many error times are kept as the rule can ask for."""
+    """State change of one strategy. The error times of the last ``seconds`` are kept, all of them."""
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         errors, streak, level, day, loss = state.get if state.exists else ([], 0, 0, "", 0.0)
         errors = list(errors)
@@ -113,7 +117,7 @@ def breaker_step(starting_equity: float, seconds: int = ERROR_SECONDS, max_error
             if kind == "reset":
                 level, streak, errors = 0, 0, []
             elif kind == "error":
-                errors = (errors + [now])[-max_errors:]
+                errors = errors + [now]
             elif kind == "trade":
                 streak = streak + 1 if pnl < 0 else 0
                 loss += min(pnl, 0.0)
@@ -143,7 +147,8 @@ def stream_signals(bars: DataFrame, history: str, out: str, checkpoint: str,
 
     ``score`` is any batch plan over bars; no indicator state lives in the stream. Both tables
     are written per batch, so a retried batch replaces itself, and only earlier batches count
-    as history.
+    as history. From a symbol's first fresh bar on all its bars are scored, stored ones too: after
+    a late bar the ones behind it get new scores. ``read_signals`` takes the newest.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -151,12 +156,21 @@ def stream_signals(bars: DataFrame, history: str, out: str, checkpoint: str,
         fresh = spark.read.parquet(f"{history}/batch={batch_id:012d}").withColumn("_new", F.lit(True))
         rows = fresh
         if batch_id > 0:
-            old = spark.read.parquet(history).filter(F.col("batch").cast("bigint") < batch_id).drop("batch")
-            floor = fresh.groupBy("symbol").agg(F.min("ts").alias("_first"))
-            old = old.join(floor, "symbol").filter(F.col("ts") < F.col("_first")).drop("_first")
+            old = spark.read.parquet(history).filter(F.col("batch").cast("bigint") < batch_id)
+            # the newest version of each stored bar, unless the batch brings a newer one
+            old = latest_wins(old, ["symbol", "ts"], [F.col("batch").cast("bigint")]).drop("batch")
+            old = old.join(fresh.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
+            old = old.join(fresh.groupBy("symbol").agg(F.min("ts").alias("_first")), "symbol")
+            before = old.filter(F.col("ts") < F.col("_first")).drop("_first")
+            after = old.filter(F.col("ts") > F.col("_first")).drop("_first").withColumn("_new", F.lit(True))
             bucket = F.floor(F.unix_seconds("ts") / (bucket_days * 86400))
-            old = last_n(old, halo, ["symbol"], ["ts"], bucket)
-            rows = fresh.unionByName(old.withColumn("_new", F.lit(False)))
-        scored = score(rows.drop("_new")).join(fresh.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
+            before = last_n(before, halo, ["symbol"], ["ts"], bucket).withColumn("_new", F.lit(False))
+            rows = fresh.unionByName(after).unionByName(before)
+        scored = score(rows.drop("_new")).join(rows.filter("_new").select("symbol", "ts"), ["symbol", "ts"], "left_semi")
         scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
     return each_batch(bars, run, checkpoint)
+
+
+def read_signals(spark: SparkSession, out: str) -> DataFrame:
+    """The newest score of every bar."""
+    return latest_wins(spark.read.parquet(out), ["symbol", "ts"], [F.col("batch").cast("bigint")]).drop("batch")
