@@ -32,11 +32,7 @@ def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequenc
     A row whose key or time is NULL ends the job with a message instead of vanishing in a join.
     """
     keys = list(keys)
-    unplaced = F.col(order[0]).isNull()
-    for k in keys:
-        unplaced = unplaced | F.col(k).isNull()
-    bucket = F.floor(F.unix_seconds(F.col(order[0])) / bucket_seconds)
-    b = df.withColumn("_bk", F.when(unplaced, F.raise_error(F.lit(UNPLACED))).otherwise(bucket))
+    b = df.withColumn("_bk", F.floor(F.unix_seconds(F.col(order[0])) / bucket_seconds))
     counts = b.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"))
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = per_key.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,10 +41,12 @@ def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequenc
         cols.append(F.sum("_c").over(per_key).alias("n"))
     offsets = counts.select(*keys, "_bk", *cols)
     local = Window.partitionBy(*keys, "_bk").orderBy(*order)
+    # an outer join, as an inner one would quietly leave out rows without key or time
+    rn = F.when(F.col("_off").isNull(), F.raise_error(F.lit(UNPLACED))).otherwise(F.col("_off") + F.col("_pos") - 1)
     return (b.withColumn("_pos", F.row_number().over(local))
-            .join(offsets, [*keys, "_bk"])
+            .join(offsets, [*keys, "_bk"], "left")
             .select(*[c for c in df.columns if c != name],
-                    (F.col("_off") + F.col("_pos") - 1).alias(name),
+                    rn.cast("bigint").alias(name),
                     *(["n"] if with_total else []),
                     *([F.col("_bk").alias("blk")] if keep_bucket else [])))
 
@@ -154,6 +152,6 @@ def running(df: DataFrame, totals: dict[str, tuple], keys: Sequence[str] = ("sym
     for stage in range(max(len(p) for p in prefix)):
         state = state.select("*", *[p[stage][1].alias(p[stage][0]) for p in prefix if stage < len(p)])
     carried = [name for p in prefix for name, _ in p]
-    b = b.join(state.select(*keys, "_rb", *carried), [*keys, "_rb"])
+    b = b.join(state.select(*keys, "_rb", *carried), [*keys, "_rb"], "left")
     kept = [F.col(c) for c in df.columns if c not in totals]
     return b.select(*kept, *[c.alias(n) for n, c in out])
