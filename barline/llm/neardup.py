@@ -11,8 +11,8 @@ weighted Jaccard similarity.
 Classes. Bands of six coordinates are joined by key. Nobody lists the pairs of a bucket: its members
 are compared in full with the bucket's first member, best candidate first, and links are merged to
 classes. Then only buckets that still hold several classes are looked at: members outside the
-bucket's largest class meet the members of other classes, unless sizes or the triangle inequality of
-the Jaccard distance rule the pair out. So every pair of documents in one bucket with the asked
+bucket's largest class meet the members of other classes in tiles that give out links only, unless
+sizes or the triangle inequality of the Jaccard distance rule a pair out. So every pair of documents in one bucket with the asked
 similarity ends in one class, while a bucket full of copies of each other costs one row per member.
 """
 
@@ -31,6 +31,7 @@ WORDS = 5
 SIMILARITY = 0.8
 COORDINATES = 180
 ROWS = 6
+TILE_ROWS, TILE_COLUMNS = 64, 512
 SPARE = 3.0  # c: a coordinate stays empty in the first throw with probability exp(-c)
 
 # Odd multipliers of the 64-bit mixing steps (fixed values of the splitmix finaliser).
@@ -227,6 +228,55 @@ def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return stage(both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")), name)
 
 
+def cross_links(mine: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between classes inside the buckets of ``mine`` (bucket, node, label, main, far).
+
+    Members outside a bucket's main class are the rows and all members the columns of a grid, cut
+    into tiles of bounded size. A tile compares its sets in memory and gives out links only, one
+    per row and class, so a group of documents that are almost alike lists no pairs.
+    """
+    counts = mine.groupBy("bucket").agg(
+        F.ceil(F.count(F.when(F.col("label") != F.col("main"), 1)) / TILE_ROWS).cast("int").alias("down"),
+        F.ceil(F.count("*") / TILE_COLUMNS).cast("int").alias("across"))
+    mine = mine.join(counts, "bucket").join(sets, "node")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = ["node", "label", "far", "items"]
+    rows = mine.where("label <> main").select("bucket", part("down").alias("row"), spread("across").alias("column"), *held)
+    columns = mine.select("bucket", part("across").alias("column"), spread("down").alias("row"), *held)
+    rows, columns = rows.toDF(*rows.columns), columns.toDF(*columns.columns)  # no shared columns
+    gap = 1 - similarity + 1e-9
+
+    def compare(one: pa.Table, other: pa.Table) -> pa.Table:
+        found = set()
+        if one.num_rows and other.num_rows:
+            mine_, theirs = ({c: t[c].to_numpy() for c in ("node", "label", "far")} for t in (one, other))
+            x = [np.asarray(v, dtype=np.int64) for v in one["items"].to_numpy()]
+            y = [np.asarray(v, dtype=np.int64) for v in other["items"].to_numpy()]
+            vocabulary = np.unique(np.concatenate(x))
+            has = np.zeros((len(x), len(vocabulary)), dtype=bool)
+            for i, v in enumerate(x):
+                has[i, np.searchsorted(vocabulary, v)] = True
+            size = np.array([len(v) for v in x])
+            for j, v in enumerate(y):
+                # far is unknown (NaN) for members that were not compared with the bucket's head
+                apart = np.abs(mine_["far"].astype(float) - float(np.nan if theirs["far"][j] is None else theirs["far"][j]))
+                ok = ((mine_["label"] != theirs["label"][j]) & ~(apart > gap)
+                      & (np.minimum(size, len(v)) >= similarity * np.maximum(size, len(v)) - 1e-9))
+                if ok.any():
+                    at = np.minimum(np.searchsorted(vocabulary, v), len(vocabulary) - 1)
+                    shared = has[np.flatnonzero(ok)][:, at[vocabulary[at] == v]].sum(axis=1)
+                    alike = shared / (size[ok] + len(v) - shared) >= similarity
+                    for i in np.flatnonzero(ok)[alike]:
+                        found.add((int(mine_["node"][i]), int(theirs["label"][j])))
+        a, b = zip(*sorted(found), strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    tile = ["bucket", "row", "column"]
+    return (rows.groupBy(*tile).cogroup(columns.groupBy(*tile))
+            .applyInArrow(compare, "a long, b long").distinct())
+
+
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, label): the smallest node that each node reaches over ``links`` (a, b) and over the
     classes ``known``. Labels spread to neighbours and then jump to their label's label, round
@@ -292,23 +342,13 @@ def classes(docs: DataFrame, key: str, text: str, words: int, similarity: float,
     largest = (parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes"))
                .where("classes > 1").select("bucket", F.col("top.label").alias("main")))
     known = done.unionByName(more)
-    mine = stage(mine.join(largest, "bucket").join(
+    mine = mine.join(largest, "bucket").join(
         known.select(F.col("a").alias("node"), F.col("b").alias("head"), "similarity"), ["node", "head"], "left")
-        .withColumn("far", F.when(F.col("node") == F.col("head"), 0.0).otherwise(1 - F.col("similarity"))),
-        "mixed-buckets")
-    a, b = mine.where("label <> main").alias("a"), mine.alias("b")
-    gap = 1 - similarity + 1e-9
-    apart = F.coalesce(F.abs(F.col("a.far") - F.col("b.far")), F.lit(0.0))
-    sized = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-9
-    once = (F.col("b.label") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    cross = (a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label"))
-                    & once & sized & (apart <= gap))
-             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-             .join(known.select("a", "b"), ["a", "b"], "left_anti")
-             .join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-    last = verified(cross, sets, "last-links")
-    if not last.where(alike).isEmpty():
-        labels = components(last.where(alike), labels)
+    mine = stage(mine.withColumn("far", F.when(F.col("node") == F.col("head"), 0.0).otherwise(1 - F.col("similarity"))),
+                 "mixed-buckets")
+    last = stage(cross_links(mine, sets, similarity), "last-links")
+    if not last.isEmpty():
+        labels = components(last, labels)
     return labelled(member, labels, "set_node", "class_node")
 
 
