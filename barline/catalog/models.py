@@ -15,19 +15,24 @@ from barline.operators import folds, labels, models
 from barline.operators import ffd as ffd_ops
 from barline.session import scratch_path
 from barline.sources import derived as src
-from barline.sources.derived import bars_series, indicator_table
+from barline.operators.features import feature_names
+from barline.sources.derived import bars_series, feature_table, indicator_table
+from barline.sources.stored import stored
 
 WITH = f"WITH {NUMBERED}\n"
 P = "OVER (PARTITION BY symbol ORDER BY ts"
-TRAIN_ON = ["rsi", "macd_histogram", "bb_pct_b", "adx", "stoch_k", "roc_12", "return_5d", "volume_ratio"]
+TRAIN_ON = feature_names()
 
 
 def training_rows(spark, d):
-    """Features with labels; rows without a label leave."""
-    x = indicator_table(spark, d).select("symbol", "ts", *TRAIN_ON, F.col("return_1d").alias("ret"))
-    y = labels.label_filter(labels.binary_label(bars_series(spark, d))).select("symbol", "ts", "label")
-    n = bars_series(spark, d).select("symbol", "ts", "rn", (F.col("n") - 5).alias("n"))
-    return x.join(y, ["symbol", "ts"]).join(n, ["symbol", "ts"])
+    """All features with labels; rows without a label leave, features of the warm-up are NULL."""
+    def build():
+        x = feature_table(spark, d).select("symbol", "ts", *TRAIN_ON)
+        y = labels.label_filter(labels.binary_label(bars_series(spark, d))).select("symbol", "ts", "label")
+        n = bars_series(spark, d).select("symbol", "ts", "rn", (F.col("n") - 5).alias("n"))
+        r = indicator_table(spark, d).select("symbol", "ts", F.col("return_1d").alias("ret"))
+        return y.join(n, ["symbol", "ts"]).join(r, ["symbol", "ts"]).join(x, ["symbol", "ts"], "left")
+    return stored(spark, d, "training-rows", build)
 
 
 # A fit has no SQL. These queries return facts about the fit that SQL derives from the tables alone:
@@ -44,7 +49,7 @@ def share(c):
 @register("gbt_train", f"{ROWS} SELECT symbol, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, TRUE AS sound FROM {HELD} GROUP BY 1")
 def gbt_train(spark, d):
     """Held-out rows per symbol, and that the metrics agree with the predictions."""
-    _, scored = models.gbt_train(training_rows(spark, d), TRAIN_ON, trees=8, depth=3)
+    _, scored = models.gbt_train(training_rows(spark, d), TRAIN_ON, trees=20, depth=4)
     hit = (F.col("predicted") == F.col("label")).cast("double")
     facts = scored.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("label").cast("bigint")).alias("positives"),

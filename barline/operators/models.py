@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -39,18 +39,19 @@ CATEGORIES = [(["squeeze"], "Volatility Squeeze"),
 
 # ---- estimators ------------------------------------------------------------------------------
 
-def feature_stages(names: Sequence[str]) -> list:
-    """MLlib trees take no missing values: impute the mean, then assemble."""
-    filled = [f"{n}__f" for n in names]
-    return [Imputer(inputCols=list(names), outputCols=filled),
-            VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")]
+def feature_stages(train: DataFrame, names: Sequence[str]) -> list:
+    """MLlib trees take no missing values: the mean of the training rows stands in, or 0 for a
+    feature that they lack altogether (a long window early in a series)."""
+    means = train.agg(*[F.avg(F.nanvl(n, F.lit(None).cast("double"))).alias(n) for n in names]).first()
+    fill = ", ".join(f"coalesce(nanvl(`{n}`, CAST(NULL AS DOUBLE)), {float(means[n] or 0.0)!r}D) AS `{n}__f`" for n in names)
+    return [SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"{n}__f" for n in names], outputCol="features", handleInvalid="keep")]
 
 
-def boosted(names: Sequence[str], label: str = "label", trees: int = 50, depth: int = 6,
-            rate: float = 0.1, seed: int = 42, **params) -> Pipeline:
-    tree = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed,
-                         **params)
-    return Pipeline(stages=[*feature_stages(names), tree])
+def fit_boosted(train: DataFrame, names: Sequence[str], label: str = "label", trees: int = 50, depth: int = 6,
+                rate: float = 0.1, seed: int = 42, **params):
+    tree = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, **params)
+    return Pipeline(stages=[*feature_stages(train, names), tree]).fit(train)
 
 
 def as_doubles(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -75,7 +76,7 @@ def gbt_train(rows: DataFrame, names: Sequence[str], share: float = 0.8, **param
     """
     rows = as_doubles(rows, names)
     early = F.col("rn") < F.floor(F.col("n") * share)
-    model = boosted(names, **params).fit(rows.filter(early))
+    model = fit_boosted(rows.filter(early), names, **params)
     return model, score_rows(model, rows.filter(~early))
 
 
@@ -100,10 +101,10 @@ def param_search(rows: DataFrame, names: Sequence[str], grid: list[dict], share:
     rows = as_doubles(rows, names)
     early = F.col("rn") < F.floor(F.col("n") * share)
     first, later = rows.filter(early), rows.filter(~early)
-    out = []
+    prepared, out = feature_stages(first, names), []
     for i, choice in enumerate(grid):
         tree = GBTClassifier(labelCol="label", seed=seed, **choice)
-        model = Pipeline(stages=[*feature_stages(names), tree]).fit(first)
+        model = Pipeline(stages=[*prepared, tree]).fit(first)
         found = score_rows(model, later).agg(
             F.avg((F.col("predicted") == F.col("label")).cast("double")), F.count(F.lit(1))).first()
         out.append((i, str(sorted(choice.items())), float(found[0] or 0.0), int(found[1])))
@@ -122,7 +123,7 @@ def purged_cv_score(rows: DataFrame, names: Sequence[str], k: int = 5, gap: int
         test = rows.filter((F.col("rn") >= (i + 1) * size) & (F.col("rn") < (i + 2) * size))
         if train.limit(min_train).count() < min_train or test.limit(min_test).count() < min_test:
             continue
-        part = score_rows(boosted(names, **params).fit(train), test).select(
+        part = score_rows(fit_boosted(train, names, **params), test).select(
             F.lit(i).alias("fold"), (F.col("predicted") == F.col("label")).cast("double").alias("_ok"))
         scored = part if scored is None else scored.unionByName(part)
     if scored is None:
@@ -144,7 +145,7 @@ def walk_forward_fit(members: DataFrame, names: Sequence[str], **params) -> Data
     out = None
     for w in windows:  # the number of windows, not of rows
         part = members.filter(F.col("window_id") == w)
-        model = boosted(names, **params).fit(part.filter("role = 'IS'"))
+        model = fit_boosted(part.filter("role = 'IS'"), names, **params)
         scored = score_rows(model, part.filter("role = 'OOS'")).select(
             "symbol", "ts", "window_id", "label", "predicted", "ret")
         out = scored if out is None else out.unionByName(scored)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.operators.bars import rollup
-from barline.operators.features import all_indicators
+from barline.operators.features import all_indicators, ml_features
 from barline.plans.series import number_rows
 from barline.sources.stored import stored
 
@@ -109,3 +109,8 @@ def trades_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indicator_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All indicators of the daily bars, written once per session like any feature store."""
     return stored(spark, sf_dir, "indicators", lambda: all_indicators(bars_series(spark, sf_dir)))
+
+
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seventy model features of the daily bars, written once per session."""
+    return stored(spark, sf_dir, "features", lambda: ml_features(bars_series(spark, sf_dir)))
