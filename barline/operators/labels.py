@@ -134,11 +134,16 @@ def triple_barrier(spark: SparkSession, bars: DataFrame, rise: float = 0.02, fal
         reach = min(reach, max_holding)
     results, pending = [], None
     while True:
-        blocks = split_blocks(bars, after=reach, block_rows=size)
         if pending is None:
-            blocks = blocks.withColumn("event", F.col("core"))
+            blocks = split_blocks(bars, after=reach, block_rows=size).withColumn("event", F.col("core"))
         else:
             wanted = pending.select("symbol", F.floor(F.col("rn") / size).alias("blk")).distinct()
+            # only rows inside the reach of an unsettled block are copied into blocks
+            ahead = F.sequence(F.col("blk"), F.col("blk") + -(-reach // size))
+            needed = wanted.select("symbol", F.explode(ahead).alias("_row_block")).distinct()
+            near = (bars.withColumn("_row_block", F.floor(F.col("rn") / size))
+                    .join(needed, ["symbol", "_row_block"], "left_semi").drop("_row_block"))
+            blocks = split_blocks(near, after=reach, block_rows=size)
             marks = pending.select("symbol", "rn", F.lit(True).alias("_m"))
             blocks = (blocks.join(wanted, ["symbol", "blk"], "left_semi")
                       .join(marks, ["symbol", "rn"], "left")
