@@ -248,6 +248,15 @@ def position_close(spark, d):
     return tb.position_close(src.positions(spark, d), src.closes(spark, d))
 
 
+@register("position_snapshot", f"""SELECT p.* REPLACE (CASE WHEN c.id IS NULL THEN p.status ELSE 'CLOSED' END AS status), exit_price, exit_time,
+  CASE WHEN position_type = 'LONG' THEN exit_price - entry_price ELSE entry_price - exit_price END * quantity AS pnl,
+  CASE WHEN position_type = 'LONG' THEN exit_price - entry_price ELSE entry_price - exit_price END
+    * quantity / (entry_price * quantity) * 100 AS pnl_pct
+FROM ({POSITIONS}) p LEFT JOIN ({CLOSES}) c ON p.id = c.id AND p.status = 'OPEN'""", "entry_price current_price exit_price pnl pnl_pct")
+def position_snapshot(spark, d):
+    return tb.close_positions(src.positions(spark, d), src.closes(spark, d))
+
+
 @register("close_join", f"""SELECT symbol, position_type, count(*) AS closed, sum(pnl) AS pnl
 FROM ({CLOSED}) GROUP BY 1, 2""", "pnl", digits=3)
 def close_join(spark, d):

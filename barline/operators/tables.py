@@ -244,6 +244,19 @@ def position_close(positions: DataFrame, closes: DataFrame) -> DataFrame:
             .withColumn("status", F.lit("CLOSED")))
 
 
+def close_positions(positions: DataFrame, closes: DataFrame) -> DataFrame:
+    """The positions table after ``closes``: booked where a close meets an open position, every
+    other row as it was."""
+    p = positions.join(closes.withColumn("_close", F.lit(True)), "id", "left")
+    hit = (F.col("status") == "OPEN") & F.col("_close").isNotNull()
+    move = F.col("exit_price") - F.col("entry_price")
+    pnl = F.when(F.col("position_type") == "LONG", move).otherwise(-move) * F.col("quantity")
+    booked = {"pnl": pnl, "pnl_pct": ratio(pnl, F.col("entry_price") * F.col("quantity")) * 100,
+              "exit_price": F.col("exit_price"), "exit_time": F.col("exit_time"), "status": F.lit("CLOSED")}
+    return p.withColumns({n: F.when(hit, c).otherwise(F.col(n) if n in positions.columns else F.lit(None))
+                          for n, c in booked.items()}).drop("_close")
+
+
 def union_positions(database: DataFrame, broker: DataFrame) -> DataFrame:
     return database.unionByName(broker, allowMissingColumns=True)
 
