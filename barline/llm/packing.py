@@ -26,7 +26,7 @@ from barline.llm.common import col, stage
 
 SIZE = 1024
 END = np.array([2], dtype="<u4").tobytes()
-RANK_ROWS = 50_000
+RANK_ROWS = 1_000
 
 # Splitting rule of the byte-level vocabulary (fixed value), and the same rule for texts that
 # hold Latin letters, ASCII and plain white space only, where no Unicode tables are needed.
@@ -55,7 +55,7 @@ def encoder(path: str):
 
     def encode(text: str) -> bytes:
         words = (general if NOT_LATIN.search(text) else LATIN_SPLIT).findall(text)
-        if len(known) > 1_000_000:
+        if len(known) > 400_000:
             known.clear()
         try:
             return b"".join([known[w] for w in words])
