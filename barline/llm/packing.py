@@ -27,6 +27,7 @@ from barline.llm.common import col, stage
 SIZE = 1024
 END = np.array([2], dtype="<u4").tobytes()
 RANK_ROWS = 1_000
+KNOWN_WORDS = 800_000  # encoded words that a task's process keeps, some 150 MB
 
 # Splitting rule of the byte-level vocabulary (fixed value), and the same rule for texts that
 # hold Latin letters, ASCII and plain white space only, where no Unicode tables are needed.
@@ -55,8 +56,10 @@ def encoder(path: str):
 
     def encode(text: str) -> bytes:
         words = (general if NOT_LATIN.search(text) else LATIN_SPLIT).findall(text)
-        if len(known) > 400_000:
-            known.clear()
+        if len(known) > KNOWN_WORDS:
+            # words that come first are the frequent ones: those stay, the later half goes
+            for w in list(known)[KNOWN_WORDS // 2:]:
+                del known[w]
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
