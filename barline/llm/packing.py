@@ -45,16 +45,33 @@ def vocabulary_path() -> str:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit bytes; words are encoded once and kept."""
+    """text -> its ids as little-endian unsigned 32-bit bytes; words are encoded once and kept.
+
+    Added tokens of the file are found in the text first, as the tokenizer does, and what lies
+    between them is split into words. Texts with an added token that takes in its surroundings go to
+    the tokenizer as a whole."""
     import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import regex
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     general, known = regex.compile(SPLIT), {}
+    tokens = list(tok.get_added_tokens_decoder().values())
+    greedy = [t.content for t in tokens if t.lstrip or t.rstrip or t.single_word]
+    added = re.compile("(" + "|".join(re.escape(t.content) for t in sorted(tokens, key=lambda t: -len(t.content))) + ")")
+
+    def ids_of(text: str) -> bytes:
+        return np.asarray(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(text: str) -> bytes:
+        if not tokens or not added.search(text):
+            return plain(text)
+        if any(t in text for t in greedy):
+            return ids_of(text)
+        # odd places hold the tokens themselves
+        return b"".join(ids_of(x) if k % 2 else plain(x) for k, x in enumerate(added.split(text)))
+
+    def plain(text: str) -> bytes:
         words = (general if NOT_LATIN.search(text) else LATIN_SPLIT).findall(text)
         if len(known) > KNOWN_WORDS:
             # words that come first are the frequent ones: those stay, the later half goes
@@ -180,8 +197,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
 
     A document is its ids and the end id. Longer ones are cut into pieces of ``size``, of which
     only the first may be shorter. Null and empty texts become the end id alone. Rows repeating a
-    key are packed one by one. Strings of special tokens in a text are ordinary text. An empty
-    table gives no rows; other columns, of any name, are ignored.
+    key are packed one by one. An added token of the vocabulary that a text holds becomes its own
+    id. An empty table gives no rows; other columns, of any name, are ignored.
     """
     parts = stage(pieces(docs, key, text, size, path, ids)
                   .withColumn("row", F.monotonically_increasing_id()), "pieces")

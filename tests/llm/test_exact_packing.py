@@ -53,6 +53,20 @@ def test_ids_are_those_of_the_tokenizer(spark):
         assert np.frombuffer(encode(t), "<u4").tolist() == ids, t
 
 
+def test_added_tokens_in_a_text_keep_their_id(spark):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(packing.vocabulary_path())
+    encode = packing.encoder(packing.vocabulary_path())
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"{end}  x\n", f"tail  {end}", f"日本 {end}é it's{end}'ll", "<|endoftext| >", "<|end<|endoftext|>"]
+    for t in texts:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(encode(t), "<u4").tolist() == ids, t
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.length for r in packing.pack(df).collect()}
+    assert got == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def check_packed(rows, docs, size):
     encode = packing.encoder(packing.vocabulary_path())
     want = Counter()
