@@ -178,7 +178,8 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signed(df: DataFrame, words: int, counted: bool) -> DataFrame:
-    """(node, body) to node, set_1 and set_2 (128-bit hash of the weighted set), size, bands."""
+    """(doc, version, given, body) to doc, version, given, set_1 and set_2 (128-bit hash of the
+    weighted set), size, bands."""
 
     def run(batches):
         for b in batches:
@@ -195,10 +196,12 @@ def signed(df: DataFrame, words: int, counted: bool) -> DataFrame:
                     sets.append((element, weight))
                 bands.extend(band_keys(dart_min_hash(sets)).view(np.int64))
             yield pa.RecordBatch.from_pydict({
-                "node": b.column("node"), "set_1": pa.array(one, pa.int64()), "set_2": pa.array(two, pa.int64()),
+                **{c: b.column(c) for c in ("doc", "version", "given")},
+                "set_1": pa.array(one, pa.int64()), "set_2": pa.array(two, pa.int64()),
                 "size": pa.array(size, pa.float64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    return df.mapInArrow(run, "node long, set_1 long, set_2 long, size double, bands array<long>")
+    return df.mapInArrow(run, "doc long, version long, given boolean, set_1 long, set_2 long, size double, "
+                         "bands array<long>")
 
 
 def elements(df: DataFrame, words: int, counted: bool) -> DataFrame:
@@ -305,24 +308,34 @@ def labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFram
             .withColumn(name, F.coalesce(name, node)))
 
 
-def classes(docs: DataFrame, key: str, text: str, words: int, similarity: float, counted: bool) -> DataFrame:
-    """(node, set_node, class_node): documents, the first with the same set, the class's first."""
+def identified(docs: DataFrame, key: str, text: str, *more) -> DataFrame:
+    """(doc, version, ...): the key, or a hash of the text for a null one, and the text's hash."""
     body = F.coalesce(col(text), F.lit(""))
-    df = docs.select(F.coalesce(col(key), F.xxhash64(body)).alias("node"), body.alias("body"))
+    return docs.select(F.coalesce(col(key).cast("long"), F.xxhash64(body)).alias("doc"),
+                       F.xxhash64(F.lit(1), body).alias("version"), *more)
+
+
+def classes(docs: DataFrame, key: str, text: str, words: int, similarity: float, counted: bool) -> DataFrame:
+    """(doc, version, given, node, class_node), one row per row of ``docs``: what :func:`identified`
+    gives, whether the key is there, the node of the row's set and that of its class. Nodes are
+    sets, numbered once, so rows that repeat a key with other texts keep links of their own."""
+    df = identified(docs, key, text, col(key).cast("long").isNotNull().alias("given"),
+                    F.coalesce(col(text), F.lit("")).alias("body"))
     sign = stage(signed(df, words, counted), "signatures")
-    first = sign.groupBy("set_1", "set_2").agg(F.min("node").alias("set_node"))
-    member = stage(sign.select("node", "set_1", "set_2").join(first, ["set_1", "set_2"])
-                   .select("node", "set_node"), "members")
-    lone = first.select(F.col("set_node").alias("node"), "set_1", "set_2")
-    bands = (sign.join(lone, ["node", "set_1", "set_2"]).dropDuplicates(["node"])
+    one = ["doc", "version"]
+    first = stage(sign.groupBy("set_1", "set_2").agg(F.min(F.struct(*one)).alias("of"))
+                  .select("set_1", "set_2", "of.*", F.monotonically_increasing_id().alias("node")), "nodes")
+    member = stage(sign.select(*one, "given", "set_1", "set_2").join(first.drop(*one), ["set_1", "set_2"])
+                   .select(*one, "given", "node"), "members")
+    bands = (sign.join(first, [*one, "set_1", "set_2"]).dropDuplicates(["node"])
              .select("node", "size", F.explode("bands").alias("bucket")))
     full = (bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n"))
             .where("n > 1").select("bucket", "head"))
     shared = stage(bands.join(full, "bucket").select("bucket", "node", "size", "head"), "buckets")
     if shared.isEmpty():
-        return member.withColumn("class_node", F.col("set_node"))
-    needed = shared.select("node").distinct()
-    sets = stage(elements(df.join(needed, "node").dropDuplicates(["node"]), words, counted), "sets")
+        return member.withColumn("class_node", F.col("node"))
+    needed = first.join(shared.select("node").distinct(), "node").select(*one, "node")
+    sets = stage(elements(df.join(needed, one).dropDuplicates(["node"]).select("node", "body"), words, counted), "sets")
 
     star = (shared.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b"))
             .agg(F.count("*").alias("bands")))
@@ -349,7 +362,7 @@ def classes(docs: DataFrame, key: str, text: str, words: int, similarity: float,
     last = stage(cross_links(mine, sets, similarity), "last-links")
     if not last.isEmpty():
         labels = components(last, labels)
-    return labelled(member, labels, "set_node", "class_node")
+    return labelled(member, labels, "node", "class_node")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -359,26 +372,28 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     Documents are linked when the sets of their runs of ``words`` words have a Jaccard similarity
     of ``similarity`` or more (with ``counted``: the bags of runs); classes are what links connect.
     class_id is the smallest key of the class, whose document stays. Null counts as empty text;
-    texts without a word are alike only if equal. Rows that repeat a key are one document and share
-    a class; a null key is replaced by a hash of the text and stays null in the result. An empty
-    table gives no rows; other columns, of any name, are ignored.
+    texts without a word are alike only if equal. Rows that repeat a key with the same text are one
+    document and stay or go together; with other texts each has its own links and class, and if they
+    meet in one class the text with the smallest hash stays. A null key is replaced by a hash of the
+    text and stays null in the result. An empty table gives no rows; other columns are ignored.
     """
-    body = F.coalesce(col(text), F.lit(""))
-    df = docs.select(col(key).cast("long").alias("key"), F.coalesce(col(key).cast("long"), F.xxhash64(body)).alias("node"))
-    of = stage(classes(docs, key, text, words, similarity, counted)
-               .groupBy("node").agg(F.min("class_node").alias("class_id")), "classes")
-    out = df.join(of, "node")
-    sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return out.join(sizes, "class_id").select(
-        F.col("key").alias(key), "class_id", "class_size", (F.col("node") == F.col("class_id")).alias("kept"))
+    of = stage(classes(docs, key, text, words, similarity, counted), "classes")
+    return of.join(heads(of), "class_node").select(
+        F.when(F.col("given"), F.col("doc")).alias(key), F.col("head.doc").alias("class_id"), "class_size",
+        (F.struct("doc", "version") == F.col("head")).alias("kept"))
+
+
+def heads(of: DataFrame) -> DataFrame:
+    """(class_node, head, class_size): the document that stays and the rows of each class."""
+    return of.groupBy("class_node").agg(F.min(F.struct("doc", "version")).alias("head"),
+                                        F.count("*").alias("class_size"))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
                      similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose document stays, by the rules of :func:`near_groups`."""
-    gone = (classes(docs, key, text, words, similarity, False).where("node <> class_node")
-            .select("node").distinct())
-    body = F.coalesce(col(text), F.lit(""))
-    row = docs.select(F.struct(*map(col, docs.columns)).alias("row"),
-                      F.coalesce(col(key).cast("long"), F.xxhash64(body)).alias("node"))
-    return row.join(gone, "node", "left_anti").select("row.*").toDF(*docs.columns)
+    of = stage(classes(docs, key, text, words, similarity, False), "classes")
+    gone = (of.join(heads(of), "class_node").where(F.struct("doc", "version") != F.col("head"))
+            .select("doc", "version").distinct())
+    row = identified(docs, key, text, F.struct(*map(col, docs.columns)).alias("row"))
+    return row.join(gone, ["doc", "version"], "left_anti").select("row.*").toDF(*docs.columns)

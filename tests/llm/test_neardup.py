@@ -86,6 +86,21 @@ def test_odd_rows(odd, none):
     assert neardup.drop_near_copies(none).collect() == []
 
 
+def test_texts_under_one_id_keep_their_own_links(spark):
+    rng = random.Random(4)
+    text = lambda: [f"t{rng.randrange(10 ** 6)}" for _ in range(80)]
+    near = lambda t: [*t[:-1], "other"]
+    a, b, c, d = text(), text(), text(), text()
+    docs = [(2, a), (5, near(a)), (5, b), (7, near(b)), (5, c), (9, d), (9, near(d)), (11, near(c))]
+    docs = [(i, " ".join(t)) for i, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in neardup.near_groups(df).collect())
+    assert got == Counter([(2, 2, 2), (5, 2, 2), (5, 5, 2), (7, 5, 2), (5, 5, 2), (9, 9, 2), (9, 9, 2), (11, 5, 2)])
+    kept = Counter(map(tuple, neardup.drop_near_copies(df).collect()))
+    nines = [r for r in docs if r[0] == 9 and r in kept]
+    assert len(nines) == 1 and kept == Counter([docs[0], docs[2], docs[4], *nines])
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2 ** 63, 400).astype(np.uint64)
