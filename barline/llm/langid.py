@@ -10,6 +10,7 @@ two matrix products.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,8 @@ ALPHABET = 64
 SLOTS = 64             # hash slots per language from which training documents are taken
 TRAIN_PER_SLOT = 8     # at most SLOTS * TRAIN_PER_SLOT training documents per language
 LANDMARKS = 32         # per language, the first of its training documents by hash
-LANGUAGES = 64         # at most so many languages are learned, those with most documents
+LANGUAGES = 64         # with more languages, each gets fewer training documents and landmarks
+FEWEST = 8             # training documents that a language keeps, however many languages there are
 RIDGE = 1e-3
 SHARPNESS = 6.0
 GRAMS = ALPHABET + ALPHABET ** 2 + ALPHABET ** 3
@@ -105,16 +107,20 @@ class Model:
 
 
 def training_sample(docs: DataFrame, keep: Column, key: str, text: str, lang: str) -> DataFrame:
-    """(rank, lang, body): per language the documents with the smallest hash in each of SLOTS
-    slots, so at most SLOTS * TRAIN_PER_SLOT of them; rank 0 to SLOTS - 1 come one per slot."""
+    """(rank, marks, lang, body): per language the documents with the smallest hash in each of SLOTS
+    slots, so at most SLOTS * TRAIN_PER_SLOT of them, ranked from 0 on, first one per slot. Every
+    language with a text that has a letter is there; beyond LANGUAGES of them the documents
+    per language and ``marks``, its landmarks, shrink as their number grows."""
     h = F.xxhash64(col(key), F.lit(1))
-    ids = docs.where(keep & col(lang).isNotNull() & col(text).isNotNull()).select(
+    ids = docs.where(keep & col(lang).isNotNull() & col(text).rlike("\\p{L}")).select(
         col(key).alias("id"), col(lang).alias("lang"), h.alias("h"), F.pmod(h, F.lit(SLOTS)).alias("slot"))
-    names = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    ids = ids.join(F.broadcast(names), "lang")
+    crowd = max(1.0, ids.select("lang").distinct().count() / LANGUAGES)
+    most = max(FEWEST, int(SLOTS * TRAIN_PER_SLOT / crowd))
     n = F.row_number().over(Window.partitionBy("lang", "slot").orderBy("h", "id"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("n", "slot")) - 1  # bounded by SLOTS * TRAIN_PER_SLOT
     ids = (ids.withColumn("n", n).where(F.col("n") <= TRAIN_PER_SLOT)
-           .select("id", "lang", ((F.col("n") - 1) * SLOTS + F.col("slot")).alias("rank")))
+           .withColumn("rank", rank.cast("long")).where(F.col("rank") < most)
+           .select("id", "lang", "rank", F.lit(max(1, int(LANDMARKS / crowd))).alias("marks")))
     return docs.select(col(key).alias("id"), col(text).alias("body")).join(F.broadcast(ids), "id")
 
 
@@ -135,7 +141,7 @@ def train(docs: DataFrame, keep: Column, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_pydict({"lang": b.column("lang"), "rank": b.column("rank"),
                                               "grams": pa.array(sets, pa.list_(pa.int32()))})
 
-    marks = (sample.where(F.col("rank") < LANDMARKS).select("lang", "rank", "body")
+    marks = (sample.where(F.col("rank") < F.col("marks")).select("lang", "rank", "body")
              .mapInArrow(marked, "lang string, rank long, grams array<int>")
              .orderBy("lang", "rank").toArrow())
     sets = [np.array(g, dtype=np.int64) for g in marks["grams"].to_pylist()]
@@ -166,10 +172,11 @@ def train(docs: DataFrame, keep: Column, key: str = "doc_id", text: str = "text"
     value, vector = np.linalg.eigh(own)
     ok = value > 1e-6 * value.max()
     whiten = vector[:, ok] / np.sqrt(value[ok])
-    x = np.array(got["k"].to_pylist(), dtype=np.float64) @ whiten
+    x = got["k"].combine_chunks().flatten().to_numpy().reshape(len(names), -1).astype(np.float64) @ whiten
     y = np.where(np.array(names)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     # Every language weighs the same, however many of the sampled documents it has.
-    w = 1.0 / np.array([names.count(n) for n in names])
+    times = Counter(names)
+    w = 1.0 / np.array([times[n] for n in names])
     xw = x * w[:, None]
     beta = np.linalg.solve(xw.T @ x + RIDGE * np.eye(x.shape[1]), xw.T @ y)
     return Model(languages, landmarks, (whiten @ beta).astype(np.float32))

@@ -69,6 +69,23 @@ def test_language_held_out(docs, odd, none):
     assert langid.predict(none, model).collect() == []
 
 
+def test_all_languages_are_learned(spark):
+    rng = random.Random(6)
+    rows = []
+    for n in range(80):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        for _ in range(1 if n == 79 else 3 if n > 60 else 8):
+            text = " ".join("".join(rng.choices(letters, k=5)) for _ in range(120))
+            rows.append((len(rows), text, f"l{n:02}"))
+    rows.append((None, "?!", "none"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, F.lit(True))
+    assert model.languages == [f"l{n:02}" for n in range(80)]
+    got = langid.predict(df, model).join(df, "doc_id").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+    assert all(r.lang == r.lang_pred for r in got if r.lang == "l79")
+
+
 def test_kernel_equals_plain_sets():
     def plain(t):
         s = []
