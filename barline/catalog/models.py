@@ -106,8 +106,8 @@ w AS (SELECT symbol, CAST(k AS BIGINT) AS window_id, 504 + k * 630 AS s, n FROM
 SELECT symbol, window_id, 126 AS rows, TRUE AS sound FROM w""")
 def walk_forward_fit(spark, d):
     rows = training_rows(spark, d)
-    members = folds.window_membership(rows, *TRAIN_ON, "label", "ret", step=630)
-    out = models.wfo_report(models.walk_forward_fit(members, TRAIN_ON, trees=3, depth=2))
+    members = folds.window_membership(rows, *TRAIN_ON, "label", "ret")
+    out = models.wfo_report(models.walk_forward_fit(members, TRAIN_ON))
     return out.select("symbol", F.col("window_id").cast("bigint").alias("window_id"), F.col("rows").cast("int").alias("rows"),
                       (share(F.col("accuracy")) & F.col("strategy_sharpe").isNotNull()).alias("sound"))
 
