@@ -49,7 +49,7 @@ def share(c):
 @register("gbt_train", f"{ROWS} SELECT symbol, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, TRUE AS sound FROM {HELD} GROUP BY 1")
 def gbt_train(spark, d):
     """Held-out rows per symbol, and that the metrics agree with the predictions."""
-    _, scored = models.gbt_train(training_rows(spark, d), TRAIN_ON, trees=20, depth=4)
+    _, scored = models.gbt_train(training_rows(spark, d), TRAIN_ON)
     hit = (F.col("predicted") == F.col("label")).cast("double")
     facts = scored.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("label").cast("bigint")).alias("positives"),
@@ -63,7 +63,7 @@ def gbt_train(spark, d):
 @register("score_rows", f"{ROWS} SELECT symbol, ts, label, TRUE AS sound FROM {HELD}")
 def score_rows(spark, d):
     """Held-out rows, and that class, confidence and score follow from the probability."""
-    _, s = models.gbt_train(training_rows(spark, d), TRAIN_ON, trees=5, depth=3)
+    _, s = models.gbt_train(training_rows(spark, d), TRAIN_ON)
     p, up = F.col("probability_up"), F.col("predicted")
     sound = (share(p) & ((up == 1) == (p > 0.5)) & (F.col("score") == 2 * up - 1)
              & (F.abs(F.col("confidence") - F.greatest(p, 1 - p)) < 1e-9))
@@ -73,7 +73,7 @@ def score_rows(spark, d):
 @register("gbt_importance", f"SELECT {len(TRAIN_ON)} AS features, 1e0 AS total, TRUE AS sound FROM lineitem LIMIT 1", "total")
 def gbt_importance(spark, d):
     """Importances are shares of 1, ranked from the largest on."""
-    model, _ = models.gbt_train(training_rows(spark, d), TRAIN_ON, trees=5, depth=3)
+    model, _ = models.gbt_train(training_rows(spark, d), TRAIN_ON)
     top = models.gbt_importance(model, TRAIN_ON, spark)
     later = F.lead("importance").over(Window.partitionBy(F.lit(0)).orderBy("rank"))
     return top.withColumn("_next", F.coalesce(later, F.lit(0.0))).agg(
@@ -97,7 +97,7 @@ def param_search(spark, d):
 @register("purged_cv_score", f"""{ROWS}, s AS (SELECT symbol, CAST(max(n) // 5 AS BIGINT) AS size FROM tr GROUP BY 1)
 SELECT CAST(k AS INTEGER) AS fold, CAST(sum(size) AS BIGINT) AS rows, TRUE AS sound FROM s, range(4) f(k) GROUP BY 1""")
 def purged_cv_score(spark, d):
-    out = models.purged_cv_score(training_rows(spark, d), TRAIN_ON, k=5, trees=3, depth=3)
+    out = models.purged_cv_score(training_rows(spark, d), TRAIN_ON, k=5)
     return out.select("fold", "rows", share(F.col("accuracy")).alias("sound"))
 
 
@@ -224,7 +224,7 @@ def _stack(spark, d):
         "symbol", "ts", F.greatest(F.least("forward_return", F.lit(1.0)), F.lit(-1.0)).alias("target"))
     rows = training_rows(spark, d).join(y, ["symbol", "ts"])
     bases = {"linear": LinearRegression(labelCol="target", regParam=0.1),
-             "trees": GBTRegressor(labelCol="target", maxIter=3, maxDepth=3, seed=42)}
+             "trees": GBTRegressor(labelCol="target", maxIter=50, maxDepth=6, seed=42)}
     return models.oof_stack(rows, TRAIN_ON, bases, k=5), list(bases)
 
 

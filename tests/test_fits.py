@@ -1,5 +1,6 @@
 """Registered fits take all windows and the operators' full size; the fits themselves are stood in for."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from barline.catalog import models as queries
@@ -18,3 +19,26 @@ def test_walk_forward_fit_takes_every_window(spark, monkeypatch):
     got = {(r.symbol, r.window_id) for r in queries.walk_forward_fit(spark, SF).collect()}
     want = folds.walk_forward(queries.training_rows(spark, SF)).collect()
     assert seen == [{}] and got == {(r.symbol, r.window_id) for r in want} and len(want) > 0
+
+
+class Stop(Exception):
+    pass
+
+
+def test_fits_have_the_operators_full_size(spark, monkeypatch):
+    seen = []
+
+    def fit(train, names, **params):
+        seen.append(params)
+        raise Stop
+
+    def stack(rows, names, bases, **params):
+        seen.append({p: bases["trees"].getOrDefault(p) for p in ("maxIter", "maxDepth")})
+        raise Stop
+    monkeypatch.setattr(models, "fit_boosted", fit)
+    monkeypatch.setattr(models, "oof_stack", stack)
+    for query in (queries.gbt_train, queries.score_rows, queries.gbt_importance, queries.purged_cv_score,
+                  queries.oof_stack, queries.meta_importance):
+        with pytest.raises(Stop):
+            query(spark, SF)
+    assert seen == [{}] * 4 + [{"maxIter": 50, "maxDepth": 6}] * 2
