@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import re
 import zlib
 
@@ -27,15 +28,10 @@ from barline.llm.common import col, stage
 SIZE = 1024
 END = np.array([2], dtype="<u4").tobytes()
 RANK_ROWS = 1_000
-KNOWN_WORDS = 800_000  # encoded words that a task's process keeps, some 150 MB
+WHITE = 10_000  # longer runs of white space go to the tokenizer itself: the fast encoder's pattern cannot hold them
 
-# Splitting rule of the byte-level vocabulary (fixed value), and the same rule for texts that
-# hold Latin letters, ASCII and plain white space only, where no Unicode tables are needed.
+# Splitting rule of a byte-level vocabulary (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-LATIN_SPLIT = re.compile(SPLIT.replace(r"\p{L}+", f"[{LETTER}]+").replace(r"\p{N}+", "[0-9]+")
-                         .replace(r"\p{L}\p{N}", f"{LETTER}0-9"))
-NOT_LATIN = re.compile(f"[^\\t\\n\\r\\x20-\\x7e{LETTER}]")
 
 
 def vocabulary_path() -> str:
@@ -43,47 +39,69 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """bytes -> id of a plain byte-level vocabulary whose merges come in the order of their ids, so
+    that merging the pair with the smallest id first gives the tokenizer's result; otherwise None."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if (model.get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space")
+            or not split.get("use_regex", True) or spec.get("normalizer") or model.get("dropout")
+            or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges")):
+        return None
+    vocab = model["vocab"]
+    order = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if None in order or any(a >= b for a, b in zip(order, order[1:])):
+        return None
+    # Printable bytes stand for themselves, the others for the letters from 256 on.
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    if not set(byte) <= set(vocab) or len(order) + 256 != len(vocab):
+        return None
+    return {bytes(map(byte.__getitem__, word)): i for word, i in vocab.items()}
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit bytes; words are encoded once and kept.
+    """text -> its ids as little-endian unsigned 32-bit bytes; nothing is kept from text to text.
 
-    Added tokens of the file are found in the text first, as the tokenizer does, and what lies
-    between them is split into words. Texts with an added token that takes in its surroundings go to
-    the tokenizer as a whole."""
+    Added tokens of the file are found in the text first, as the tokenizer does, and what lies between
+    them is merged by a byte-pair encoder that runs over the file's own vocabulary: the same ids at a
+    sixth of the time. Texts with an added token that takes in its surroundings, with a very long run
+    of white space, and all texts of a file of another kind go to the tokenizer as a whole."""
     import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    import regex
-    from tokenizers import Tokenizer
-    tok = Tokenizer.from_file(path)
-    general, known = regex.compile(SPLIT), {}
-    tokens = list(tok.get_added_tokens_decoder().values())
-    greedy = [t.content for t in tokens if t.lstrip or t.rstrip or t.single_word]
-    added = re.compile("(" + "|".join(re.escape(t.content) for t in sorted(tokens, key=lambda t: -len(t.content))) + ")")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ranks = byte_ranks(spec)
+    added = {t["content"]: t for t in spec.get("added_tokens") or []}
+    greedy = [c for c, t in added.items() if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    find = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")")
+    white = re.compile(rf"\s{{{WHITE}}}")
+
+    @functools.cache
+    def tokenizer():
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(path)
 
     def ids_of(text: str) -> bytes:
-        return np.asarray(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.asarray(tokenizer().encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(text: str) -> bytes:
-        if not tokens or not added.search(text):
-            return plain(text)
-        if any(t in text for t in greedy):
-            return ids_of(text)
-        # odd places hold the tokens themselves
-        return b"".join(ids_of(x) if k % 2 else plain(x) for k, x in enumerate(added.split(text)))
+    if ranks is None:
+        return ids_of
+    import tiktoken
+    fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def plain(text: str) -> bytes:
-        words = (general if NOT_LATIN.search(text) else LATIN_SPLIT).findall(text)
-        if len(known) > KNOWN_WORDS:
-            # words that come first are the frequent ones: those stay, the later half goes
-            for w in list(known)[KNOWN_WORDS // 2:]:
-                del known[w]
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-            return b"".join([known[w] for w in words])
+        return np.array(fast.encode_ordinary(text), dtype="<u4").tobytes()
+
+    def encode(text: str) -> bytes:
+        if white.search(text) or any(c in text for c in greedy):
+            return ids_of(text)
+        if not any(c in text for c in added):
+            return plain(text)
+        # odd places hold the added tokens themselves
+        return b"".join(np.uint32(added[x]["id"]).tobytes() if k % 2 else plain(x)
+                        for k, x in enumerate(find.split(text)))
 
     return encode
 

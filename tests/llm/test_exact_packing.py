@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -126,3 +127,26 @@ def test_best_fit_equals_the_one_by_one_rule():
                 gaps.append(64 - x)
         matches = packing.best_fit(dict(Counter(lengths)), 64)
         assert 1 + max(f + (n - 1) // m for _, _, n, m, f, _ in matches) == len(gaps)
+
+
+def test_fast_encoder_splits_every_character_as_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+    path = packing.vocabulary_path()
+    tok, encode = Tokenizer.from_file(path), packing.encoder(path)
+    rng = random.Random(3)
+    every = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c}a {c} {c}1" for c in every[k:k + 500]) for k in range(0, len(every), 500)]
+    texts += ["".join(rng.choice(["a", "B", " ", "  ", "\n", "'s", "’", "1", "é", "日", " ", " ", "!", "\t"])
+                      for _ in range(200)) for _ in range(300)]
+    texts += [" " * 12_000 + "x", "\n" * 30_000, "a" * 50_000]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t[:60]
+
+
+def test_other_kinds_of_files_go_to_the_tokenizer_whole():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, encode = Tokenizer.from_file(path), packing.encoder(path)
+    for t in ["", "Some Words, here", "ÀÉ 12"]:
+        assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
