@@ -42,10 +42,14 @@ def fold(key: Column, folds: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int,
                     key: str = "doc_id", text: str = "text") -> DataFrame:
-    """At most ``rows`` labelled documents as (id, body, label): those with the smallest hash of
-    their key among the labels that ``keep`` admits. Only this bounded list of ids is broadcast."""
+    """At most ``rows`` labelled documents as (id, label, body): those with the smallest hash of
+    their key among the labels that ``keep`` admits. Only this bounded list of ids is broadcast.
+    An id that several rows share counts once, with the text of smallest hash (ties are equal
+    texts); tasks keep one text per admitted id before anything is shuffled. An id with several
+    labels has the largest; null ids and labels take no part."""
     ids = (labels.where(keep & col(key).isNotNull() & col(label).isNotNull())
            .groupBy(col(key).alias("id")).agg(F.max(col(label).cast("int")).alias("label"))
            .orderBy(F.xxhash64("id"), "id").limit(rows))
     return (docs.select(col(key).alias("id"), F.coalesce(col(text), F.lit("")).alias("body"))
-            .join(F.broadcast(ids), "id"))
+            .join(F.broadcast(ids), "id").groupBy("id")
+            .agg(F.max("label").alias("label"), F.min_by("body", F.xxhash64("body")).alias("body")))

@@ -110,18 +110,25 @@ def training_sample(docs: DataFrame, keep: Column, key: str, text: str, lang: st
     """(rank, marks, lang, body): per language the documents with the smallest hash in each of SLOTS
     slots, so at most SLOTS * TRAIN_PER_SLOT of them, ranked from 0 on, first one per slot. Every
     language with a text that has a letter is there; beyond LANGUAGES of them the documents
-    per language and ``marks``, its landmarks, shrink as their number grows."""
-    h = F.xxhash64(col(key), F.lit(1))
-    ids = docs.where(keep & col(lang).isNotNull() & col(text).rlike("\\p{L}")).select(
-        col(key).alias("id"), col(lang).alias("lang"), h.alias("h"), F.pmod(h, F.lit(SLOTS)).alias("slot"))
+    per language and ``marks``, its landmarks, shrink as their number grows. Rows that share a key
+    count by themselves, each with its own language and text; rows that repeat all three count once."""
+    read = (docs.where(keep & col(lang).isNotNull() & col(text).rlike("\\p{L}"))
+            .select(col(key).alias("id"), col(lang).alias("lang"), F.xxhash64(col(text)).alias("text_hash"),
+                    col(text).alias("body")))
+    same = ["id", "lang", "text_hash"]
+    h = F.xxhash64("id", "lang", "text_hash")
+    ids = read.select(*same, h.alias("h"), F.pmod(h, F.lit(SLOTS)).alias("slot"))
     crowd = max(1.0, ids.select("lang").distinct().count() / LANGUAGES)
     most = max(FEWEST, int(SLOTS * TRAIN_PER_SLOT / crowd))
-    n = F.row_number().over(Window.partitionBy("lang", "slot").orderBy("h", "id"))
+    n = F.dense_rank().over(Window.partitionBy("lang", "slot").orderBy("h", "id", "text_hash"))  # repeated rows share it
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("n", "slot")) - 1  # bounded by SLOTS * TRAIN_PER_SLOT
-    ids = (ids.withColumn("n", n).where(F.col("n") <= TRAIN_PER_SLOT)
+    ids = (ids.withColumn("n", n).where(F.col("n") <= TRAIN_PER_SLOT).dropDuplicates([*same, "n", "slot"])
            .withColumn("rank", rank.cast("long")).where(F.col("rank") < most)
-           .select("id", "lang", "rank", F.lit(max(1, int(LANDMARKS / crowd))).alias("marks")))
-    return docs.select(col(key).alias("id"), col(text).alias("body")).join(F.broadcast(ids), "id")
+           .select(*same, "rank", F.lit(max(1, int(LANDMARKS / crowd))).alias("marks")))
+    met = [F.col(f"r.{c}").eqNullSafe(F.col(f"i.{c}")) for c in same]
+    return (read.alias("r").join(F.broadcast(ids).alias("i"), met[0] & met[1] & met[2])
+            .select("i.lang", "i.rank", "i.marks", "r.body").groupBy("lang", "rank")
+            .agg(F.max("marks").alias("marks"), F.min_by("body", F.xxhash64("body")).alias("body")))
 
 
 def train(docs: DataFrame, keep: Column, key: str = "doc_id", text: str = "text",

@@ -36,7 +36,7 @@ STANDS_FOR = str.maketrans("013457@$!", "oieastasi")
 LETTERS = re.compile(r"[^\W\d_]+")
 MASKED = re.compile(r"[^\W\d_]+[0-9@$!*]+[^\W\d_][\w@$!*]*")
 
-# Byte classes for one histogram per text: capitals, digits, !, ?, other punctuation, space.
+# Byte classes for one histogram per text: capitals (of ASCII; see features), digits, !, ?, other punctuation, space.
 KINDS = np.zeros((256, 6))
 for _kind, _bytes in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"?",
                                 b"\"#$%&'()*+,-./:;<=>@[\\]^_`{|}~", b" \t\r\n")):
@@ -58,7 +58,10 @@ def features(text: str, lexicon: dict[str, float], fixed: frozenset, second: fro
     plain = [LETTERS.findall(m.lower().replace("*", "").translate(STANDS_FOR)) for m in masked]
     uncovered = sum(any(w in fixed or w in lexicon for w in ws) for ws in plain)
     data = text.encode("utf-8", "replace")
-    share = np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ KINDS / max(1, len(data))
+    codes = np.frombuffer(data, np.uint8)
+    share = np.bincount(codes, minlength=256) @ KINDS / max(1, len(data))
+    # capitals of Latin-1: À to Þ but ×, two bytes each
+    share[0] += ((codes[:-1] == 0xC3) & (codes[1:] <= 0x9E) & (codes[1:] != 0x97)).sum() / max(1, len(data))
     return [len(hits) / n, np.log1p(len(hits)), sum(words[i] in fixed for i in hits) / n,
             sum(weights) / n, sum(weights), max(weights, default=0.0), len({words[i] for i in hits}),
             near / n, near, len(masked) / n, uncovered, np.log1p(len(words)), len(data) / n, *share]

@@ -126,6 +126,30 @@ def test_training_rows_are_bounded_and_admitted(docs, labels):
     assert len(rows) == 50 and all(zlib.crc32(str(r.id).encode()) % 3 != 1 for r in rows)
 
 
+def test_repeated_ids_give_one_training_row_each(spark):
+    from barline.llm.common import labelled_sample
+    docs = spark.range(5000).selectExpr("id % 3 AS doc_id", "concat('text ', id % 700) AS text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", F.lit(True), 2).collect()
+    assert len({r.id for r in rows}) == len(rows) == 2
+    assert all(r.label == {0: 1, 1: 1, 2: 0}[r.id] for r in rows)
+
+
+def test_language_sample_keeps_each_text_with_its_own_language(spark):
+    rows = [(1, "ein deutscher satz", "de"), (1, "an english sentence", "en"), (1, "without language", None), (1, "?!", "de"),
+            (None, "une phrase", "fr")] + [(2, "the same text", "en")] * 5000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_sample(df, F.lit(True), "doc_id", "text", "lang").select("lang", "body").collect()
+    assert sorted(map(tuple, got)) == [("de", "ein deutscher satz"), ("en", "an english sentence"), ("en", "the same text"),
+                                       ("fr", "une phrase")]
+
+
+def test_capitals_of_every_language_count():
+    f = lambda t: toxicity.features(t, {}, frozenset(), frozenset())[13]
+    for t, n in [("ÉÜA", 3), ("×é÷aa", 0), ("Ñandú", 1), ("", 0)]:
+        assert f(t) == pytest.approx(n / max(1, len(t.encode()))), t
+
+
 def test_second_person_proximity():
     f = lambda t: toxicity.features(t, {}, frozenset(toxicity.INSULTS), frozenset(toxicity.SECOND_PERSON))
     assert f("you are an idiot")[8] == 1 and f("an idiot " + "x " * 30 + "you")[8] == 0 and f("an idiot")[8] == 0
