@@ -48,7 +48,9 @@ def add_ewm(df: DataFrame, specs: dict[str, Ewm], keys=("symbol",)) -> DataFrame
 
     Where x is NULL the last value stands in for it, so a gap neither pulls the average towards 0
     nor shifts its weights, and the result is NULL on the row itself. A series whose first values
-    are NULL starts at its first value.
+    are NULL starts at its first value. Blocks that count rows with a value (``in_blocks`` with
+    ``values``) hold the last value before them, whatever the gap; in other blocks an average whose
+    last value lies before the halo starts anew at the next one.
     """
     rn = F.col("rn")
     plain = {n: s for n, s in specs.items() if s.alpha >= 1}
@@ -73,8 +75,10 @@ def add_ewm(df: DataFrame, specs: dict[str, Ewm], keys=("symbol",)) -> DataFrame
     local = []
     for name, s in specs.items():
         value = F.col(f"_ewv_{name}")
-        # only the block that holds the first row of the series decides where it starts
-        start = F.when(F.col("_ewx0") == 0, F.greatest(F.col(f"_ewf_{name}"), F.lit(s.start))).otherwise(s.start)
+        # the block that holds the first row of the series decides where it starts; in others the sum
+        # is under way, unless their first rows know no value
+        start = F.when((F.col("_ewx0") == 0) | (F.col(f"_ewf_{name}") > F.col("_ewx0")),
+                       F.greatest(F.col(f"_ewf_{name}"), F.lit(s.start))).otherwise(s.start)
         weighted = F.when(rn == start, value).when(rn > start, value * s.alpha)
         run = within[_sub_rows(s.alpha)].rowsBetween(Window.unboundedPreceding, 0)
         total = F.sum(weighted * q_pow(s.alpha, -at(s.alpha))).over(run)

@@ -229,7 +229,7 @@ def signal_norm(df: DataFrame, x: str, lookback: int = 20, keys=("symbol",), ord
 
 def ema(bars: DataFrame, *periods: int, x: str = "close", block_rows: int | None = None) -> DataFrame:
     halo = max(ewm_halo(span_alpha(p)) for p in periods)
-    df = in_blocks(bars, halo, block_rows=block_rows)
+    df = in_blocks(bars if x == "close" else bars.drop("vn"), halo, block_rows=block_rows, values=x)
     df = add_ewm(df, {f"ema_{p}": Ewm(F.col(x), span_alpha(p)) for p in periods})
     return _out(df, *[f"ema_{p}" for p in periods])
 
@@ -263,7 +263,7 @@ def rsi(bars: DataFrame, *periods: int, block_rows: int | None = None) -> DataFr
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9,
          block_rows: int | None = None) -> DataFrame:
     halo = ewm_halo(span_alpha(slow)) + ewm_halo(span_alpha(signal))
-    df = in_blocks(bars, halo, block_rows=block_rows)
+    df = in_blocks(bars, halo, block_rows=block_rows, values="close")
     df = add_ewm(df, {"_fast_ema": Ewm(F.col("close"), span_alpha(fast)),
                       "_slow_ema": Ewm(F.col("close"), span_alpha(slow))})
     df = df.withColumn("macd", F.col("_fast_ema") - F.col("_slow_ema"))
@@ -273,7 +273,7 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9,
 
 
 def ppo(bars: DataFrame, fast: int = 12, slow: int = 26, block_rows: int | None = None) -> DataFrame:
-    df = in_blocks(bars, ewm_halo(span_alpha(slow)), block_rows=block_rows)
+    df = in_blocks(bars, ewm_halo(span_alpha(slow)), block_rows=block_rows, values="close")
     df = add_ewm(df, {"_fast_ema": Ewm(F.col("close"), span_alpha(fast)),
                       "_slow_ema": Ewm(F.col("close"), span_alpha(slow))})
     return _out(df.withColumn("ppo", ppo_col("_fast_ema", "_slow_ema")), "ppo")
@@ -285,7 +285,7 @@ def ppo_col(fast: str, slow: str) -> Column:
 
 def keltner(bars: DataFrame, period: int = 20, width: float = 2.0,
             block_rows: int | None = None) -> DataFrame:
-    df = in_blocks(bars, ewm_halo(span_alpha(period)), block_rows=block_rows)
+    df = in_blocks(bars, ewm_halo(span_alpha(period)), block_rows=block_rows, values="close")
     df = add_ewm(with_atr(df, period), {"kc_middle": Ewm(F.col("close"), span_alpha(period))})
     reach = F.col(f"_atr_{period}") * width
     df = (df.withColumn("kc_upper", F.col("kc_middle") + reach)
@@ -312,7 +312,7 @@ def momentum_spec() -> Ewm:
 
 
 def squeeze_pro(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
-    df = in_blocks(bars, ewm_halo(span_alpha(20)) + MOMENTUM_ROWS, block_rows=block_rows)
+    df = in_blocks(bars, ewm_halo(span_alpha(20)) + MOMENTUM_ROWS, block_rows=block_rows, values="close")
     df = with_bollinger(with_atr(df, 20))
     df = df.withColumn("_mom", F.col("close") - lagged("close", MOMENTUM_ROWS))
     df = add_ewm(df, {"kc_middle": Ewm(F.col("close"), span_alpha(20)),
@@ -349,7 +349,7 @@ def adx(bars: DataFrame, period: int = 14, block_rows: int | None = None) -> Dat
 
 
 def ma_cross_flags(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
-    df = in_blocks(bars, ewm_halo(span_alpha(21)), block_rows=block_rows)
+    df = in_blocks(bars, ewm_halo(span_alpha(21)), block_rows=block_rows, values="close")
     df = add_ewm(df, {"ema_9": Ewm(F.col("close"), span_alpha(9)),
                       "ema_21": Ewm(F.col("close"), span_alpha(21))})
     df = (df.withColumn("sma_20_50_cross", (sma_col(20) > sma_col(50)).cast("int"))

@@ -25,28 +25,36 @@ UNPLACED = "a row without key or time has no place in a series; set such rows ap
 
 def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",),
                 bucket_seconds: int = BAR_BUCKET, name: str = "rn", with_total: bool = False,
-                keep_bucket: bool = False) -> DataFrame:
+                keep_bucket: bool = False, values: str | None = None) -> DataFrame:
     """0-based position of each row in its series; ``n`` is the series length on request.
 
+    With ``values`` a column ``vn`` numbers the rows where that column has a value; a row without one
+    has the number of the last such row, or 0 before the first (see ``split_blocks``).
+
     The calendar bucket may stay as ``blk``: ``running`` then works in buckets as they lie.
     A row whose key or time is NULL ends the job with a message instead of vanishing in a join.
     """
     keys = list(keys)
     b = df.withColumn("_bk", F.floor(F.unix_seconds(F.col(order[0])) / bucket_seconds))
-    counts = b.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    counts = b.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"), F.count(values or F.lit(1)).alias("_cv"))
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = per_key.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     cols = [F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")]
+    if values:
+        cols.append(F.coalesce(F.sum("_cv").over(before), F.lit(0)).alias("_offv"))
     if with_total:
         cols.append(F.sum("_c").over(per_key).alias("n"))
     offsets = counts.select(*keys, "_bk", *cols)
     local = Window.partitionBy(*keys, "_bk").orderBy(*order)
     # an outer join, as an inner one would quietly leave out rows without key or time
     rn = F.when(F.col("_off").isNull(), F.raise_error(F.lit(UNPLACED))).otherwise(F.col("_off") + F.col("_pos") - 1)
-    return (b.withColumn("_pos", F.row_number().over(local))
-            .join(offsets, [*keys, "_bk"], "left")
-            .select(*[c for c in df.columns if c != name],
-                    rn.cast("bigint").alias(name),
+    b = b.withColumn("_pos", F.row_number().over(local))
+    if values:
+        b = b.withColumn("_posv", F.count(values).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    vn = F.greatest(F.col("_offv") + F.col("_posv") - 1, F.lit(0)).alias("vn")
+    return (b.join(offsets, [*keys, "_bk"], "left")
+            .select(*[c for c in df.columns if c != name and not (values and c == "vn")],
+                    rn.cast("bigint").alias(name), *([vn] if values else []),
                     *(["n"] if with_total else []),
                     *([F.col("_bk").alias("blk")] if keep_bucket else [])))
 
@@ -57,17 +65,18 @@ def block_size(halo: int) -> int:
 
 
 def split_blocks(df: DataFrame, before: int = 0, after: int = 0,
-                 block_rows: int | None = None, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+                 block_rows: int | None = None, keys: Sequence[str] = ("symbol",), place: str = "rn") -> DataFrame:
     """Adds ``blk`` and ``sub``; halo rows are repeated in the neighbouring blocks.
 
-    Shuffled once by (keys, blk), which every window over a block and any part of it accepts.
+    With ``place="vn"`` blocks and halo count rows that have a value: a frame that looks for the last
+    value before its block then finds it, however long a gap runs over the border. Shuffled once by (keys, blk), which every window over a block and any part of it accepts.
     """
     size = block_rows or block_size(before + after)
-    rn = F.col("rn")
-    own = F.floor(rn / size)
+    rn, at = F.col("rn"), F.col(place)
+    own = F.floor(at / size)
     if before or after:
-        first = F.floor(F.greatest(rn - after, F.lit(0)) / size)
-        last = F.floor((rn + before) / size)
+        first = F.floor(F.greatest(at - after, F.lit(0)) / size)
+        last = F.floor((at + before) / size)
         blk = F.explode(F.sequence(first, last))
     else:
         blk = own
@@ -88,11 +97,21 @@ def core_rows(df: DataFrame, drop_rn: bool = True) -> DataFrame:
 
 def in_blocks(df: DataFrame, before: int = 0, after: int = 0, keys: Sequence[str] = ("symbol",),
               order: Sequence[str] = ("ts",), bucket_seconds: int = BAR_BUCKET,
-              block_rows: int | None = None, with_total: bool = False) -> DataFrame:
-    """number_rows + split_blocks; a frame that is already numbered is not numbered again."""
+              block_rows: int | None = None, with_total: bool = False, values: str | None = None) -> DataFrame:
+    """number_rows + split_blocks; a frame that is already numbered is not numbered again. With
+    ``values`` the blocks count the rows where that column has a value."""
     if "rn" not in df.columns:
-        df = number_rows(df, keys, order, bucket_seconds, with_total=with_total)
-    return split_blocks(df, before, after, block_rows, keys)
+        df = number_rows(df, keys, order, bucket_seconds, with_total=with_total, values=values)
+    return split_blocks(with_value_numbers(df, values, keys) if values else df, before, after, block_rows, keys,
+                        "vn" if values else "rn")
+
+
+def with_value_numbers(df: DataFrame, values: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """A numbered frame with ``vn``, which stored bars carry for their closes."""
+    if "vn" in df.columns:
+        return df
+    df = running(df.drop("blk"), {"vn": ("sum", F.col(values).isNotNull().cast("bigint"))}, keys)
+    return df.withColumn("vn", F.greatest(F.col("vn") - 1, F.lit(0)))
 
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}

@@ -32,13 +32,14 @@ def line_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars with their position ``rn`` and series length ``n``, as a stored table."""
+    """Daily bars with their position ``rn``, the number ``vn`` of their closes and the series length
+    ``n``, as a stored table."""
     return stored(spark, sf_dir, "bars_daily", lambda: number_rows(
-        rollup(line_ticks(spark, sf_dir), "1Day"), with_total=True))
+        rollup(line_ticks(spark, sf_dir), "1Day"), with_total=True, values="close"))
 
 
 def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_series(spark, sf_dir).drop("rn", "n")
+    return bars_series(spark, sf_dir).drop("rn", "vn", "n")
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barline.operators import features
 from barline.operators import ffd as ffd_ops
 from barline.operators import indicators as ind
 from barline.operators import labels, risk, stats
@@ -51,6 +52,49 @@ def test_ewm_start(walk):
         close(got[s][:, 0], series(c).diff(12).ewm(alpha=2 / 7, adjust=False).mean(), 1e-9)
 
 
+def gaps(spark):
+    """Random walks with runs of NULL closes: one of 3,000 rows, one at the start, short ones."""
+    rng = np.random.default_rng(11)
+    closes = {}
+    for name, n, holes in (("A", 9000, [(4000, 7000)]), ("B", 6000, [(0, 2500), (2600, 2610), (3000, 5900)]), ("C", 400, [(0, 400)])):
+        c = 100 + np.cumsum(rng.normal(0, 1, n))
+        for a, b in holes:
+            c[a:b] = np.nan
+        closes[name] = c
+    rows = [(s, dt.datetime(2000, 1, 1) + dt.timedelta(days=i), None if np.isnan(x) else float(x), 1.0)
+            for s, c in closes.items() for i, x in enumerate(c)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, close double, volume double")
+    return df.withColumns({"open": F.col("close"), "high": F.col("close") + 1, "low": F.col("close") - 1}), closes
+
+
+@pytest.mark.parametrize("block, numbered", [(700, False), (2048, True), (10 ** 6, False)])
+def test_averages_over_long_gaps(spark, block, numbered):
+    df, closes = gaps(spark)
+    if numbered:
+        df = number_rows(df, with_total=True, values="close")
+    e = by_symbol(ind.ema(df, 9, 26, block_rows=block), "ema_9", "ema_26")
+    m = by_symbol(ind.macd(df, block_rows=block), "macd", "macd_signal")
+    k = by_symbol(ind.keltner(df, block_rows=block), "kc_middle")
+    for s, c in closes.items():
+        x, hole = series(c).ffill(), np.isnan(c)
+
+        def avg(v, alpha):
+            return v.ewm(alpha=alpha, adjust=False).mean().mask(hole)
+        close(e[s][:, 0], avg(x, .2), 1e-9)
+        close(e[s][:, 1], avg(x, 2 / 27), 1e-9)
+        line = avg(x, 2 / 13) - avg(x, 2 / 27)
+        close(m[s][:, 0], line, 1e-9)
+        close(m[s][:, 1], avg(line.ffill(), .2), 1e-9)
+        close(k[s][:, 0], avg(x, 2 / 21), 1e-9)
+
+
+def test_all_indicators_over_long_gaps(spark):
+    df, closes = gaps(spark)
+    parts = by_symbol(features.all_indicators(df, block_rows=700), "ema_9", "macd", "macd_signal")
+    for s, got in by_symbol(features.all_indicators(df, block_rows=10 ** 6), "ema_9", "macd", "macd_signal").items():
+        close(parts[s], got, 1e-9)
+
+
 def test_rolling(walk):
     df, closes = walk
     sma = by_symbol(ind.sma(df, 20, 200, block_rows=BLOCK), "sma_20", "sma_200")
