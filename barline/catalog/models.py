@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from barline.operators.features import feature_names
 from barline.session import scratch_path
 from barline.sources import derived as src
 from barline.sources.derived import bars_series, feature_table, indicator_table
-from barline.sources.stored import stored
+from barline.sources.stored import stage, stored, stored_path
 
 WITH = f"WITH {NUMBERED}\n"
 P = "OVER (PARTITION BY symbol ORDER BY ts"
@@ -46,10 +47,20 @@ def share(c):
     return (c >= 0) & (c <= 1)
 
 
+def pooled_fit(spark, d):
+    """One fit over all symbols, kept as a stored model with its scored rows and read by three queries."""
+    def build(path):
+        model, scored = models.gbt_train(training_rows(spark, d), TRAIN_ON)
+        model.write().save(f"{path}/model")
+        scored.select("symbol", "ts", "label", "predicted", "probability_up", "confidence", "score").write.parquet(f"{path}/scored")
+    path = stored_path(spark, d, "pooled-fit", build)
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/scored")
+
+
 @register("gbt_train", f"{ROWS} SELECT symbol, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, TRUE AS sound FROM {HELD} GROUP BY 1")
 def gbt_train(spark, d):
     """Held-out rows per symbol, and that the metrics agree with the predictions."""
-    _, scored = models.gbt_train(training_rows(spark, d), TRAIN_ON)
+    _, scored = pooled_fit(spark, d)
     hit = (F.col("predicted") == F.col("label")).cast("double")
     facts = scored.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("label").cast("bigint")).alias("positives"),
@@ -63,7 +74,7 @@ def gbt_train(spark, d):
 @register("score_rows", f"{ROWS} SELECT symbol, ts, label, TRUE AS sound FROM {HELD}")
 def score_rows(spark, d):
     """Held-out rows, and that class, confidence and score follow from the probability."""
-    _, s = models.gbt_train(training_rows(spark, d), TRAIN_ON)
+    _, s = pooled_fit(spark, d)
     p, up = F.col("probability_up"), F.col("predicted")
     sound = (share(p) & ((up == 1) == (p > 0.5)) & (F.col("score") == 2 * up - 1)
              & (F.abs(F.col("confidence") - F.greatest(p, 1 - p)) < 1e-9))
@@ -73,7 +84,7 @@ def score_rows(spark, d):
 @register("gbt_importance", f"SELECT {len(TRAIN_ON)} AS features, 1e0 AS total, TRUE AS sound FROM lineitem LIMIT 1", "total")
 def gbt_importance(spark, d):
     """Importances are shares of 1, ranked from the largest on."""
-    model, _ = models.gbt_train(training_rows(spark, d), TRAIN_ON)
+    model, _ = pooled_fit(spark, d)
     top = models.gbt_importance(model, TRAIN_ON, spark)
     later = F.lead("importance").over(Window.partitionBy(F.lit(0)).orderBy("rank"))
     return top.withColumn("_next", F.coalesce(later, F.lit(0.0))).agg(
@@ -81,17 +92,21 @@ def gbt_importance(spark, d):
         F.bool_and(share(F.col("importance")) & (F.col("importance") >= F.col("_next"))).alias("sound"))
 
 
-GRID = [{"maxDepth": 2, "maxIter": 4, "stepSize": 0.1}, {"maxDepth": 3, "maxIter": 4, "stepSize": 0.2, "subsamplingRate": 0.8},
-        {"maxDepth": 4, "maxIter": 3, "minInstancesPerNode": 20, "minInfoGain": 0.001, "maxBins": 64}]
+CHOICES, KEPT = 27, 3
 
 
-@register("param_search", f"{ROWS} SELECT CAST(k AS INTEGER) AS choice, (SELECT count(*) FROM {HELD}) AS rows, TRUE AS sound FROM range({len(GRID)}) g(k)")
+@register("param_search", f"""{ROWS}, r AS (SELECT unnest([0, 1, 2]) AS rung, unnest([{CHOICES}, {CHOICES // KEPT}, {CHOICES // KEPT // KEPT}]) AS choices,
+  unnest([{CHOICES // KEPT}, {CHOICES // KEPT // KEPT}, 1]) AS survivors)
+SELECT rung, CAST(choices AS BIGINT) AS choices, CAST(survivors AS BIGINT) AS survivors, (SELECT count(*) FROM {HELD}) AS rows, TRUE AS sound FROM r""")
 def param_search(spark, d):
-    """Every choice is scored on the later rows; the order is that of the accuracy."""
-    found = models.param_search(training_rows(spark, d), TRAIN_ON, GRID)
-    better = F.lag("accuracy").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("accuracy"), "choice"))
-    return found.select("choice", "rows", (share(F.col("accuracy"))
-                                           & (F.coalesce(better, F.lit(1.0)) >= F.col("accuracy"))).alias("sound"))
+    """Choices and survivors of every rung, all judged on the later rows; the survivors are the best ones,
+    and each parameter stays inside its range."""
+    found = models.param_search(training_rows(spark, d), TRAIN_ON, CHOICES, keep=KEPT)
+    worst, lost = F.min(F.when(F.col("survives"), F.col("accuracy"))), F.max(F.when(~F.col("survives"), F.col("accuracy")))
+    return found.groupBy("rung").agg(
+        F.countDistinct("choice").alias("choices"), F.sum(F.col("survives").cast("bigint")).alias("survivors"),
+        F.max("rows").alias("rows"), (F.bool_and(share(F.col("accuracy")) & (F.size(F.split("params", r"\), \(")) == 9))
+                                      & (worst >= lost)).alias("sound"))
 
 
 @register("purged_cv_score", f"""{ROWS}, s AS (SELECT symbol, CAST(max(n) // 5 AS BIGINT) AS size FROM tr GROUP BY 1)
@@ -102,14 +117,26 @@ def purged_cv_score(spark, d):
 
 
 @register("walk_forward_fit", f"""{ROWS}, m AS (SELECT symbol, max(n) AS n FROM tr GROUP BY 1),
-w AS (SELECT symbol, CAST(k AS BIGINT) AS window_id, 504 + k * 630 AS s, n FROM m, range(1000) g(k) WHERE 504 + k * 630 <= n - 126 - 1)
-SELECT symbol, window_id, 126 AS rows, TRUE AS sound FROM w""")
+w AS (SELECT symbol, CAST(k AS BIGINT) AS window_id, 504 + k * 63 AS s, n FROM m, range(10000) g(k) WHERE 504 + k * 63 <= n - 126 - 1)
+SELECT symbol, window_id, 126 AS rows, sum(label) AS positives, avg(ret) AS mean_return, TRUE AS sound
+FROM w JOIN (SELECT symbol, rn, label, coalesce(close / lag(close) {P}) - 1, 0e0) AS ret FROM (SELECT t.*, b.close FROM t JOIN b USING (symbol, rn))) x
+  USING (symbol) WHERE x.rn >= s AND x.rn < s + 126 GROUP BY 1, 2""", "mean_return")
 def walk_forward_fit(spark, d):
+    """Every window's out-of-sample rows, positives and mean return, and that the report's accuracy is the
+    share of hits and its strategy takes part in no more than the rows it predicts."""
     rows = training_rows(spark, d)
     members = folds.window_membership(rows, *TRAIN_ON, "label", "ret")
-    out = models.wfo_report(models.walk_forward_fit(members, TRAIN_ON))
-    return out.select("symbol", F.col("window_id").cast("bigint").alias("window_id"), F.col("rows").cast("int").alias("rows"),
-                      (share(F.col("accuracy")) & F.col("strategy_sharpe").isNotNull()).alias("sound"))
+    oos = stage(models.walk_forward_fit(members, TRAIN_ON), "walk-forward-scores")
+    report = models.wfo_report(oos)
+    facts = oos.groupBy("symbol", "window_id").agg(
+        F.sum(F.col("label").cast("bigint")).alias("positives"), F.avg("ret").alias("mean_return"),
+        F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("_hits"),
+        F.bool_and(F.col("predicted").isin(0, 1)).alias("_classes"), F.max("predicted").alias("_any"))
+    sound = (F.col("_classes") & (F.abs(F.col("accuracy") - F.col("_hits")) < 1e-9)
+             & ((F.col("_any") == 1) | (F.col("strategy_sharpe") == 0)) & F.col("oos_sharpe").isNotNull())
+    return report.join(facts, ["symbol", "window_id"]).select(
+        "symbol", F.col("window_id").cast("bigint").alias("window_id"), F.col("rows").cast("int").alias("rows"), "positives", "mean_return",
+        sound.alias("sound"))
 
 
 def rule_oos(spark, d):
@@ -140,15 +167,25 @@ def wfo_overall(spark, d):
     return models.wfo_overall(rule_oos(spark, d))
 
 
-@register("latest_model", """SELECT p_brand AS symbol, p_name AS version, p_partkey AS created_at, p_retailprice AS accuracy FROM part
-QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC, p_name DESC) = 1""", "accuracy")
+@register("latest_model", f"""{ROWS} SELECT symbol, count(*) AS rows, 2 AS versions, 'v2' AS version, TRUE AS sound FROM {HELD} GROUP BY 1""")
 def latest_model(spark, d):
-    path = scratch_path(spark, "model-registry")
-    rows = src.table(spark, d, "part").select(
-        F.col("p_brand").alias("symbol"), F.col("p_name").alias("version"), F.col("p_partkey").alias("created_at"),
-        F.col("p_retailprice").alias("accuracy"))
-    models.register_version(path, rows)
-    return models.latest_model(spark.read.parquet(path))
+    """A model per symbol is fitted and stored twice; the newest version of each is found in the registry,
+    loaded and applied to the held-out rows: it scores as the unsaved one did."""
+    rows = training_rows(spark, d)
+    fitted, scores = models.gbt_train_each(rows, TRAIN_ON, trees=10, depth=3)
+    root = scratch_path(spark, "model-registry")
+    for version in ("v1", "v2"):
+        models.save_models(spark, root, version, fitted, scores)
+    held = rows.where(F.col("rn") >= F.floor(F.col("n") * 0.8))
+    again = models.score_newest(spark, root, held, TRAIN_ON).select(
+        "symbol", "ts", F.col("probability_up").alias("_p"), F.col("predicted").alias("_c"))
+    same = (F.abs(F.col("_p") - F.col("probability_up")) < 1e-12) & (F.col("_c") == F.col("predicted"))
+    facts = scores.join(again, ["symbol", "ts"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(same).alias("_same"))
+    listed = models.model_versions(spark, root)
+    newest = models.latest_model(listed).select("symbol", "version", "accuracy", F.col("rows").alias("_rows"))
+    counts = listed.groupBy("symbol").agg(F.countDistinct("version").cast("int").alias("versions"))
+    return facts.join(newest, "symbol").join(counts, "symbol").select(
+        "symbol", "rows", "versions", "version", (F.col("_same") & share(F.col("accuracy")) & (F.col("_rows") == F.col("rows"))).alias("sound"))
 
 
 SECTOR_OF = {"returned": ["R-F", "R-O"], "accepted": ["A-F", "A-O"], "none": ["N-F"]}
@@ -220,25 +257,29 @@ def meta_learner(spark, d):
 
 
 def _stack(spark, d):
-    y = labels.forward_returns(bars_series(spark, d), (5,)).select(
-        "symbol", "ts", F.greatest(F.least("forward_return", F.lit(1.0)), F.lit(-1.0)).alias("target"))
-    rows = training_rows(spark, d).join(y, ["symbol", "ts"])
-    bases = {"linear": LinearRegression(labelCol="target", regParam=0.1),
-             "trees": GBTRegressor(labelCol="target", maxIter=50, maxDepth=6, seed=42)}
-    return models.oof_stack(rows, TRAIN_ON, bases, k=5), list(bases)
+    """Predictions out of fold and coefficients, fitted once and stored."""
+    def build(path):
+        y = labels.forward_returns(bars_series(spark, d), (5,)).select(
+            "symbol", "ts", F.greatest(F.least("forward_return", F.lit(1.0)), F.lit(-1.0)).alias("target"))
+        rows = training_rows(spark, d).join(y, ["symbol", "ts"])
+        bases = {"linear": LinearRegression(labelCol="target", regParam=0.1),
+                 "trees": GBTRegressor(labelCol="target", maxIter=50, maxDepth=6, seed=42)}
+        top, _, out = models.oof_stack(rows, TRAIN_ON, bases, k=5)
+        out.select("symbol", "ts", "target", "prediction").write.parquet(f"{path}/rows")
+        models.meta_importance(top, list(bases), spark).write.parquet(f"{path}/importance")
+    path = stored_path(spark, d, "stack", build)
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/importance")
 
 
 @register("oof_stack", f"{ROWS} SELECT count(*) AS rows, TRUE AS sound FROM tr")
 def oof_stack(spark, d):
     """Every row is predicted once, by models that have not seen its fold."""
-    (_, _, out), _ = _stack(spark, d)
-    return fit_facts(models.regression_metrics(out))
+    return fit_facts(models.regression_metrics(_stack(spark, d)[0]))
 
 
 @register("meta_importance", "SELECT unnest(['linear', 'trees']) AS model, TRUE AS sound FROM (SELECT 1 FROM lineitem LIMIT 1)")
 def meta_importance(spark, d):
-    (top, _, _), names = _stack(spark, d)
-    return models.meta_importance(top, names, spark).select("model", (F.col("importance") >= 0).alias("sound"))
+    return _stack(spark, d)[1].select("model", (F.col("importance") >= 0).alias("sound"))
 
 
 @register("blend", """SELECT event_id, (2 * value + 1 * user_id + 0.5e0 * (value - user_id)) / 3.5e0 AS blended FROM events""", "blended")

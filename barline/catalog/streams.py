@@ -10,6 +10,7 @@ from barline.catalog.risk import LOG, SO
 from barline.catalog.tables import ohlcv_sql
 from barline.operators import indicators as ind
 from barline.session import scratch_path
+from barline.sources import manifest
 from barline.sources.derived import bars_daily
 from barline.streaming import jobs
 
@@ -50,24 +51,36 @@ def stream_metrics(spark, d):
 
 
 def fed(spark, d, slices, start) -> None:
-    """Daily bars arrive in time slices, not in order; after each slice the stream is run."""
+    """Daily bars arrive in time slices, not in order; after each slice the stream is run. A slice is given
+    by shares of the table's own time span, so that all bars come in, and a factor for its closes."""
     path, bars = scratch_path(spark, "bars-in"), bars_daily(spark, d)
-    for lo, hi, scale in slices:
-        part = bars.filter(F.col("ts") >= lo).filter(F.col("ts") < hi)
+    lo, hi = bars.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    if lo is None:
+        bars.write.parquet(path)
+        return jobs.drain(start(spark.readStream.schema(bars.schema).parquet(path)))
+    at = F.lit(None) if hi == lo else (F.unix_seconds("ts") - lo) / (hi - lo)
+    for first, end, scale in slices:
+        part = bars.where((at >= first) & ((at < end) | F.lit(end >= 1)) if hi > lo else F.lit(end >= 1))
         part.withColumn("close", F.col("close") * scale).write.mode("append").parquet(path)
         jobs.drain(start(spark.readStream.schema(bars.schema).parquet(path)))
 
 
 @register("stream_upsert", f"WITH {BARS} SELECT * FROM bars", "open high low close")
 def stream_upsert(spark, d):
+    """A first value, a wrong rewrite, newer bars, and, while the folders so far are folded, the first
+    value once more, very late."""
     root, ckpt = scratch_path(spark, "bars-upserted"), scratch_path(spark, "upsert-ckpt")
-    # a first value, a wrong rewrite, newer bars, and the first value once more, very late
-    slices = [("1990-01-01", "1999-01-01", 1.0), ("1995-01-01", "1997-01-01", 2.0), ("1999-01-01", "2010-01-01", 1.0),
-              ("1995-01-01", "1997-01-01", 1.0)]
-    fed(spark, d, slices, lambda feed: jobs.stream_upsert(feed, root, ckpt))
-    folded = scratch_path(spark, "bars-folded")
-    jobs.compact(spark, root, folded)
-    return jobs.read_upserted(spark, folded)
+    start = lambda feed: jobs.stream_upsert(feed, root, ckpt)
+    fed(spark, d, [(0.0, 0.7, 1.0), (0.3, 0.5, 2.0), (0.7, 1.0, 1.0)], start)
+
+    def late():
+        # a second feed goes on with higher batch numbers
+        bars = bars_daily(spark, d)
+        next_batch = 1 + max(last for _, last in manifest.snapshot(spark, root)[1])
+        jobs.upsert_batch(root)(bars, next_batch)
+        jobs.upsert_batch(root)(bars.withColumn("close", -F.col("close")), next_batch)  # a retry changes nothing
+    jobs.compact(spark, root, late)
+    return jobs.read_upserted(spark, root)
 
 
 @register("stream_signals", f"""WITH {BARS}, s AS (SELECT *, {full_sql('avg', 'close', 20)} AS mid, {std_sql('close', 20)} AS sd FROM bars)
@@ -81,7 +94,7 @@ def stream_signals(spark, d):
         return b.select("symbol", "ts", "close", "bb_upper",
                         F.when(F.col("close") > F.col("bb_upper"), "short")
                         .when(F.col("close") < F.col("bb_lower"), "long").otherwise("neutral").alias("direction"))
-    slices = [("1990-01-01", "1997-01-01", 1.0), ("2000-01-01", "2010-01-01", 1.0), ("1997-01-01", "2000-01-01", 1.0)]
+    slices = [(0.0, 0.6, 1.0), (0.9, 1.0, 1.0), (0.6, 0.9, 1.0)]
     fed(spark, d, slices, lambda feed: jobs.stream_signals(feed, hist, out, ckpt, score, 19))
     return jobs.read_signals(spark, out)
 
@@ -100,4 +113,7 @@ def stream_breaker(spark, d):
         F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("symbol"), "ts", F.col("event_id").alias("id"),
         F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "trade").otherwise("other").alias("kind"),
         F.when(F.col("event_type") == "purchase", F.col("value") - 12).alias("pnl"))
-    return drained(spark, jobs.stream_breaker(log, 500.0, seconds=3600, daily_reset=False), "stream_breaker")
+    root, ckpt = scratch_path(spark, "breaker"), scratch_path(spark, "breaker-ckpt")
+    jobs.drain(jobs.stream_breaker(log, root, ckpt, 500.0, seconds=3600))
+    return jobs.read_levels(spark, root).select(
+        "symbol", "ts", "id", F.col("errors").cast("int").alias("errors"), F.col("loss_streak").cast("int").alias("loss_streak"), "level")

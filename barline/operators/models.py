@@ -1,29 +1,29 @@
 """Model training, scoring and ensembles on MLlib. Splits follow time, never chance.
 
-Fits are pooled over symbols unless asked otherwise: one distributed fit per fold or window,
-with the symbol as a feature where it matters.
+Fits are pooled over symbols unless asked otherwise. Fits of folds, windows, symbols or parameter
+choices run side by side over one assembled table (``fits``).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions import corr_agg, ratio, zero_if_null
+from barline.operators import fits
 from barline.operators.stats import confusion_metrics, kurtosis_agg, sharpe_agg, skew_agg, with_psr
 from barline.operators.tables import latest_wins
+from barline.sources.stored import stage
 
 # Sector membership and the published ranks of indicators.
-SECTORS = {"tech": "AAPL MSFT GOOGL AMZN NVDA TSLA META AMD INTC NFLX".split(),
-           "finance": "JPM GS".split(), "healthcare": "JNJ UNH PFE".split(),
-           "energy": "XOM CVX".split()}
+SECTORS = {"tech": ("AAPL", "MSFT", "GOOGL", "AMZN", "NVDA", "TSLA", "META", "AMD", "INTC", "NFLX"),
+           "finance": ("JPM", "GS"), "healthcare": ("JNJ", "UNH", "PFE"), "energy": ("XOM", "CVX")}
 PUBLISHED_RANKS = {"squeeze_pro": 1, "ppo": 2, "macd": 3, "roc_63": 4, "rsi_63": 5}
 
 # Category by the first matching part of the name, tested in this order.
@@ -39,45 +39,43 @@ CATEGORIES = [(["squeeze"], "Volatility Squeeze"),
 
 # ---- estimators ------------------------------------------------------------------------------
 
-def feature_stages(train: DataFrame, names: Sequence[str]) -> list:
-    """MLlib trees take no missing values: the mean of the training rows stands in, or 0 for a
-    feature that they lack altogether (a long window early in a series)."""
-    means = train.agg(*[F.avg(F.nanvl(n, F.lit(None).cast("double"))).alias(n) for n in names]).first()
-    fill = ", ".join(f"coalesce(nanvl(`{n}`, CAST(NULL AS DOUBLE)), {float(means[n] or 0.0)!r}D) AS `{n}__f`" for n in names)
-    return [SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"),
-            VectorAssembler(inputCols=[f"{n}__f" for n in names], outputCol="features", handleInvalid="keep")]
+def as_doubles(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("double") for n in names})
 
 
-def fit_boosted(train: DataFrame, names: Sequence[str], label: str = "label", trees: int = 50, depth: int = 6,
-                rate: float = 0.1, seed: int = 42, **params):
-    tree = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, **params)
-    return Pipeline(stages=[*feature_stages(train, names), tree]).fit(train)
+def score_rows(model, df: DataFrame) -> DataFrame:
+    """``df`` with class, both probabilities, confidence, and score 2 * class - 1."""
+    return fits.scored(model, df)
 
 
-def as_doubles(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("double") for n in names})
+POOLED = "_pooled"
 
 
-def score_rows(model, df: DataFrame) -> DataFrame:
-    """Class, both probabilities, confidence, and score 2 * class - 1."""
-    p = vector_to_array("probability")
-    out = model.transform(df).withColumn("_p", p)
-    return (out.withColumn("predicted", F.col("prediction").cast("int"))
-            .withColumn("probability_up", F.col("_p")[1])
-            .withColumn("confidence", F.greatest(F.col("_p")[0], F.col("_p")[1]))
-            .withColumn("score", F.col("prediction") * 2 - 1)
-            .drop("_p", "probability", "rawPrediction", "prediction", "features"))
+def split_groups(rows: DataFrame, names: Sequence[str], by: str = POOLED, share: float = 0.8, late: float = 0.15,
+                 carry: Sequence[str] = ()) -> fits.Groups:
+    """Rows assembled for one fit per value of ``by`` (one for all by default): the first ``share`` of
+    each series trains, and the last part of that, ``late``, judges the rounds. ``rows`` carries rn, n, label."""
+    early = F.floor(F.col("n") * share)
+    if by == POOLED:
+        rows = rows.withColumn(POOLED, F.lit(0))
+    return fits.Groups(rows, names, by, F.col("rn") < early, carry, late=F.col("rn") >= F.floor(early * (1 - late)))
 
 
-def gbt_train(rows: DataFrame, names: Sequence[str], share: float = 0.8, **params):
-    """Fits on the first share of each series; returns the model and the later rows, scored.
+def gbt_train(rows: DataFrame, names: Sequence[str], share: float = 0.8, stop: bool = True, **params):
+    """Fits on the first share of each series, and stops when the last part of that gains no more;
+    returns the model and the later rows, scored. ``rows`` carries rn, n and label."""
+    groups = split_groups(rows, names, share=share)
+    model = groups.whole_model(0, fits.boosted(groups.part(0).where("_train"), stop=stop, **params))
+    return model, score_rows(model, as_doubles(rows, names).filter(F.col("rn") >= F.floor(F.col("n") * share)))
 
-    ``rows`` carries rn, n and label.
-    """
-    rows = as_doubles(rows, names)
-    early = F.col("rn") < F.floor(F.col("n") * share)
-    model = fit_boosted(rows.filter(early), names, **params)
-    return model, score_rows(model, rows.filter(~early))
+
+def gbt_train_each(rows: DataFrame, names: Sequence[str], by: str = "symbol", share: float = 0.8, stop: bool = True,
+                   keep: Sequence[str] = ("ts", "label"), **params):
+    """A model per symbol, fitted side by side: {symbol: model for rows as they come} and the later rows,
+    scored each by its own. A symbol whose training rows have one class has no model and predicts that."""
+    groups = split_groups(rows, names, by, share, carry=[c for c in keep if c != "label"])
+    trees, scores = fits.fit_groups(groups, keep, stop=stop, **params)
+    return {v: groups.whole_model(v, t) if t else None for v, t in trees.items()}, scores
 
 
 def gbt_importance(model, names: Sequence[str], spark) -> DataFrame:
@@ -94,41 +92,34 @@ def top_features(importances: DataFrame, n: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order))
 
 
-def param_search(rows: DataFrame, names: Sequence[str], grid: list[dict], share: float = 0.8,
-                 seed: int = 42) -> DataFrame:
-    """Accuracy of every parameter choice on the later part of each series, best first. Imputer and
-    trees are fitted on the first ``share`` only, so nothing from later on enters a fit."""
-    rows = as_doubles(rows, names)
-    early = F.col("rn") < F.floor(F.col("n") * share)
-    first, later = rows.filter(early), rows.filter(~early)
-    prepared, out = feature_stages(first, names), []
-    for i, choice in enumerate(grid):
-        tree = GBTClassifier(labelCol="label", seed=seed, **choice)
-        model = Pipeline(stages=[*prepared, tree]).fit(first)
-        found = score_rows(model, later).agg(
-            F.avg((F.col("predicted") == F.col("label")).cast("double")), F.count(F.lit(1))).first()
-        out.append((i, str(sorted(choice.items())), float(found[0] or 0.0), int(found[1])))
-    df = rows.sparkSession.createDataFrame(out, "choice int, params string, accuracy double, rows bigint")
-    return df.orderBy(F.desc("accuracy"), "choice")
+def param_search(rows: DataFrame, names: Sequence[str], choices: int | list[dict] = 27, share: float = 0.8,
+                 seed: int = 42, keep: int = 3, first_trees: int = 2) -> DataFrame:
+    """Successive halving over choices of nine parameters, drawn from ``fits.SPACE`` unless given. A choice
+    fits on the first ``share`` of each series and is judged on the rest, so nothing from later on
+    enters a fit. One row per choice and rung: choice, rung, trees, accuracy, survives, params, rows."""
+    groups = split_groups(rows, names, share=share)
+    total, fitted = groups.rows.get(0, (0, 0))
+    drawn = fits.drawn(choices, seed) if isinstance(choices, int) else choices
+    found = fits.halving_search(groups, 0, drawn, keep, first_trees) if fitted else []
+    out = [(x["choice"], x["rung"], x["trees"], x["accuracy"], x["survives"], str(sorted(x["params"].items())), total - fitted)
+           for x in found]
+    return rows.sparkSession.createDataFrame(
+        out, "choice int, rung int, trees int, accuracy double, survives boolean, params string, rows bigint")
 
 
 def purged_cv_score(rows: DataFrame, names: Sequence[str], k: int = 5, gap: int = 5,
                     min_train: int = 100, min_test: int = 20, **params) -> DataFrame:
     """Accuracy on each next fold after training on everything before it, less a gap."""
-    rows = as_doubles(rows, names).cache()
-    size = F.floor(F.col("n") / k)
-    scored = None
-    for i in range(k - 1):
-        train = rows.filter(F.col("rn") < (i + 1) * size - gap)
-        test = rows.filter((F.col("rn") >= (i + 1) * size) & (F.col("rn") < (i + 2) * size))
-        if train.limit(min_train).count() < min_train or test.limit(min_test).count() < min_test:
-            continue
-        part = score_rows(fit_boosted(train, names, **params), test).select(
-            F.lit(i).alias("fold"), (F.col("predicted") == F.col("label")).cast("double").alias("_ok"))
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
-        return rows.sparkSession.createDataFrame([], "fold int, accuracy double, rows bigint")
-    return scored.groupBy("fold").agg(F.avg("_ok").alias("accuracy"), F.count(F.lit(1)).alias("rows"))
+    size, rn = F.floor(F.col("n") / k), F.col("rn")
+    roles = F.filter(F.transform(F.sequence(F.lit(0), F.lit(k - 2)), lambda i: F.struct(
+        i.alias("fold"), (rn < (i + 1) * size - gap).alias("train"),
+        ((rn >= (i + 1) * size) & (rn < (i + 2) * size)).alias("test"))), lambda x: x["train"] | x["test"])
+    rows = rows.withColumn("_role", F.explode(roles)).withColumn("fold", F.col("_role.fold")).withColumn("_in", F.col("_role.train"))
+    groups = fits.Groups(rows.drop("_role"), names, "fold", F.col("_in"))
+    groups.values = [v for v in groups.values if groups.rows[v][1] >= min_train and groups.rows[v][0] - groups.rows[v][1] >= min_test]
+    _, scores = fits.fit_groups(groups, ["label"], **params)
+    return scores.groupBy(F.col("fold").cast("int").alias("fold")).agg(
+        F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("rows"))
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -139,17 +130,11 @@ def cv_summary(scores: DataFrame) -> DataFrame:
 # ---- walk-forward ----------------------------------------------------------------------------
 
 def walk_forward_fit(members: DataFrame, names: Sequence[str], **params) -> DataFrame:
-    """Out-of-sample predictions: one pooled fit per window. ``members`` has window_id, role."""
-    members = as_doubles(members, names).cache()
-    windows = [r[0] for r in members.select("window_id").distinct().orderBy("window_id").collect()]
-    out = None
-    for w in windows:  # the number of windows, not of rows
-        part = members.filter(F.col("window_id") == w)
-        model = fit_boosted(part.filter("role = 'IS'"), names, **params)
-        scored = score_rows(model, part.filter("role = 'OOS'")).select(
-            "symbol", "ts", "window_id", "label", "predicted", "ret")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    """Out-of-sample predictions: one pooled fit per window, side by side over one assembled table.
+    ``members`` has symbol, ts, window_id, role, label and ret."""
+    groups = fits.Groups(members, names, "window_id", F.col("role") == "IS", ["symbol", "ts", "ret"])
+    _, scores = fits.fit_groups(groups, ["symbol", "ts", "label", "ret"], **params)
+    return scores
 
 
 def wfo_report(oos: DataFrame, min_rows: int = 20) -> DataFrame:
@@ -182,6 +167,39 @@ def latest_model(registry: DataFrame) -> DataFrame:
     return latest_wins(registry, ["symbol"], [F.col("created_at"), F.col("version")])
 
 
+REGISTRY = "symbol string, version string, path string, created_at timestamp, accuracy double, rows bigint"
+
+
+def save_models(spark, root: str, version: str, models: dict, scores: DataFrame, by: str = "symbol") -> None:
+    """Writes every model under ``root`` and then its registry row, so a listed version is a whole one.
+    ``scores`` (by, label, predicted) gives the rows and the accuracy on record."""
+    hit = F.avg((F.col("predicted") == F.col("label")).cast("double"))
+    facts = {r[0]: (r[1], r[2]) for r in scores.groupBy(by).agg(hit, F.count(F.lit(1))).collect()}  # one row per model
+    kept = [(v, f"{root}/models/{fits.value_name(v)}/{version}") for v, m in models.items() if m]
+    fits.concurrently(spark, [lambda m=models[v], path=path: m.write().save(path) for v, path in kept])
+    now = dt.datetime.now(dt.timezone.utc)
+    rows = [(str(v), version, path, now, *(facts.get(v) or (None, 0))) for v, path in kept]
+    register_version(f"{root}/registry", spark.createDataFrame(rows, REGISTRY))
+
+
+def model_versions(spark, root: str) -> DataFrame:
+    return spark.read.schema(REGISTRY).parquet(f"{root}/registry")
+
+
+def load_newest(spark, root: str) -> dict[str, PipelineModel]:
+    """The newest stored model of every symbol: one registry row each."""
+    return {r["symbol"]: PipelineModel.load(r["path"]) for r in latest_model(model_versions(spark, root)).collect()}
+
+
+def score_newest(spark, root: str, rows: DataFrame, names: Sequence[str], by: str = "symbol") -> DataFrame:
+    """``rows`` scored, each symbol by its newest stored model; symbols without one are left out."""
+    rows, out = as_doubles(rows, names), None
+    for value, model in sorted(load_newest(spark, root).items()):
+        part = score_rows(model, rows.where(F.col(by) == value))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def sector_map(df: DataFrame, sectors: dict[str, Sequence[str]] | None = None,
                symbol: str = "symbol") -> DataFrame:
     """Sector per symbol, from a lookup of a few dozen rows."""
@@ -252,19 +270,22 @@ def oof_stack(rows: DataFrame, names: Sequence[str], bases: dict, k: int = 5,
     fold = (F.least(F.floor(F.col("rn") * k / F.col("n")), F.lit(k - 1)) if by_time
             else F.pmod(F.xxhash64("symbol", "rn"), F.lit(k))).cast("int")
     rows = as_doubles(rows, names)
-    data = VectorAssembler(inputCols=list(names), outputCol="features").transform(
-        rows.na.fill(0.0, list(names))).withColumn("_fold", fold).cache()
+    data = stage(VectorAssembler(inputCols=list(names), outputCol="features").transform(
+        rows.na.fill(0.0, list(names))).withColumn("_fold", fold), "stack-rows")
+    spark = data.sparkSession
+    jobs = [(i, name) for i in range(k) for name in bases] + [(None, name) for name in bases]
+    fitted = dict(zip(jobs, fits.concurrently(spark, [
+        lambda i=i, name=name: bases[name].fit(data if i is None else data.filter(F.col("_fold") != i)) for i, name in jobs]), strict=True))
     parts = None
     for i in range(k):
         held = data.filter(F.col("_fold") == i)
-        for name, est in bases.items():
-            held = est.fit(data.filter(F.col("_fold") != i)).transform(held) \
-                .withColumnRenamed("prediction", name)
+        for name in bases:
+            held = fitted[i, name].transform(held).withColumnRenamed("prediction", name)
         parts = held if parts is None else parts.unionByName(held)
     stacked = VectorAssembler(inputCols=list(bases), outputCol="base_predictions").transform(parts)
     top = LinearRegression(featuresCol="base_predictions", labelCol=target, regParam=ridge,
                            elasticNetParam=0.0).fit(stacked)
-    finals = {name: est.fit(data) for name, est in bases.items()}
+    finals = {name: fitted[None, name] for name in bases}
     return top, finals, top.transform(stacked).drop("features", "base_predictions", "_fold")
 
 

@@ -157,11 +157,11 @@ def time_blocks(df: DataFrame, reach_seconds: int, block_seconds: int, ts: str =
             .withColumn("_own", F.col("_tb") == own))
 
 
-def trailing_count(df: DataFrame, cond: Column, seconds: int, name: str, key: str,
+def trailing_count(df: DataFrame, cond: Column, seconds: int, name: str, *keys: str,
                    block_seconds: int | None = None) -> DataFrame:
     """Rows with ``cond`` in the last ``seconds`` up to and including the row's own time."""
     block_seconds = block_seconds or max(900, 8 * seconds)  # copies stay below an eighth
-    w = Window.partitionBy(key, "_tb").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(*keys, "_tb").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
     out = time_blocks(df, seconds, block_seconds).withColumn(name, F.count(F.when(cond, 1)).over(w))
     return out.filter("_own").drop("_us", "_tb", "_own")
 
@@ -181,15 +181,57 @@ def raw_level(starting_equity: float, max_errors: int = MAX_ERRORS) -> Column:
 
 
 def breaker_level(log: DataFrame, starting_equity: float = 100_000.0, seconds: int = ERROR_SECONDS,
-                  block_rows: int | None = None) -> DataFrame:
-    """Breaker level after each log row (symbol, ts, id, kind, pnl). Levels only escalate."""
-    df = trailing_count(log, F.col("kind") == "error", seconds, "errors", "symbol")
-    df = stage(number_rows(df, ("symbol",), ("ts", "id"), 3600), "breaker-log")
-    df = df.withColumn("_day", F.to_date("ts"))
-    df = running(df, {"day_loss": ("sum", F.when(F.col("pnl") < 0, F.col("pnl")).otherwise(0.0))},
-                 ("symbol", "_day"), block_rows)
-    df = with_streak(df, block_rows=block_rows).withColumn("_raw", raw_level(starting_equity))
-    df = running(stage(df, "breaker-state"), {"_level": ("max", F.col("_raw"))}, block_rows=block_rows)
+                  block_rows: int | None = None, daily_reset: bool = False, max_errors: int = MAX_ERRORS,
+                  carried: DataFrame | None = None, lent: str | None = None) -> DataFrame:
+    """Breaker level after each log row (symbol, ts, id, kind, pnl). Levels only escalate, until a row
+    of kind ``reset`` sets level, streak and errors back; with ``daily_reset`` a soft halt ends with its day.
+
+    To go on from earlier days, ``carried`` gives symbol, streak and level at their end, and rows with
+    ``lent`` are older ones that lend their errors and resets to the error window but have no level of their own.
+    """
+    manual = F.col("kind") == "reset"
+    own = ~F.col(lent) if lent else F.lit(True)
+    df = log.select("symbol", "ts", "id", "kind", "pnl", own.alias("_mine"))
+    df = stage(number_rows(df, ("symbol",), ("ts", "id"), by_rows=True), "breaker-log")
+    mine = F.col("_mine")
+    df = running(df, {"_reset": ("sum", manual.cast("long")), "_part": ("sum", (manual & mine).cast("long"))}, block_rows=block_rows)
+    df = trailing_count(df, F.col("kind") == "error", seconds, "errors", "symbol", "_reset")
+    df = df.where(mine).withColumn("_day", F.to_date("ts"))
+    loss = F.when(F.col("pnl") < 0, F.col("pnl")).otherwise(0.0)
+    df = running(df, {"day_loss": ("sum", loss)}, ("symbol", "_day"), block_rows)
+    ends = (F.coalesce(F.col("pnl") >= 0, F.lit(False))) | manual
+    df = running(df, {"loss_streak": ("since", F.when(F.col("pnl") < 0, 1).otherwise(0).cast("long"), ends), "_ended": ("max", ends.cast("long"))},
+                 block_rows=block_rows)
+    if carried is None:
+        df = df.withColumn("_level0", F.lit(0))
+    else:
+        start = carried.select("symbol", F.col("streak").alias("_streak0"), F.col("level").alias("_level0"))
+        df = (df.join(start, "symbol", "left").withColumn("_level0", F.coalesce("_level0", F.lit(0)))
+              .withColumn("loss_streak", F.col("loss_streak") + F.when(F.col("_ended") == 0, F.coalesce("_streak0", F.lit(0))).otherwise(0)))
+    df = df.withColumn("_raw", raw_level(starting_equity, max_errors))
+    start = F.when(F.col("_part") == 0, F.col("_level0")).otherwise(0)
+    if daily_reset:
+        keys = ("symbol", "_part")
+        df = running(stage(df, "breaker-state"), {"_high": ("max", F.col("_raw"))}, keys, block_rows)
+        df = running(df, {"_today": ("max", F.least(F.col("_raw"), F.lit(2)))}, (*keys, "_day"), block_rows)
+        # The last earlier day that called for anything: a warning stays, a soft halt is over. A row per day.
+        days = df.groupBy(*keys, "_day").agg(F.max("_today").alias("_called"))
+        before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+        days = days.select(*keys, "_day", F.last(F.when(F.col("_called") > 0, F.col("_called")), ignorenulls=True).over(before).alias("_last"))
+        df = df.join(days, [*keys, "_day"])
+        level = (F.when((F.col("_high") == 3) | (start == 3), 3).when(F.col("_today") == 2, 2)
+                 .when((F.col("_today") == 1) | (F.coalesce(F.col("_last"), start) == 1), 1).otherwise(0))
+    else:
+        df = running(stage(df, "breaker-state"), {"_high": ("max", F.col("_raw"))}, ("symbol", "_part"), block_rows)
+        level = F.greatest(F.col("_high"), start)
     names = F.array(*[F.lit(x) for x in LEVELS])
     return df.select("symbol", "ts", "id", "kind", "errors", "loss_streak", "day_loss",
-                     F.element_at(names, F.col("_level") + 1).alias("level"))
+                     F.element_at(names, level.cast("int") + 1).alias("level"))
+
+
+def breaker_days(levels: DataFrame) -> DataFrame:
+    """Streak and level at the end of each day of :func:`breaker_level`, from which a later day can go on."""
+    names = F.array(*[F.lit(x) for x in LEVELS])
+    last = F.max_by(F.struct("loss_streak", "level"), F.struct("ts", "id"))
+    return levels.groupBy("symbol", F.to_date("ts").alias("day")).agg(last.alias("_l")).select(
+        "symbol", "day", F.col("_l.loss_streak").alias("streak"), (F.array_position(names, F.col("_l.level")) - 1).cast("int").alias("level"))

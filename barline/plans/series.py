@@ -1,7 +1,7 @@
 """Ordered series without one task per key.
 
 A window over ``partitionBy(symbol)`` puts a whole symbol into one task. Here a series is
-numbered with a two-level count (rows per calendar bucket, then a prefix over the few buckets)
+numbered with a two-level count (rows per calendar bucket or sampled range, then a prefix over those)
 and cut into row blocks. A block carries the rows before and after it that its frames reach
 (the halo), so every window runs over ``(key, block)`` and gives the same values as one over the
 whole series. Running totals use block totals plus a prefix over blocks.
@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barline.plans.ranks import dealt
+
 SUB_ROWS = 1024          # grain of the exponential averages
 BLOCK_ROWS = 16 * SUB_ROWS   # blocks of running totals
 MIN_BLOCK = 8 * SUB_ROWS
@@ -25,9 +27,13 @@ UNPLACED = "a row without key or time has no place in a series; set such rows ap
 
 def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",),
                 bucket_seconds: int = BAR_BUCKET, name: str = "rn", with_total: bool = False,
-                keep_bucket: bool = False, values: str | None = None) -> DataFrame:
+                keep_bucket: bool = False, values: str | None = None, by_rows: bool = False) -> DataFrame:
     """0-based position of each row in its series; ``n`` is the series length on request.
 
+    With ``by_rows`` the series are cut by row count in place of the calendar: the rows are dealt, in order,
+    over all tasks by sampled ranges and written, so that even one key's single day spreads. Use it for
+    dense series, such as logs and ticks; ``blk`` then numbers these ranges.
+
     With ``values`` a column ``vn`` numbers the rows where that column has a value; a row without one
     has the number of the last such row, or 0 before the first (see ``split_blocks``).
 
@@ -35,7 +41,11 @@ def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequenc
     A row whose key or time is NULL ends the job with a message instead of vanishing in a join.
     """
     keys = list(keys)
-    b = df.withColumn("_bk", F.floor(F.unix_seconds(F.col(order[0])) / bucket_seconds))
+    if by_rows:
+        b = dealt(df, [F.col(c) for c in (*keys, *order)], "dealt-series", "_bk").withColumn(
+            "_bk", F.when(F.col(order[0]).isNotNull(), F.col("_bk").cast("bigint")))
+    else:
+        b = df.withColumn("_bk", F.floor(F.unix_seconds(F.col(order[0])) / bucket_seconds))
     counts = b.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"), F.count(values or F.lit(1)).alias("_cv"))
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = per_key.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)

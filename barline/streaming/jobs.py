@@ -5,19 +5,18 @@ Rows later than the watermark are dropped here and repaired by the batch ``rollu
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barline.functions import timeframe_seconds
-from barline.operators.risk import (
-    ERROR_SECONDS, LEVELS, MAX_DRAWDOWN, MAX_ERRORS,
-)
 from barline.operators.bars import time_order
+from barline.operators.risk import ERROR_SECONDS, breaker_days, breaker_level
 from barline.operators.tables import last_n, latest_wins
+from barline.sources import manifest
+from barline.sources.stored import stage
 
 # How late a row may be, per bar size.
 LATENESS = {"1Min": "1 hour", "1Hour": "1 day", "1Day": "7 days"}
@@ -64,79 +63,104 @@ def each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint:
 
 
 def stream_upsert(bars: DataFrame, root: str, checkpoint: str):
-    """Writes every micro-batch of bars to its own folder, so a retried batch replaces itself.
+    """Writes every micro-batch of bars to a folder of its own and lists it in the table's manifest.
 
-    Every row is kept with its place of arrival, however late it is and whatever was there before;
-    ``read_upserted`` merges and ``compact`` folds batches.
+    Every row is kept with its batch and place of arrival, however late it is and whatever was there
+    before; ``read_upserted`` merges and ``compact`` folds batches. A retried batch that the manifest has
+    already is not listed again, and one that failed before its commit was never seen by a reader.
     """
+    return each_batch(bars, upsert_batch(root), checkpoint)
+
+
+def upsert_batch(root: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("arrival", F.monotonically_increasing_id())
-         .write.mode("overwrite").parquet(f"{root}/batch={batch_id:012d}"))
-    return each_batch(bars, write, checkpoint)
+        spark, name = batch.sparkSession, f"b-{batch_id:012d}-{os.urandom(6).hex()}"
+        if done(manifest.snapshot(spark, root)[1], batch_id):
+            return
+        (batch.withColumn("batch", F.lit(batch_id).cast("bigint")).withColumn("arrival", F.monotonically_increasing_id())
+         .write.parquet(f"{root}/{name}"))
+        manifest.commit(spark, root, lambda live: None if done(live, batch_id) else [*live, (name, batch_id)])
+
+    def done(live, batch_id):
+        return any(last >= batch_id for _, last in live)  # batches come in order
+    return write
+
+
+def read_upserted(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """Newest prices and volume per (symbol, ts) in a version; vwap and trade_count of the first write stay."""
+    return merged(manifest.read(spark, root, version)).drop("batch")
 
 
-def read_upserted(spark: SparkSession, root: str) -> DataFrame:
-    """Newest prices and volume per (symbol, ts); vwap and trade_count of the first write stay."""
-    df = spark.read.parquet(root)
+def merged(df: DataFrame) -> DataFrame:
     newest = ["open", "high", "low", "close", "volume"]
     first = [c for c in ("vwap", "trade_count") if c in df.columns]
-    arrived = F.struct(F.col("batch").cast("bigint"), "arrival")
+    arrived = F.struct("batch", "arrival")
     out = df.groupBy("symbol", "ts").agg(
-        F.max_by(F.struct(*newest), arrived).alias("_new"),
+        F.max_by(F.struct(*newest, "batch"), arrived).alias("_new"),
         *([F.min_by(F.struct(*first), arrived).alias("_old")] if first else []))
     return out.select("symbol", "ts", "_new.*", *(["_old.*"] if first else []))
 
 
-def compact(spark: SparkSession, root: str, target: str) -> None:
-    """One merged batch in a new root, which takes the place of the old one for the readers and for
-    a stream that goes on with the same checkpoint: later batches have higher numbers."""
-    (read_upserted(spark, root).withColumn("arrival", F.lit(0).cast("bigint"))
-     .write.mode("overwrite").parquet(f"{target}/batch={0:012d}"))
+def compact(spark: SparkSession, root: str, before_commit: Callable[[], None] | None = None) -> int:
+    """Folds all folders live now into one and commits that in their place; returns the version.
+
+    Batches written meanwhile stay listed beside it: the folded rows count as the last folded batch,
+    before all later ones. Readers of older versions go on reading the folders these list.
+    """
+    version, live = manifest.snapshot(spark, root)
+    if len(live) < 2:
+        return version
+    last = max(batch for _, batch in live)
+    name = f"c-{last:012d}-{os.urandom(6).hex()}"
+    (merged(manifest.read(spark, root, version)).withColumn("batch", F.lit(last).cast("bigint"))
+     .withColumn("arrival", F.lit(0).cast("bigint")).write.parquet(f"{root}/{name}"))
+    if before_commit:
+        before_commit()
+    folded = set(live)
+
+    def change(now):
+        # another compaction may have folded some of them already: then this one gives way
+        return [f for f in now if f not in folded] + [(name, last)] if folded <= set(now) else None
+    return manifest.commit(spark, root, change)
 
 
 # ---- breaker ---------------------------------------------------------------------------------
 
-BREAKER_OUT = "symbol string, ts timestamp, id bigint, errors int, loss_streak int, level string"
-BREAKER_STATE = ("errors array<bigint>, streak int, level int, day string, day_loss double")
-
-
-def breaker_step(starting_equity: float, seconds: int = ERROR_SECONDS, max_errors: int = MAX_ERRORS,
-                 daily_reset: bool = True):
-    """State change of one strategy. The error times of the last ``seconds`` are kept, all of them."""
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        errors, streak, level, day, loss = state.get if state.exists else ([], 0, 0, "", 0.0)
-        errors = list(errors)
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"], kind="stable")
-        out = []
-        for ts, ident, kind, pnl in rows[["ts", "id", "kind", "pnl"]].itertuples(index=False):
-            now, today = ts.value // 1000, str(ts.date())
-            if today != day:
-                day, loss = today, 0.0
-                if daily_reset and level == 2:
-                    level = 0
-            if kind == "reset":
-                level, streak, errors = 0, 0, []
-            elif kind == "error":
-                errors = errors + [now]
-            elif kind == "trade":
-                streak = streak + 1 if pnl < 0 else 0
-                loss += min(pnl, 0.0)
-            errors = [e for e in errors if e >= now - seconds * 1_000_000]
-            called = (3 if len(errors) >= max_errors or streak >= 5 else
-                      2 if -loss > starting_equity * MAX_DRAWDOWN or streak >= 3 else
-                      1 if len(errors) >= max_errors // 2 else 0)
-            level = max(level, called)
-            out.append((key[0], ts, ident, len(errors), streak, LEVELS[level]))
-        state.update((errors, streak, level, day, loss))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "id", "errors", "loss_streak", "level"])
-    return step
-
-
-def stream_breaker(log: DataFrame, starting_equity: float, **rule) -> DataFrame:
-    """Breaker level after each row of a log stream (symbol, ts, id, kind, pnl)."""
-    return log.groupBy("symbol").applyInPandasWithState(
-        breaker_step(starting_equity, **rule), BREAKER_OUT, BREAKER_STATE, "append",
-        GroupStateTimeout.NoTimeout)
+def stream_breaker(log: DataFrame, root: str, checkpoint: str, starting_equity: float, seconds: int = ERROR_SECONDS, **rule):
+    """Breaker level after each row of a log stream (symbol, ts, id, kind, pnl), by the batch rule.
+
+    No row is walked through. A micro-batch is stored by day; each of its strategies goes on from the end of
+    the last day before its first fresh row, kept as one state row per strategy and day, and the batch
+    rule's block windows run over the days from there on, stored rows and fresh ones, with the errors of
+    the last ``seconds`` before. So rows out of order give new levels to all behind them; ``read_levels`` takes
+    the newest. All tables are written per batch: a retried batch replaces itself, only earlier ones count.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, at = batch.sparkSession, f"batch={batch_id:012d}"
+        batch.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{root}/log/{at}")
+        fresh = spark.read.parquet(f"{root}/log/{at}").drop("day")
+        first = stage(fresh.groupBy("symbol").agg(F.to_date(F.min("ts")).alias("_from")), "breaker-first")
+        rows, carried = fresh.withColumn("_lent", F.lit(False)), None
+        earliest = first.agg(F.min("_from")).first()[0]
+        if batch_id > 0 and earliest is not None:
+            earlier = F.col("batch").cast("bigint") < batch_id
+            known = spark.read.parquet(f"{root}/days").filter(earlier).join(first, "symbol").where("day < _from")
+            known = latest_wins(known.drop("_from"), ["symbol", "day"], [F.col("batch").cast("bigint")]).drop("batch")
+            carried = latest_wins(known, ["symbol"], [F.col("day")])
+            day = F.date_sub(F.lit(earliest), 1 + seconds // 86400)  # older folders are not read
+            old = spark.read.parquet(f"{root}/log").filter(earlier).where(F.col("day") >= day).join(first, "symbol")
+            reach = F.col("_from").cast("timestamp") - F.make_dt_interval(secs=F.lit(seconds))
+            old = old.where(F.col("ts") >= reach).withColumn("_lent", F.to_date("ts") < F.col("_from"))
+            rows = rows.unionByName(old.select(*rows.columns))
+        out = stage(breaker_level(rows, starting_equity, seconds, carried=carried, lent="_lent", **rule), "breaker-levels")
+        breaker_days(out).write.mode("overwrite").parquet(f"{root}/days/{at}")
+        out.write.mode("overwrite").parquet(f"{root}/levels/{at}")
+    return each_batch(log, run, checkpoint)
+
+
+def read_levels(spark: SparkSession, root: str) -> DataFrame:
+    """The newest level of every log row."""
+    return latest_wins(spark.read.parquet(f"{root}/levels"), ["symbol", "ts", "id"], [F.col("batch").cast("bigint")]).drop("batch")
 
 
 # ---- signals ---------------------------------------------------------------------------------

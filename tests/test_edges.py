@@ -10,6 +10,7 @@ from barline.catalog.base import rounded
 from barline.operators import bars, features, folds, indicators, models, portfolio, quality, risk, stats, tables
 from barline.plans.series import number_rows
 from barline.sources import derived as src
+from barline.sources import manifest
 from barline.streaming import jobs
 from tests.conftest import by_symbol, make_bars
 from tests.test_plans import plan
@@ -94,8 +95,100 @@ def test_streamed_rewrites_back_to_an_earlier_value(spark, tmp_path):
         df.write.mode("append").parquet(feed)
         jobs.drain(jobs.stream_upsert(spark.readStream.schema(df.schema).parquet(feed), root, ckpt))
     assert [r.close for r in jobs.read_upserted(spark, root).collect()] == [1.0]
-    jobs.compact(spark, root, str(tmp_path / "folded"))
-    assert [r.close for r in jobs.read_upserted(spark, str(tmp_path / "folded")).collect()] == [1.0]
+    jobs.compact(spark, root)
+    assert [r.close for r in jobs.read_upserted(spark, root).collect()] == [1.0]
+
+
+def test_a_stream_goes_on_while_its_table_is_folded(spark, tmp_path):
+    root = str(tmp_path / "root")
+    write = jobs.upsert_batch(root)
+    first = lambda rows: _bars(spark, rows).withColumn("vwap", F.col("close") * 10)
+    write(first([(1, 1.0), (2, 2.0)]), 0)
+    write(first([(2, 3.0), (3, 4.0)]), 1)
+    write(first([(9, 9.0)]), 1)  # a retry of a batch that is in: nothing happens
+    before, _ = manifest.snapshot(spark, root)
+
+    def meanwhile():
+        write(first([(3, 5.0), (4, 6.0)]), 2)
+    jobs.compact(spark, root, meanwhile)
+    _, live = manifest.snapshot(spark, root)
+    assert [last for _, last in live] == [1, 2]
+    values = lambda v=None: {r.ts.day: (r.close, r.vwap) for r in jobs.read_upserted(spark, root, v).collect()}
+    assert values() == {1: (1.0, 10.0), 2: (3.0, 20.0), 3: (5.0, 40.0), 4: (6.0, 60.0)}
+    assert values(before) == {1: (1.0, 10.0), 2: (3.0, 20.0), 3: (4.0, 40.0)}  # a reader of the version before
+    write(first([(2, 7.0)]), 1)  # still in, though folded
+    assert values()[2] == (3.0, 20.0)
+    other = []
+    jobs.compact(spark, root, lambda: other.append(jobs.compact(spark, root)))  # the other one commits first
+    assert len(manifest.snapshot(spark, root)[1]) == 1 and values()[4] == (6.0, 60.0)
+    assert manifest.expire(spark, root, keep=1) >= 4 and values()[1] == (1.0, 10.0)
+
+
+def test_two_writers_never_share_a_version(spark, tmp_path):
+    root = str(tmp_path / "root")
+    seen = []
+
+    def change(live):
+        if not seen:
+            seen.append(live)
+            manifest.commit(spark, root, lambda now: [*now, ("other", 0)])
+        return [*live, ("own", 1)]
+    assert manifest.commit(spark, root, change) == 1
+    assert manifest.snapshot(spark, root) == (1, [("other", 0), ("own", 1)])
+    assert manifest.snapshot(spark, root, 0) == (0, [("other", 0)])
+
+
+def walked(rows, equity, seconds, daily):
+    """The breaker rule, row by row."""
+    out, state = {}, {}
+    for s, ts, i, kind, pnl in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        x = state.setdefault(s, {"errors": [], "streak": 0, "level": 0, "day": None, "loss": 0.0})
+        if ts.date() != x["day"]:
+            x["day"], x["loss"] = ts.date(), 0.0
+            if daily and x["level"] == 2:
+                x["level"] = 0
+        if kind == "reset":
+            x.update(errors=[], streak=0, level=0)
+        elif kind == "error":
+            x["errors"].append(ts)
+        if pnl is not None:
+            x["streak"] = x["streak"] + 1 if pnl < 0 else 0
+            x["loss"] += min(pnl, 0.0)
+        n = sum(e >= ts - dt.timedelta(seconds=seconds) for e in x["errors"])
+        called = 3 if n >= 5 or x["streak"] >= 5 else 2 if -x["loss"] > equity * 0.1 or x["streak"] >= 3 else 1 if n >= 2 else 0
+        x["level"] = max(x["level"], called)
+        out[s, i] = (n, x["streak"], ["normal", "warn", "soft_halt", "hard_halt"][x["level"]])
+    return out
+
+
+@pytest.mark.parametrize("daily", [False, True])
+def test_breaker_with_resets_whole_or_in_batches_out_of_order(spark, tmp_path, daily):
+    rng = np.random.default_rng(12 + daily)
+    rows, start = [], dt.datetime(2020, 1, 1)
+    for s in "ab":
+        t = start
+        for i in range(260):
+            t += dt.timedelta(seconds=int(rng.integers(20, 3000)))
+            kind = rng.choice(["error", "trade", "other", "reset"], p=[.3, .45, .22, .03])
+            pnl = float(np.round(rng.normal(1, 12), 2)) if kind == "trade" else None
+            rows.append((s, t, i, str(kind), pnl))
+    schema = "symbol string, ts timestamp, id bigint, kind string, pnl double"
+    got = lambda df: {(r.symbol, r.id): (r.errors, r.loss_streak, r.level) for r in df.collect()}
+    want = walked(rows, 300.0, 3600, daily)
+    assert len({w[2] for w in want.values()}) == 4
+    df = spark.createDataFrame(rows, schema)
+    if not daily:
+        assert got(risk.breaker_level(df, 300.0, 3600, daily_reset=daily, block_rows=30)) == want
+        return
+    root, ckpt, feed = (str(tmp_path / x) for x in ("root", "ckpt", "in"))
+    parts = [[r for i, r in enumerate(rows) if pick(i, r)] for pick in (
+        lambda i, r: r[2] < 90 and r[2] % 7, lambda i, r: 150 <= r[2] < 200 and r[0] == "a",
+        lambda i, r: 90 <= r[2] < 150 or r[2] >= 200 or (r[2] >= 150 and r[0] == "b"), lambda i, r: r[2] < 90 and r[2] % 7 == 0)]
+    assert sum(map(len, parts)) == len(rows)
+    for part in parts:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(feed)
+        jobs.drain(jobs.stream_breaker(spark.readStream.schema(schema).parquet(feed), root, ckpt, 300.0, 3600, daily_reset=daily))
+    assert got(jobs.read_levels(spark, root)) == want
 
 
 def test_late_bar_scores_all_later_ones(spark, tmp_path):
@@ -131,7 +224,7 @@ def test_search_scores_later_rows_only(spark):
     rng = np.random.default_rng(6)
     rows = [("A", i, 100, float(rng.normal()), int(rng.integers(0, 2))) for i in range(100)]
     df = spark.createDataFrame(rows, "symbol string, rn int, n int, x double, label int").withColumn("y", F.col("x") * 2)
-    got = models.param_search(df, ["x", "y"], [{"maxDepth": 1, "maxIter": 1}, {"maxDepth": 2, "maxIter": 2}])
+    got = models.param_search(df, ["x", "y"], [{"depth": 1, "trees": 1}, {"depth": 2, "trees": 2}])
     assert got.select("rows").distinct().collect()[0].rows == 20 and got.count() == 2
 
 

@@ -51,3 +51,16 @@ def test_unused_indicators_leave_the_plan(spark):
 def test_numbering_does_not_put_a_symbol_in_one_task(spark):
     text = plan(number_rows(bars_series(spark, SF).drop("rn", "n")))
     assert re.search(r"hashpartitioning\(symbol#\d+, _bk#\d+", text)
+
+
+def test_numbering_by_rows_spreads_one_day_over_all_tasks(spark):
+    from pyspark.sql import functions as F
+    ticks = spark.range(20_000).select(F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("id") % 5_000).alias("ts"), "id")
+    df = number_rows(ticks.repartition(7), ("symbol",), ("ts", "id"), by_rows=True, keep_bucket=True, with_total=True)
+    text = plan(df)
+    assert re.search(r"hashpartitioning\(symbol#\d+, _bk#\d+", text)
+    sizes = [r["count"] for r in df.groupBy("blk").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 10_000  # as many ranges as the session has shuffle partitions
+    rows = df.orderBy("rn").collect()
+    assert [r.rn for r in rows] == list(range(20_000)) and {r.n for r in rows} == {20_000}
+    assert [(r.ts, r.id) for r in rows] == sorted((r.ts, r.id) for r in rows)
