@@ -7,7 +7,7 @@ hash also keeps texts that share a beginning apart.
 
 A text with very many copies would fill one partition. Such texts are found by a count per hash
 first (16 bytes a row, summed before the shuffle) and their copies are dealt over runs of about
-``run_rows`` rows. The heads of these runs, at most two per ``run_rows`` rows, are joined
+``run_rows`` rows, by key and place in the input, so that rows that repeat the key too are dealt as well. The heads of these runs, at most two per ``run_rows`` rows, are joined
 again by their SHA-256.
 """
 
@@ -34,12 +34,12 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", carry_text:
     runs = F.ceil(F.col("n") / F.lit(run))
     df = (df.join(F.broadcast(hot), "hash", "left")
           .withColumn("salt", F.when(F.col("n").isNull(), F.lit(0).cast("long"))
-                      .otherwise(F.pmod(F.xxhash64("id"), runs)))
+                      .otherwise(F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), runs)))
           .withColumn("start", F.substring("body", 1, 8)))
     equal = Window.partitionBy("start", "hash", "salt", "body")
     largest_first = equal.orderBy(F.col("id").desc_nulls_last())
     df = df.repartitionByRange("start", "hash", "salt").select(
-        "row", "id", "body", "absent", F.col("n").isNotNull().alias("split"),
+        "row", "id", "body", "absent", "salt", F.col("n").isNotNull().alias("split"),
         F.row_number().over(largest_first).alias("place"),
         F.first("id").over(largest_first).alias("run_keep"),
         F.count("*").over(largest_first.rowsBetween(Window.unboundedPreceding,
@@ -49,12 +49,12 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", carry_text:
     df = df.withColumn("text_sha256", F.sha2("body", 256))
     df = stage(df if carry_text else df.drop("body", "absent"), "exact-runs")
     whole = (df.where("split AND place = 1").groupBy("text_sha256")
-             .agg(F.max("run_keep").alias("keep"), F.sum("run_size").alias("size")))
+             .agg(F.max(F.struct("run_keep", "salt")).alias("keep"), F.sum("run_size").alias("size")))
     return (df.join(F.broadcast(whole), "text_sha256", "left")
             .withColumn("keep_id", F.when(F.col("size").isNull(), F.col("run_keep"))
-                        .otherwise(F.col("keep")))
+                        .otherwise(F.col("keep.run_keep")))
             .withColumn("group_size", F.coalesce("size", "run_size"))
-            .withColumn("kept", (F.col("place") == 1) & F.col("run_keep").eqNullSafe(F.col("keep_id"))))
+            .withColumn("kept", (F.col("place") == 1) & (F.col("size").isNull() | (F.col("salt") == F.col("keep.salt")))))
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:

@@ -34,6 +34,16 @@ def test_hot_text_is_split_and_whole_again(spark):
     assert got == expected_groups(df.collect())
 
 
+def test_rows_that_repeat_key_and_text_are_split(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(20_000, numPartitions=4).selectExpr("IF(id < 15000, 7, NULL) AS doc_id", "'same' AS text")
+    runs = exact.decide(df, run_rows=64).select("run_keep", "run_size", "split").distinct().agg(F.max("run_size")).first()[0]
+    assert runs < 64 * 3
+    rows = exact.exact_groups(df, run_rows=64).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept, r["count"]) for r in rows} == {
+        (7, 7, 20_000, True, 1), (7, 7, 20_000, False, 14_999), (None, 7, 20_000, False, 5_000)}
+
+
 def test_dropping_keeps_columns_and_one_row_each(odd, none):
     kept = exact.drop_copies(odd)
     assert kept.columns == odd.columns
