@@ -93,7 +93,11 @@ def scan(q: np.ndarray, c: np.ndarray, bound: float, k: int) -> np.ndarray:
 
 
 def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; a row's value does not depend on the other rows."""
+    """Cosines in double precision; a row's value does not depend on the other rows. Each vector is
+    brought near 1 by a power of two first, which is exact, so that no square overflows or vanishes."""
+    def near_one(x):
+        return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+    q, c = near_one(q), near_one(c)
     return (c * q).sum(axis=1) / (np.sqrt((c * c).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 

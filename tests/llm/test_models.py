@@ -206,6 +206,16 @@ def test_neighbours_of_odd_rows(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_cosines_of_extreme_components(spark):
+    rows = [(0, [1e200, 2e200]), (1, [2e-200, 4e-200]), (2, [1e300, -1e300]), (3, [3.0, 1.0]), (4, [5e-324, 0.0]), (5, [1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in ann.nearest(df, F.col("vec_id") == 0).collect()}
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    for i in range(1, 6):
+        a, b = unit[0], unit[i]
+        assert got[i] == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-15)
+
+
 def test_scan_abandons_only_what_the_bound_allows():
     rng = np.random.default_rng(5)
     x = ann.units(rng.normal(size=(2500, 48))) @ ann.rotation(48)
