@@ -106,7 +106,7 @@ def scored(model, rows: DataFrame) -> DataFrame:
             .drop("_p", "probability", "rawPrediction", "prediction", "features"))
 
 
-def fit_groups(groups: Groups, keep: Sequence[str], label: str = "label", parallel: int = PARALLEL, **params):
+def fit_groups(groups: Groups, keep: Sequence[str], label: str = "label", parallel: int = PARALLEL, stop: bool = False, **params):
     """One fit per group on its training rows: {value: model}, and the other rows of all groups scored,
     as a written table with the group's column and ``keep``. A group whose training rows have one class
     only predicts that class."""
@@ -116,12 +116,13 @@ def fit_groups(groups: Groups, keep: Sequence[str], label: str = "label", parall
         def run():
             part = groups.part(value)
             train = part.where("_train")
-            low, high = train.agg(F.min(label), F.max(label)).first()
+            low, high, late, all_ = train.agg(F.min(label), F.max(label), F.count(F.when(F.col(LATE), 1)), F.count(F.lit(1))).first()
             held = part.where("NOT _train")
             if low is None or low == high:
                 model, out = None, held.withColumns({"predicted": F.lit(low).cast("int"), "probability_up": F.lit(low).cast("double")})
             else:
-                model = boosted(train, label, **params)
+                # without rows to judge by, or to fit on beside them, all rounds are made
+                model = boosted(train, label, stop=True, **params) if stop and 0 < late < all_ else boosted(train, label, **params)
                 out = scored(model, held)
             out.select(groups.by, *keep, "predicted", "probability_up").write.mode("append").parquet(f"{path}/{value_name(value)}")
             return model

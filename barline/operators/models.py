@@ -129,11 +129,17 @@ def cv_summary(scores: DataFrame) -> DataFrame:
 
 # ---- walk-forward ----------------------------------------------------------------------------
 
-def walk_forward_fit(members: DataFrame, names: Sequence[str], **params) -> DataFrame:
-    """Out-of-sample predictions: one pooled fit per window, side by side over one assembled table.
-    ``members`` has symbol, ts, window_id, role, label and ret."""
-    groups = fits.Groups(members, names, "window_id", F.col("role") == "IS", ["symbol", "ts", "ret"])
-    _, scores = fits.fit_groups(groups, ["symbol", "ts", "label", "ret"], **params)
+def walk_forward_fit(members: DataFrame, names: Sequence[str], stop: bool = True, late: float = 0.15, **params) -> DataFrame:
+    """Out-of-sample predictions: one pooled fit per window, side by side over one assembled table. With
+    ``stop`` the last part, ``late``, of each symbol's in-sample rows judges the rounds.
+
+    ``members`` has symbol, ts, rn, window_id, role, label and ret."""
+    inside = F.col("role") == "IS"
+    ends = members.where(inside).groupBy("symbol", "window_id").agg(F.min("rn").alias("_lo"), F.max("rn").alias("_hi"))
+    rows = members.join(ends, ["symbol", "window_id"], "left")
+    groups = fits.Groups(rows, names, "window_id", inside, ["symbol", "ts", "ret"],
+                         late=F.col("rn") > F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (1 - late))
+    _, scores = fits.fit_groups(groups, ["symbol", "ts", "label", "ret"], stop=stop, **params)
     return scores
 
 

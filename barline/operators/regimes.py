@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barline.functions import corr_agg, corr_over, ratio
+from barline.functions import corr_over, ratio
 from barline.functions.cols import rows
+from barline.operators import gram
 from barline.operators.align import pairwise_symbols
 from barline.plans.series import block_window, core_rows, in_blocks
+from barline.sources.stored import stage
 
 
 def corr_matrix(returns: DataFrame, value: str = "ret") -> DataFrame:
-    """Correlation of every pair; 0 where undefined."""
-    return pairwise_symbols(returns, value).groupBy("a", "b").agg(corr_agg("x", "y").alias("corr"))
+    """Correlation of every pair over the steps that have both; 0 where undefined."""
+    return gram.pair_sums(returns, value=value).where("a < b").select("a", "b", gram.correlation().alias("corr"))
 
 
 def rolling_corr(returns: DataFrame, window: int = 60, value: str = "ret",
@@ -32,8 +36,8 @@ def rolling_corr(returns: DataFrame, window: int = 60, value: str = "ret",
 
 def corr_by(returns: DataFrame, bucket: Column, value: str = "ret") -> DataFrame:
     """Pair correlations per time bucket."""
-    pairs = pairwise_symbols(returns, value).withColumn("bucket", bucket)
-    return pairs.groupBy("bucket", "a", "b").agg(corr_agg("x", "y").alias("corr"))
+    sums = gram.pair_sums(returns.withColumn("bucket", bucket), ["bucket"], value=value)
+    return sums.where("a < b").select("bucket", "a", "b", gram.correlation().alias("corr"))
 
 
 def regime_rules(market: DataFrame, vol_limit: float = 0.20, trend_limit: float = 25.0,
@@ -66,24 +70,68 @@ def regime_history(regimes: DataFrame, start, end, ts: str = "bucket") -> DataFr
                           & (F.col(ts) <= F.lit(end).cast("timestamp")))
 
 
+WIDTH, ROUNDS = 10, 3   # columns of the random projection, and times it is sharpened
+
+
+def principal_scores(cells: DataFrame, k: int = 2, width: int = WIDTH, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
+    """(row, features): the rows' scores on their first ``k`` principal components, from cells (row, column, x)
+    whose missing ones are 0, by a randomised range finder of a small fixed width.
+
+    Each column has a random vector, from its hash; a row's sum over its columns, weighted by these, is a
+    sketch of the row. From the sketches' orthonormal basis every column gets its coefficients, and from
+    these the next, sharper sketch. Only rows x width numbers and width x width sums reach the driver,
+    never a covariance of the columns.
+    """
+    spark = cells.sparkSession
+    cells = stage(cells.select("row", "column", F.col("x").cast("double").alias("x")), "cells")
+    rows = cells.select("row").distinct().count()
+    means = cells.groupBy("column").agg((F.sum("x") / F.lit(float(max(1, rows)))).alias("m"))
+    uniform = lambda j, part: (F.pmod(F.xxhash64("column", F.lit(seed), F.lit(j), F.lit(part)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    normal = [F.sqrt(-2 * F.log(uniform(j, 0))) * F.cos(2 * math.pi * uniform(j, 1)) for j in range(width)]
+    weights = means.select("column", "m", *[w.alias(f"w{j}") for j, w in enumerate(normal)])
+    for _ in range(rounds + 1):
+        weights = stage(weights, "column-weights")
+        # (x - m) w summed over all columns: the mean's share is the same for every row
+        less = np.array(weights.agg(*[F.coalesce(F.sum(F.col("m") * F.col(f"w{j}")), F.lit(0.0)) for j in range(width)]).first())
+        sketch = cells.join(weights, "column").groupBy("row").agg(*[F.sum(F.col("x") * F.col(f"w{j}")).alias(f"y{j}") for j in range(width)])
+        got = sketch.orderBy("row").toPandas()  # a row of `width` numbers per time bucket
+        basis, _ = np.linalg.qr(got[[f"y{j}" for j in range(width)]].to_numpy() - less)
+        names = list(got["row"])
+        width = basis.shape[1]
+        table = spark.createDataFrame([(r, *map(float, q)) for r, q in zip(names, basis)], T.StructType(
+            [cells.schema["row"], *[T.StructField(f"q{j}", T.DoubleType()) for j in range(width)]]))
+        total = basis.sum(axis=0)
+        coefficients = (cells.join(F.broadcast(table), "row").groupBy("column")  # as long as the list of buckets
+                        .agg(*[F.sum(F.col("x") * F.col(f"q{j}")).alias(f"c{j}") for j in range(width)]).join(means, "column"))
+        weights = coefficients.select("column", "m", *[(F.col(f"c{j}") - F.col("m") * float(total[j])).alias(f"w{j}") for j in range(width)])
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    sums = weights.agg(*[F.coalesce(F.sum(F.col(f"w{i}") * F.col(f"w{j}")), F.lit(0.0)) for i, j in pairs]).first()
+    small = np.zeros((width, width))
+    for (i, j), v in zip(pairs, sums, strict=True):
+        small[i, j] = small[j, i] = v
+    value, vector = np.linalg.eigh(small)
+    top = np.argsort(-value)[:k]
+    scores = basis @ vector[:, top] * np.sqrt(np.maximum(value[top], 0))
+    scores = np.pad(scores, ((0, 0), (0, k - scores.shape[1])))
+    out = spark.createDataFrame([(r, [float(x) for x in row]) for r, row in zip(names, scores)],
+                                T.StructType([cells.schema["row"], T.StructField("_f", T.ArrayType(T.DoubleType()))]))
+    return out.select("row", array_to_vector("_f").alias("features"))
+
+
 def regime_clusters(correlations: DataFrame, symbols: Sequence[str], k: int = 6,
                     seed: int = 42) -> DataFrame:
-    """Correlation matrices per bucket, reduced by PCA and clustered; named by mean correlation.
-
-    A matrix is one vector of its pairs; a pair that a bucket lacks counts as 0.
+    """Correlation matrices per bucket, reduced to two principal components and clustered; named by mean
+    correlation. A pair that a bucket lacks counts as 0.
     """
-    ordered = sorted(symbols)
-    names = [f"{a}~{b}" for i, a in enumerate(ordered) for b in ordered[i + 1:]]
-    pair = F.concat_ws("~", "a", "b")
-    cells = (correlations.filter(F.col("a").isin(ordered) & F.col("b").isin(ordered)).groupBy("bucket").agg(
-        F.map_from_entries(F.collect_list(F.struct(pair, "corr"))).alias("_m")))
-    values = F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.col("_m")[n], F.lit(0.0)))
-    rows_ = cells.select("bucket", values.alias("_v")).select("bucket", "_v", array_to_vector("_v").alias("pairs"))
-    reduced = PCA(k=2, inputCol="pairs", outputCol="features").fit(rows_).transform(rows_)
+    spark = correlations.sparkSession
+    chosen = spark.createDataFrame([(s,) for s in sorted(set(symbols))], "s string")
+    kept = correlations.join(chosen.withColumnRenamed("s", "a"), "a", "left_semi").join(chosen.withColumnRenamed("s", "b"), "b", "left_semi")
+    n = len(set(symbols))
+    means = kept.groupBy("bucket").agg((F.sum("corr") / F.lit(n * (n - 1) / 2)).alias("avg_corr"))
+    cells = kept.select(F.col("bucket").alias("row"), F.concat_ws("~", "a", "b").alias("column"), F.col("corr").alias("x"))
+    reduced = principal_scores(cells).withColumnRenamed("row", "bucket")
     out = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(reduced) \
-        .transform(reduced)
-    mean = F.aggregate("_v", F.lit(0.0), lambda t, x: t + x) / len(names)
-    out = out.withColumn("avg_corr", mean)
+        .transform(reduced).join(means, "bucket")
     c = F.col("avg_corr")
     return out.select("bucket", "cluster", "avg_corr", F.when(c > 0.7, "crisis")
                       .when(c > 0.5, "high_vol_trending").when(c > 0.3, "low_vol_trending")
