@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from barline.functions import corr_agg, corr_over, ratio, zero_if_null
 from barline.functions.cols import rows
 from barline.operators.tables import last_n
+from barline.plans.ranks import running_counts
 from barline.plans.series import block_window, core_rows, in_blocks
-from barline.session import scratch_path
 
 IC_KEYS = ("signal", "horizon")
 
@@ -100,47 +100,22 @@ def ks_pvalue_sql(lam: str, terms: int = 25) -> str:
     return f"(CASE WHEN ({lam}) < 0.2e0 THEN 1e0 ELSE least(greatest(2e0 * (0e0 {series}), 0e0), 1e0) END)"
 
 
-def ks_test(spark: SparkSession, reference: DataFrame, current: DataFrame,
-            slices: int = 256) -> DataFrame:
+def ks_test(spark: SparkSession, reference: DataFrame, current: DataFrame) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value per feature.
 
-    Ties collapse first. The values of a feature are cut at approximate quantiles, so its running
-    shares are spread over ``slices`` tasks; the cut points are written down because an
-    approximate sketch may differ between two evaluations.
+    Ties collapse first. The values of all features are ranged over all tasks, in order, and the running
+    shares go on from task to task by a prefix over their counts; nothing is looked up per value.
     """
     both = (reference.select("feature", "value", F.lit(1).alias("_r"), F.lit(0).alias("_c"))
             .unionByName(current.select("feature", "value", F.lit(0).alias("_r"),
                                         F.lit(1).alias("_c")))
             .filter(F.col("value").isNotNull()))
-    marks = [i / slices for i in range(1, slices)]
-    path = scratch_path(spark, "ks-cuts")
-    cuts = both.groupBy("feature").agg(F.percentile_approx("value", marks, 10 * slices).alias("cuts"))
-    cuts = cuts.withColumn("cuts", F.array_sort(F.array_distinct("cuts")))
-    # cut points in chunks of 16: a value is looked up among the chunk heads, then in one chunk
-    starts = F.sequence(F.lit(1), F.size("cuts"), F.lit(16))
-    cuts = cuts.select("feature", F.transform(starts, lambda i: F.slice("cuts", i, 16)).alias("chunks"))
-    cuts.withColumn("heads", F.transform("chunks", lambda c: c[0])).write.parquet(path)
     counts = both.groupBy("feature", "value").agg(F.sum("_r").alias("_r"), F.sum("_c").alias("_c"))
-    counts = counts.join(spark.read.parquet(path), "feature")
-    chunk = F.size(F.filter("heads", lambda c: c < F.col("value")))
-    within = F.size(F.filter(F.get("chunks", chunk - 1), lambda c: c < F.col("value")))
-    counts = counts.withColumn("slice", F.when(chunk == 0, 0).otherwise((chunk - 1) * 16 + within)) \
-        .drop("chunks", "heads")
-    local = Window.partitionBy("feature", "slice").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, 0)
-    per_feature = Window.partitionBy("feature")
-    before = per_feature.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy("feature", "slice").agg(F.sum("_r").alias("_tr"), F.sum("_c").alias("_tc"))
-    totals = totals.select(
-        "feature", "slice", F.coalesce(F.sum("_tr").over(before), F.lit(0)).alias("_br"),
-        F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_bc"),
-        F.sum("_tr").over(per_feature).alias("_nr"), F.sum("_tc").over(per_feature).alias("_nc"))
-    run = counts.select("feature", "slice", F.sum("_r").over(local).alias("_lr"),
-                        F.sum("_c").over(local).alias("_lc"))
-    gap = F.abs(ratio(F.col("_lr") + F.col("_br"), "_nr") - ratio(F.col("_lc") + F.col("_bc"), "_nc"))
-    out = run.join(totals, ["feature", "slice"]).groupBy("feature").agg(
-        F.max(gap).alias("ks_statistic"), F.max("_nr").cast("double").alias("_n"),
-        F.max("_nc").cast("double").alias("_m"))
+    run = running_counts(counts, ["feature"], "value", ["_r", "_c"], "ks-counts")
+    gap = F.abs(ratio("up__r", "all__r") - ratio("up__c", "all__c"))
+    out = run.groupBy("feature").agg(
+        F.max(gap).alias("ks_statistic"), F.max("all__r").cast("double").alias("_n"),
+        F.max("all__c").cast("double").alias("_m"))
     out = out.withColumn("_lam", F.sqrt(ratio(F.col("_n") * F.col("_m"), F.col("_n") + F.col("_m")))
                          * F.col("ks_statistic"))
     return out.select("feature", "ks_statistic", F.expr(ks_pvalue_sql("_lam")).alias("p_value"))

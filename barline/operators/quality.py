@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions import ratio
+from barline.plans.ranks import quantiles
 from barline.plans.series import block_window, core_rows, in_blocks
 
 PRICES = ["open", "high", "low", "close"]
@@ -107,10 +108,12 @@ def large_gaps(bars: DataFrame, days: float = 3.0, block_rows: int | None = None
 
 
 def gap_analysis(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
-    stats = _gaps(bars, block_rows).groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("actual"), F.avg("gap_days").alias("avg_gap"),
-        F.expr("percentile(gap_days, 0.5)").alias("median_gap"), F.max("gap_days").alias("max_gap"),
+    gaps = _gaps(bars, block_rows).select("symbol", "gap_days")
+    stats = gaps.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("actual"), F.avg("gap_days").alias("avg_gap"), F.max("gap_days").alias("max_gap"),
         F.count(F.when(F.col("gap_days") > 3, 1)).alias("large_gaps"))
+    stats = stats.join(quantiles(gaps, ["symbol"], "gap_days", {"median_gap": 0.5}), "symbol", "left").select(
+        "symbol", "actual", "avg_gap", "median_gap", "max_gap", "large_gaps")
     expected = trading_calendar(bars).groupBy("symbol").agg(F.count(F.lit(1)).alias("expected"))
     return (stats.join(expected, "symbol", "left")
             .withColumn("missing", F.col("expected") - F.col("actual"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barline.functions import corr_agg, norm_cdf, norm_ppf, ratio, zero_if_null
 from barline.operators.folds import half_splits, in_mask
 from barline.operators.tables import last_n, latest_wins
+from barline.plans.ranks import quantiles, same
 from barline.plans.series import number_rows, running
 from barline.sources.stored import stage
 
@@ -209,10 +210,11 @@ def metric_stats(metrics: DataFrame, keys: list[str], newest: int = 1000) -> Dat
     """Summary of the newest values per metric (and labels)."""
     last = last_n(metrics, newest, keys, ["ts", "id"], F.date_trunc("day", "ts"))
     v = "metric_value"
-    return last.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-        F.avg(v).alias("mean"), *[F.expr(f"percentile({v}, {q / 100})").alias(f"p{q}")
-                                  for q in (50, 95, 99)])
+    facts = last.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"))
+    at = quantiles(last.select(*keys, v), keys, v, {f"p{q}": q / 100 for q in (50, 95, 99)})
+    out = facts.alias("f").join(at.alias("q"), same("f", "q", keys), "left")
+    return out.select("f.*", *[f"q.p{q}" for q in (50, 95, 99)])
 
 
 def counter_gauge(metrics: DataFrame) -> DataFrame:
