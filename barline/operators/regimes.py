@@ -70,7 +70,7 @@ def regime_history(regimes: DataFrame, start, end, ts: str = "bucket") -> DataFr
                           & (F.col(ts) <= F.lit(end).cast("timestamp")))
 
 
-WIDTH, ROUNDS = 10, 3   # columns of the random projection, and times it is sharpened
+WIDTH, ROUNDS = 10, 2   # columns of the random projection, and times it is sharpened
 
 
 def principal_scores(cells: DataFrame, k: int = 2, width: int = WIDTH, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
@@ -94,9 +94,9 @@ def principal_scores(cells: DataFrame, k: int = 2, width: int = WIDTH, rounds: i
         # (x - m) w summed over all columns: the mean's share is the same for every row
         less = np.array(weights.agg(*[F.coalesce(F.sum(F.col("m") * F.col(f"w{j}")), F.lit(0.0)) for j in range(width)]).first())
         sketch = cells.join(weights, "column").groupBy("row").agg(*[F.sum(F.col("x") * F.col(f"w{j}")).alias(f"y{j}") for j in range(width)])
-        got = sketch.orderBy("row").toPandas()  # a row of `width` numbers per time bucket
-        basis, _ = np.linalg.qr(got[[f"y{j}" for j in range(width)]].to_numpy() - less)
-        names = list(got["row"])
+        got = sketch.orderBy("row").collect()  # a row of `width` numbers per time bucket
+        names = [r["row"] for r in got]
+        basis, _ = np.linalg.qr(np.array([r[1:] for r in got], dtype=float).reshape(len(got), width) - less)
         width = basis.shape[1]
         table = spark.createDataFrame([(r, *map(float, q)) for r, q in zip(names, basis)], T.StructType(
             [cells.schema["row"], *[T.StructField(f"q{j}", T.DoubleType()) for j in range(width)]]))
