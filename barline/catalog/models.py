@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barline.catalog.base import BARS, NUMBERED, register
 from barline.catalog.features import ALL_INDICATORS
-from barline.catalog.labels import MEMBERS, PREDICTIONS, SYMBOLS, WINDOWS, predictions
+from barline.catalog.labels import EXTREMA, MEMBERS, PREDICTIONS, SYMBOLS, WINDOWS, predictions
 from barline.catalog.stats import psr_sql, MOM, SHARPE
 from barline.functions import norm_cdf_sql
 from barline.operators import folds, labels, models
@@ -71,6 +71,19 @@ def gbt_train(spark, d):
         & share(F.col("recall"))).alias("sound"))
 
 
+@register("npmm_train", f"""{WITH}, {EXTREMA}, m AS (SELECT symbol, ts, CASE WHEN is_min AND (fmax - close) / close >= 0.02e0 THEN 1
+  WHEN is_max AND (close - fmin) / close >= 0.02e0 THEN 0 END AS label FROM y),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM m WHERE label IS NOT NULL)
+SELECT symbol, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, TRUE AS sound FROM k WHERE rn >= floor(n * 0.8e0) GROUP BY 1""")
+def npmm_train(spark, d):
+    """A fit on confirmed lows and highs: held-out rows and lows per symbol, and that the classes follow the probability."""
+    rows = models.npmm_training(feature_table(spark, d).select("symbol", "ts", *TRAIN_ON), bars_series(spark, d))
+    _, s = models.gbt_train(rows, TRAIN_ON)
+    return s.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("label").cast("bigint")).alias("positives"),
+        F.bool_and(share(F.col("probability_up")) & ((F.col("predicted") == 1) == (F.col("probability_up") > 0.5))).alias("sound"))
+
+
 @register("score_rows", f"{ROWS} SELECT symbol, ts, label, TRUE AS sound FROM {HELD}")
 def score_rows(spark, d):
     """Held-out rows, and that class, confidence and score follow from the probability."""

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from barline.functions import corr_agg, ratio, zero_if_null
 from barline.operators import fits
+from barline.operators.labels import npmm_label
 from barline.operators.stats import confusion_metrics, kurtosis_agg, sharpe_agg, skew_agg, with_psr
 from barline.operators.tables import latest_wins
+from barline.plans.series import number_rows
 from barline.sources.stored import stage
 
 # Sector membership and the published ranks of indicators.
@@ -78,6 +80,14 @@ def gbt_train_each(rows: DataFrame, names: Sequence[str], by: str = "symbol", sh
     return {v: groups.whole_model(v, t) if t else None for v, t in trees.items()}, scores
 
 
+def npmm_training(features: DataFrame, bars: DataFrame, n: int = 5, threshold: float = 0.02) -> DataFrame:
+    """``features`` (symbol, ts, ...) at confirmed lows (label 1) and highs (label 0) of ``bars``; rows
+    between them take no part, and rn and n count the labelled rows alone."""
+    marks = npmm_label(bars, n, threshold).where("npmm_label <> 0").select(
+        "symbol", "ts", (F.col("npmm_label") == 1).cast("int").alias("label"))
+    return number_rows(marks, with_total=True).join(features, ["symbol", "ts"], "left")
+
+
 def gbt_importance(model, names: Sequence[str], spark) -> DataFrame:
     """Importance per feature with its rank; a model's features are a bounded list."""
     values = model.stages[-1].featureImportances.toArray().tolist()

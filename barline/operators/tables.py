@@ -60,7 +60,8 @@ COMMAND_NODES = ("ParsedStatement", "InsertIntoStatement", "V2WriteCommand", "Me
 def sql_select(spark: SparkSession, text: str, views: dict[str, DataFrame],
                args: dict | None = None) -> DataFrame:
     """One parameterised query over ``views``. Commands are refused by the type of their parsed
-    plan, before anything runs; the views exist only for the time of the call."""
+    plan, before anything runs; the views exist only for the time of the call, and a caller's own
+    temporary view of the same name is put back after it."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     kinds, open_ = [], [plan]
     while open_:
@@ -74,6 +75,8 @@ def sql_select(spark: SparkSession, text: str, views: dict[str, DataFrame],
             if any(n.endswith("Command") or n in COMMAND_NODES for n in names):
                 raise ValueError(f"only queries are allowed, not {names[0]}")
             kind = kind.getSuperclass()
+    temporary = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    own = {name: spark.table(name) for name in views if name in temporary}
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     try:
@@ -81,6 +84,8 @@ def sql_select(spark: SparkSession, text: str, views: dict[str, DataFrame],
     finally:
         for name in views:
             spark.catalog.dropTempView(name)
+            if name in own:
+                own[name].createOrReplaceTempView(name)
 
 
 def preview(df: DataFrame, n: int = 100) -> DataFrame:

@@ -55,6 +55,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder under the checkpoint root for one job's tables or stream state."""
-    return f"{checkpoint_root(spark)}/{name}-{os.urandom(6).hex()}"
+    path = f"{checkpoint_root(spark)}/{name}-{os.urandom(6).hex()}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes the folders that this application has taken so far and forgets what was stored in them;
+    returns their number. Call it when no result that may still read them is in use."""
+    from barline.sources import stored
+    taken = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in taken:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    stored.forget(taken)
+    return len(taken)

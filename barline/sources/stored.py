@@ -36,6 +36,13 @@ def stored_path(spark: SparkSession, sf_dir: str, name: str, build: Callable[[st
     return _PATHS[key]
 
 
+def forget(paths: list[str]) -> None:
+    """Drops entries whose folders are gone."""
+    gone = set(paths)
+    for key in [k for k, path in _PATHS.items() if path in gone]:
+        del _PATHS[key]
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str,
            build: Callable[[], DataFrame]) -> DataFrame:
     return spark.read.parquet(stored_path(spark, sf_dir, name, lambda path: build().write.parquet(path)))

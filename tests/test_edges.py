@@ -245,3 +245,27 @@ def test_overfitting_of_all_splits_equals_direct_count(spark):
                                 for t in range(60) for j in range(4)], "ts timestamp, trial string, ret double")
     got = stats.pbo(spark, df, parts=6).first()
     assert got.splits == 20 and 0 <= got.pbo <= 1
+
+
+def test_a_callers_view_outlives_a_query(spark):
+    spark.range(3).createOrReplaceTempView("rows_of_mine")
+    other = spark.range(7)
+    assert tables.sql_select(spark, "SELECT count(*) AS n FROM rows_of_mine", {"rows_of_mine": other}).first().n == 7
+    assert spark.table("rows_of_mine").count() == 3
+    spark.catalog.dropTempView("rows_of_mine")
+    tables.sql_select(spark, "SELECT * FROM rows_of_mine", {"rows_of_mine": other})
+    assert "rows_of_mine" not in {t.name for t in spark.catalog.listTables()}
+
+
+def test_cleanup_takes_only_folders_of_its_own(spark, tmp_path, monkeypatch):
+    from barline import session
+    from barline.sources import stored
+    monkeypatch.setattr(session, "_SCRATCH", {})
+    monkeypatch.setattr(stored, "_PATHS", {})
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    stored.stored(spark, str(tmp_path), "copy", lambda: spark.read.parquet(str(tmp_path / "t.parquet")))
+    path, = stored._PATHS.values()
+    assert session.cleanup(spark) == 1 and not stored._PATHS
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert stored.stored(spark, str(tmp_path), "copy", lambda: spark.read.parquet(str(tmp_path / "t.parquet"))).count() == 3
