@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions import ratio
-from barline.plans.series import (
-    block_size, block_window, core_rows, in_blocks, number_rows, split_blocks,
-)
-from barline.session import scratch_path
+from barline.operators.barrier import triple_barrier  # noqa: F401
+from barline.plans.series import block_window, core_rows, in_blocks, number_rows, split_blocks
 
 
 def ahead(n: int, x: str = "close"):
@@ -78,86 +74,3 @@ def forward_returns(bars: DataFrame, horizons=(1, 5, 20), block_rows: int | None
     long = df.select("symbol", "ts", F.expr(f"stack({len(horizons)}, {pairs})")
                      .alias("horizon", "forward_return"))
     return long.filter(F.col("forward_return").isNotNull())
-
-
-# ---- triple barrier --------------------------------------------------------------------------
-
-def _first_touch(price: np.ndarray, events: np.ndarray, rise: float, fall: float,
-                 quiet: float, limit: int | None):
-    """Label per event and whether it is settled inside ``price``."""
-    label = np.zeros(events.size, dtype=np.int32)
-    open_ = np.ones(events.size, dtype=bool)
-    step = 0
-    while open_.any():
-        step += 1
-        if limit is not None and step > limit:
-            open_[:] = False
-            break
-        live = np.nonzero(open_)[0]
-        at = events[live] + step
-        live = live[at < price.size]
-        if live.size == 0:
-            break
-        base = price[events[live]]
-        ret = (price[events[live] + step] - base) / base
-        label[live[ret >= rise]] = 1
-        label[live[(ret < rise) & (ret <= -fall)]] = -1
-        open_[live[(ret >= rise) | (ret <= -fall) | (np.abs(ret) < quiet)]] = False
-    return label, ~open_
-
-
-def triple_barrier(spark: SparkSession, bars: DataFrame, rise: float = 0.02, fall: float = 0.01,
-                   quiet: float = 0.005, max_holding: int | None = None, reach: int = 1024,
-                   block_rows: int | None = None) -> DataFrame:
-    """First later bar that gains ``rise`` (1), loses ``fall`` (-1) or hardly moves (0).
-
-    A block sees ``reach`` rows ahead. Events that are still open there go into another round
-    with sixteen times the reach, and only their blocks are read again, so the result is exact
-    without a time limit. Rounds are kept as tables, not as lineage.
-    """
-    if "n" not in bars.columns:
-        bars = number_rows(bars.drop("rn"), with_total=True)
-    bars = bars.select("symbol", "ts", "rn", "n", "close")
-    size = block_rows or block_size(reach)
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn", kind="stable")
-        events = np.nonzero(pdf["event"].to_numpy())[0]
-        label, done = _first_touch(pdf["close"].to_numpy(dtype=float), events, rise, fall, quiet,
-                                   max_holding)
-        out = pdf.iloc[events][["symbol", "ts", "rn"]]
-        ends = bool(len(pdf)) and pdf["rn"].iloc[-1] == pdf["n"].iloc[-1] - 1
-        return out.assign(label=label, settled=done | ends)
-
-    schema = "symbol string, ts timestamp, rn bigint, label int, settled boolean"
-    if max_holding is not None:
-        reach = min(reach, max_holding)
-    results, pending = [], None
-    while True:
-        if pending is None:
-            blocks = split_blocks(bars, after=reach, block_rows=size).withColumn("event", F.col("core"))
-        else:
-            wanted = pending.select("symbol", F.floor(F.col("rn") / size).alias("blk")).distinct()
-            # only rows inside the reach of an unsettled block are copied into blocks
-            ahead = F.sequence(F.col("blk"), F.col("blk") + -(-reach // size))
-            needed = wanted.select("symbol", F.explode(ahead).alias("_row_block")).distinct()
-            near = (bars.withColumn("_row_block", F.floor(F.col("rn") / size))
-                    .join(needed, ["symbol", "_row_block"], "left_semi").drop("_row_block"))
-            blocks = split_blocks(near, after=reach, block_rows=size)
-            marks = pending.select("symbol", "rn", F.lit(True).alias("_m"))
-            blocks = (blocks.join(wanted, ["symbol", "blk"], "left_semi")
-                      .join(marks, ["symbol", "rn"], "left")
-                      .withColumn("event", F.col("core") & F.coalesce("_m", F.lit(False)))
-                      .drop("_m"))
-        path = scratch_path(spark, "barrier")
-        blocks.groupBy("symbol", "blk").applyInPandas(settle, schema).write.parquet(path)
-        done = spark.read.parquet(path)
-        results.append(done.filter("settled"))
-        pending = done.filter("NOT settled")
-        if pending.isEmpty():
-            break
-        reach *= 16
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.select("symbol", "ts", "label")

@@ -13,7 +13,7 @@ from barline.operators import indicators as ind
 from barline.operators import labels, risk, stats
 from barline.operators.ewm import Ewm, add_ewm, ewm_halo
 from barline.plans.series import core_rows, in_blocks, number_rows, running
-from conftest import by_symbol, series
+from conftest import by_symbol, make_bars, series
 
 BLOCK = 700
 
@@ -258,3 +258,55 @@ def test_running_in_calendar_buckets(trades):
     streak = risk.loss_streak(df).orderBy("id").toPandas()["loss_streak"]
     blocked = risk.loss_streak(df, block_rows=33).orderBy("id").toPandas()["loss_streak"]
     assert streak.tolist() == blocked.tolist()
+
+
+def _first_bars(c, rise, fall, quiet, limit=None):
+    out = []
+    for i, base in enumerate(c):
+        label = 0
+        for p in c[i + 1:(None if limit is None else i + 1 + limit)]:
+            with np.errstate(all="ignore"):
+                r = (np.float64(p) - base) / base
+            if r >= rise or r <= -fall or abs(r) < quiet:
+                label = 1 if r >= rise else -1 if r <= -fall else 0
+                break
+        out.append(label)
+    return np.array(out)
+
+
+def _far_series():
+    rng = np.random.default_rng(3)
+    swing = np.where(np.arange(600) % 2, 100.9, 100.0)      # open for good, with a gap around each price
+    return {"flat": [100.0] * 500 + [103.0] + [100.0] * 99,
+            "swing": np.r_[swing, 108.0, 107.2].tolist(),
+            "drift": np.round(50 + 0.004 * np.arange(600) + rng.normal(0, .02, 600), 3).tolist(),
+            "holes": [float("nan") if i % 7 == 3 else 100.0 + (i % 3) * 0.8 for i in range(400)] + [90.0, 200.0],
+            "hush": [100.0, 101.0] + [float("nan")] * 300 + [101.5, 103.0],
+            "below": [-10.0, 0.0, 10.0, 0.5, -10.05] * 60, "short": [1.0], "gone": [float("nan")] * 5,
+            "mixed": np.round(rng.choice([-100.0, 100.0, 100.9, 0.0], 900, p=[.002, .497, .497, .004]), 3).tolist()}
+
+
+@pytest.mark.parametrize("rise,fall,quiet,limit,reach,rows,fanout", [
+    (0.02, 0.02, 0.0, None, 4, 8, 4), (0.02, 0.02, 0.005, None, 8, 16, 4), (0.05, 0.04, 0.002, None, 6, 9, 8),
+    (0.02, 0.02, 0.005, 300, 8, 16, 4), (0.5, 0.5, 0.0, None, 16, 16, 64), (5.0, 3.0, 1.5, None, 4, 4, 8)])
+def test_triple_barrier_far_ahead(spark, rise, fall, quiet, limit, reach, rows, fanout):
+    """Touches hundreds of blocks ahead, gaps around the quiet band, nulls, zero and negative closes."""
+    closes = _far_series()
+    got = by_symbol(labels.triple_barrier(spark, make_bars(spark, closes), rise, fall, quiet, limit,
+                                          reach=reach, block_rows=rows, fanout=fanout), "label")
+    for s, c in closes.items():
+        assert (got[s][:, 0] == _first_bars(np.array(c), rise, fall, quiet, limit)).all(), s
+
+
+def test_triple_barrier_ranges():
+    """A node's ranges answer as its closes do."""
+    from barline.operators import barrier
+    rng = np.random.default_rng(5)
+    for quiet in (0.0, 0.005, 0.3, 2.0):
+        for _ in range(300):
+            closes = np.unique(np.round(rng.choice([100, -100, 1]) * np.exp(rng.normal(0, rng.choice([.005, .02, 1]), 9)), 6))
+            lo, hi = barrier.ranges(closes, closes, quiet)
+            bases = rng.choice([100, -100, 1]) * np.exp(rng.normal(0, .05, 20))
+            ret = (closes[None, :] - bases[:, None]) / bases[:, None]
+            want = ((ret >= 0.02) | (ret <= -0.01) | (np.abs(ret) < quiet)).any(axis=1)
+            assert (barrier._holds(lo, hi, bases, 0.02, 0.01, quiet).any(axis=1) == want).all()
