@@ -65,21 +65,18 @@ def op7_sharding(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
-# The same rule in closed form: a document's shard is the shortest prefix of its hash whose
-# documents fit, or the longest prefix; the last bit is never reached with distinct keys.
+# The same rule in closed form: a document's shard is the shortest prefix of its hash whose documents
+# fit or that no other document shares.
 ORACLES["op7_sharding"] = f"""
 WITH d AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
          lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)),
               {sharding.BITS}, '0') AS hash
   FROM documents),
-deep AS (
-  SELECT least({sharding.BITS}, CAST(ceil(log2(greatest(1, sum(bytes) / {sharding.LIMIT}e0))) AS BIGINT)
-               + {sharding.SPARE_BITS}) AS deep FROM d),
-p AS (SELECT doc_id, bytes, k, substr(hash, 1, k) AS shard FROM d, deep, unnest(range(0, deep + 1)) AS u(k)),
-s AS (SELECT k, shard, sum(bytes) AS shard_bytes FROM p GROUP BY ALL),
-f AS (SELECT p.*, s.shard_bytes FROM p JOIN s USING (k, shard)
-      WHERE s.shard_bytes <= {sharding.LIMIT} OR k = (SELECT deep FROM deep))
+l AS (SELECT greatest(1, least({sharding.LIMIT}, CAST(ceil(sum(bytes) / {sharding.LEAST_SHARDS}e0) AS BIGINT))) AS lim FROM d),
+p AS (SELECT doc_id, bytes, hash, k, substr(hash, 1, k) AS shard FROM d, unnest(range(0, {sharding.BITS} + 1)) AS u(k)),
+s AS (SELECT k, shard, sum(bytes) AS shard_bytes, min(hash) = max(hash) AS alone FROM p GROUP BY ALL),
+f AS (SELECT p.*, s.shard_bytes FROM p JOIN s USING (k, shard), l WHERE s.shard_bytes <= lim OR alone)
 SELECT doc_id, bytes, shard, CAST(0 AS BIGINT) AS page, CAST(shard_bytes AS BIGINT) AS shard_bytes
 FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1"""
 

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import defaultdict
 
@@ -79,7 +80,6 @@ def test_schedules_give_early_and_late_sources(spark):
 
 
 def shard_rule(docs, limit, deep):
-    import hashlib
     bits = {d.doc_id: bin(int(hashlib.md5(str(d.doc_id).encode()).hexdigest()[:15], 16))[2:].zfill(60) for d in docs}
     size = {d.doc_id: len((d.text or "").encode()) for d in docs}
     out = {}
@@ -105,6 +105,31 @@ def test_only_oversized_buckets_split(spark):
     assert max(by.values()) <= 4000 and all(by[r.shard, r.page] == r.shard_bytes for r in rows)
 
 
+def test_oversized_buckets_get_longer_prefixes(spark, monkeypatch):
+    """Short first prefixes force several rounds; a document above the limit ends up alone."""
+    df = spark.range(300).selectExpr("id AS doc_id", "repeat('x', int(if(id % 90 = 7, 9000, id * 37 % 400))) AS text")
+    size = {r.doc_id: len(r.text) for r in df.collect()}
+    bits = {i: bin(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16))[2:].zfill(60) for i in size}
+    want = {}
+    for i, b in bits.items():
+        for k in range(61):
+            same = [j for j in bits if bits[j][:k] == b[:k]]
+            if len(same) == 1 or sum(size[j] for j in same) <= 3000:
+                want[i] = b[:k], sum(size[j] for j in same)
+                break
+    for spare, more in ((2, 8), (-4, 1)):
+        monkeypatch.setattr(sharding, "SPARE_BITS", spare)
+        monkeypatch.setattr(sharding, "MORE_BITS", more)
+        rows = sharding.shards(df, limit=3000).collect()
+        assert {r.doc_id: (r.shard, r.shard_bytes) for r in rows} == want and all(r.page == 0 for r in rows)
+
+
+def test_every_table_splits(spark):
+    df = spark.range(640).selectExpr("id AS doc_id", "repeat('x', 10) AS text")
+    assert len({r.shard for r in sharding.shards(df).collect()}) > 64
+    assert sharding.limit_for(0) == 1 and sharding.limit_for(2 ** 50) == sharding.LIMIT
+
+
 def test_rows_of_one_key_are_chained(spark, odd, none):
     df = spark.range(300).selectExpr("1L AS doc_id", "repeat('x', int(50 + id % 90)) AS text")
     rows = sharding.shards(df, limit=1000).collect()
