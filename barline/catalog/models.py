@@ -15,7 +15,6 @@ from barline.functions import norm_cdf_sql
 from barline.operators import folds, labels, models
 from barline.operators import ffd as ffd_ops
 from barline.operators.features import feature_names
-from barline.session import scratch_path
 from barline.sources import derived as src
 from barline.sources.derived import bars_series, feature_table, indicator_table
 from barline.sources.stored import stage, stored, stored_path
@@ -180,15 +179,22 @@ def wfo_overall(spark, d):
     return models.wfo_overall(rule_oos(spark, d))
 
 
+def _symbol_fits(spark, d):
+    """The registry of a model per symbol, stored in two versions, and their held-out scores; fitted once."""
+    def build(path):
+        fitted, scores = models.gbt_train_each(training_rows(spark, d), TRAIN_ON, trees=10, depth=3)
+        for version in ("v1", "v2"):
+            models.save_models(spark, path, version, fitted, scores)
+        scores.write.parquet(f"{path}/scores")
+    return stored_path(spark, d, "symbol-fits", build)
+
+
 @register("latest_model", f"""{ROWS} SELECT symbol, count(*) AS rows, 2 AS versions, 'v2' AS version, TRUE AS sound FROM {HELD} GROUP BY 1""")
 def latest_model(spark, d):
     """A model per symbol is fitted and stored twice; the newest version of each is found in the registry,
     loaded and applied to the held-out rows: it scores as the unsaved one did."""
-    rows = training_rows(spark, d)
-    fitted, scores = models.gbt_train_each(rows, TRAIN_ON, trees=10, depth=3)
-    root = scratch_path(spark, "model-registry")
-    for version in ("v1", "v2"):
-        models.save_models(spark, root, version, fitted, scores)
+    rows, root = training_rows(spark, d), _symbol_fits(spark, d)
+    scores = spark.read.parquet(f"{root}/scores")
     held = rows.where(F.col("rn") >= F.floor(F.col("n") * 0.8))
     again = models.score_newest(spark, root, held, TRAIN_ON).select(
         "symbol", "ts", F.col("probability_up").alias("_p"), F.col("predicted").alias("_c"))
@@ -342,6 +348,20 @@ AVG_RANK = f"""{RANK}, ar AS (SELECT feature, avg(importance) AS importance, CAS
   CAST(row_number() OVER (ORDER BY avg(importance) DESC, feature) AS INTEGER) AS rank, {LIKE} AS category FROM rk GROUP BY 1)"""
 
 
+@register("fitted_rankings", f"""{ROWS}, s AS (SELECT count(DISTINCT symbol) AS symbols FROM {HELD})
+SELECT feature, {LIKE} AS category, symbols, TRUE AS sound FROM (SELECT unnest({TRAIN_ON!r}) AS feature), s""")
+def fitted_rankings(spark, d):
+    """Indicators ranked by the importances of the newest stored model of every symbol: shares of 1 per
+    symbol, ranks from 1 on without gaps, means over symbols ranked again."""
+    per = models.symbol_rankings(models.load_newest(spark, _symbol_fits(spark, d)), TRAIN_ON, spark)
+    whole = per.groupBy("symbol").agg(F.abs(F.sum("importance") - 1).alias("_off"), F.sum("rank").alias("_ranks"))
+    n = len(TRAIN_ON)
+    right = whole.agg(F.bool_and((F.col("_off") < 1e-9) & (F.col("_ranks") == n * (n + 1) // 2)).alias("_right"))
+    ranked = models.rank_indicators(per)
+    inside = share(F.col("importance")) & F.col("rank").between(1, n) & F.col("mean_rank").between(1, n)
+    return ranked.crossJoin(F.broadcast(right)).select("feature", "category", "symbols", (inside & F.col("_right")).alias("sound"))  # one row
+
+
 @register("top_features", f"""{ALL_INDICATORS}, {RANK} SELECT feature, avg(importance) AS importance,
   CAST(row_number() OVER (ORDER BY avg(importance) DESC, feature) AS INTEGER) AS rank FROM rk GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""", "importance")
 def top_features(spark, d):

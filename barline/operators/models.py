@@ -340,6 +340,16 @@ def contribution_summary(contributions: DataFrame, *keys: str) -> DataFrame:
         F.avg(F.abs(F.col("contribution"))).alias("importance"))
 
 
+def symbol_rankings(fitted: dict, names: Sequence[str], spark) -> DataFrame:
+    """Features of every symbol's model by importance, ties by name: symbol, feature, importance, rank.
+    A symbol without a model has no rows; there is one row per model and feature."""
+    rows = [(str(symbol), name, float(share)) for symbol, model in sorted(fitted.items()) if model
+            for name, share in zip(names, model.stages[-1].featureImportances.toArray(), strict=True)]
+    df = spark.createDataFrame(rows, "symbol string, feature string, importance double")
+    order = Window.partitionBy("symbol").orderBy(F.desc("importance"), "feature")
+    return df.withColumn("rank", F.row_number().over(order))
+
+
 def rank_indicators(rankings: DataFrame) -> DataFrame:
     """Average importance and rank over symbols, ranked again. One row per feature name."""
     per = rankings.groupBy("feature").agg(F.avg("importance").alias("importance"),

@@ -114,3 +114,14 @@ def test_a_changed_source_is_built_anew(spark, tmp_path):
     spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
     assert stored(spark, str(tmp_path), "copy", read).count() == 5
 
+
+
+def test_rankings_of_fits_per_symbol(spark):
+    """The feature that the label follows comes first for every symbol and over all of them."""
+    fitted, _ = models.gbt_train_each(series_rows(spark, 300), ["y", "x"], trees=3, depth=2)
+    per = models.symbol_rankings(fitted | {"none": None}, ["y", "x"], spark)
+    rows = {(r.symbol, r["rank"]): r for r in per.collect()}
+    assert set(rows) == {(s, k) for s in "AB" for k in (1, 2)}
+    assert all(rows[s, 1].feature == "x" and abs(rows[s, 1].importance + rows[s, 2].importance - 1) < 1e-9 for s in "AB")
+    over = {r.feature: r for r in models.rank_indicators(per).collect()}
+    assert over["x"]["rank"] == over["x"].mean_rank == 1 and over["y"].symbols == 2
