@@ -312,8 +312,9 @@ def meta_importance(model, names: Sequence[str], spark) -> DataFrame:
 
 
 def blend(predictions: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Weight-normalised average; ``predictions`` is long: keys, model, prediction."""
-    return predictions.join(weights, "model").groupBy(*keys).agg(
+    """Weight-normalised average; ``predictions`` is long: keys, model, prediction. ``weights`` has a
+    row per model and goes to every task: a join by model would put all rows of a model into one."""
+    return predictions.join(F.broadcast(weights), "model").groupBy(*keys).agg(
         ratio(F.sum(F.col("weight") * F.col("prediction")), F.sum("weight")).alias("blended"))
 
 

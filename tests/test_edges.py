@@ -247,6 +247,21 @@ def test_overfitting_of_all_splits_equals_direct_count(spark):
     assert got.splits == 20 and 0 <= got.pbo <= 1
 
 
+def test_blend_deals_no_rows_out_by_model(spark):
+    rows = [(i % 50, m, float(i)) for i in range(200) for m in ("a", "b")] + [(None, "a", 4.0), (0, "x", 9.0), (0, None, 9.0), (1, "b", None)]
+    long = spark.createDataFrame(rows, "id long, model string, prediction double")
+    weights = spark.createDataFrame([("a", 2.0), ("b", 0.5), ("c", 1.0)], "model string, weight double")
+    out = models.blend(long, weights, ["id"])
+    text = plan(out)
+    assert "hashpartitioning(id#" in text and "hashpartitioning(model#" not in text
+    given, top, low = dict(weights.collect()), {}, {}
+    for k, m, p in rows:
+        if m in given:
+            top[k] = top.get(k, 0) + given[m] * (p or 0)
+            low[k] = low.get(k, 0) + given[m]
+    assert {r.id: r.blended for r in out.collect()} == pytest.approx({k: top[k] / low[k] for k in low})
+
+
 def test_a_callers_view_outlives_a_query(spark):
     spark.range(3).createOrReplaceTempView("rows_of_mine")
     other = spark.range(7)
