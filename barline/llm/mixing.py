@@ -8,6 +8,9 @@ than its size starts over, at most once.
 The line of a source is cut into hash slots: words are summed per (source, slot), the slots are
 added up, and a running sum inside each slot does the rest, so that a source with a third of all
 rows is spread over all slots.
+
+The mix itself is one row per use of a document, sorted by time over sampled ranges: with whole texts
+for training (``mixed``), or without them (``schedule``), from which ``mix_plan`` counts per document.
 """
 
 from __future__ import annotations
@@ -98,9 +101,35 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 F.col("source_size") + F.col("place") + F.col("second") / 2))))
 
 
+def uses(df: DataFrame) -> DataFrame:
+    """``assign``'s rows once per use of a document, with pass (1 or 2), words taken by that use and
+    its training time ``at``; a document in no mix keeps one row, where these are null."""
+    use = lambda n, words, at: F.struct(F.lit(n).alias("pass"), F.col(words).alias("words"), F.col(at).alias("at"))
+    both = F.array(use(1, "first", "position"), use(2, "second", "position_2"))
+    return df.select("*", F.inline_outer(F.filter(both, lambda u: u["words"] > 0)))
+
+
+def in_order(df: DataFrame, at: str = "at") -> DataFrame:
+    """Rows in training order: dealt over tasks by sampled ranges of time, sorted inside each.
+    Ties, and rows without a time, which come last, are in hash order."""
+    order = (F.col(at).asc_nulls_last(), F.col("hash"))
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text",
+             source: str = "source") -> DataFrame:
+    """The mix without its texts, as a written table in training order: one row per use of a document,
+    with its words and time; documents in no mix stand behind it. ``line`` and ``place`` name a
+    document that has words: its source and the words before it there."""
+    df = uses(assign(docs.select(col(key), col(text), col(source)), key, text, source))
+    return stage(in_order(df.select("id", "hash", "line", "place", "size", "source_size", "target",
+                                    "pass", "words", "at")), "mix")
+
+
 def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text",
              source: str = "source") -> DataFrame:
-    """One row per document: key, size, source_size, target, taken, position, position_2.
+    """One row per document: key, size, source_size, target, taken, position, position_2, counted
+    from the mix (``schedule``) and in training order of the first use; documents in no mix come last.
 
     Size is the number of words (runs without white space); a null text has none and is never
     taken. Sources rank by code point, the null source last, and is a source of its own. Documents
@@ -109,17 +138,21 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text",
     a target is taken in part. Words taken of a source add up to its target, rounded down. An
     empty table gives no rows; other columns, of any name, are ignored.
     """
-    out = assign(docs.select(col(key), col(text), col(source)), key, text, source)
-    return out.select(F.col("id").alias(key), "size", "source_size", "target", "taken",
-                      "position", "position_2")
+    mix = schedule(docs, key, text, source)
+    same = ["id", "hash", "size", "source_size", "target"]
+    at = lambda n: F.max(F.when(F.col("pass") == n, F.col("at")))
+    used = mix.where("pass IS NOT NULL").groupBy("line", "place", *same).agg(
+        F.sum("words").alias("taken"), at(1).alias("position"), at(2).alias("position_2"))
+    none = F.lit(None).cast("double")
+    out = used.drop("line", "place").unionByName(mix.where("pass IS NULL").select(
+        *same, F.lit(0).cast("long").alias("taken"), none.alias("position"), none.alias("position_2")))
+    return in_order(out, "position").select(F.col("id").alias(key), "size", "source_size", "target",
+                                            "taken", "position", "position_2")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text",
           source: str = "source") -> DataFrame:
     """The documents of the mix in training order, with the columns of ``docs``: once or twice
     each, always whole. The document at the end of a target stays if at least half of it is due."""
-    df = assign(docs, key, text, source, carry_text=True)
-    whole = lambda words, at: F.when(2 * F.col(words) >= F.col("size"), F.col(at))
-    uses = F.array_compact(F.array(whole("first", "position"), whole("second", "position_2")))
-    return (df.where("taken > 0").select("row", "hash", F.explode(uses).alias("at"))
-            .repartitionByRange("at", "hash").sortWithinPartitions("at", "hash").select("row.*"))
+    df = uses(assign(docs, key, text, source, carry_text=True).where("taken > 0"))
+    return in_order(df.where("2 * words >= size").select("row", "hash", "at")).select("row.*")

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from barline.llm import mixing, sharding
+from barline.llm import mixing, queries, sharding
 
 
 def filled(sizes):
@@ -70,6 +70,34 @@ def test_mixed_rows_come_in_order_and_whole(odd):
     assert first == sorted(first)
 
 
+def test_the_query_sorts_the_mix_by_time(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("if(id % 50 = 3, null, id) AS doc_id", "repeat('w ', int(id % 9)) AS text",
+                                        "if(id % 7 = 0, null, concat('s', ceil(sqrt(id % 10)))) AS source")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    folded = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(folded, "false")
+    try:
+        df = queries.QUERIES["op10_mixing"](spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 1
+        rows = df.collect()
+    finally:
+        spark.conf.unset(folded)
+    at = [r.position for r in rows if r.taken]
+    assert len(rows) == 3000 and at == sorted(at) and not any(r.taken for r in rows[len(at):])
+
+
+def test_plan_counts_every_use_of_the_mix(odd):
+    uses, rows = mixing.schedule(odd).collect(), mixing.mix_plan(odd).collect()
+    by = defaultdict(list)
+    for u in uses:
+        by[(u.line, u.place) if u["pass"] else u].append(u)
+    assert max(map(len, by.values())) == 2 and {u["pass"] for u in uses} == {1, 2, None}
+    times = lambda us: [next((u.at for u in us if u["pass"] == n), None) for n in (1, 2)]
+    want = [(us[0].id, us[0]["size"], sum(u.words or 0 for u in us), *times(us)) for us in by.values() if us[0]["pass"]]
+    want += [(u.id, u["size"], 0, None, None) for u in uses if not u["pass"]]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r["size"], r.taken, r.position, r.position_2)) for r in rows)
+
+
 def test_schedules_give_early_and_late_sources(spark):
     df = spark.range(900).selectExpr("id AS doc_id", "'a b c' AS text", "concat('s', id % 3) AS source")
     r = {(x.source_size, round(x.target)): x for x in mixing.mix_plan(df).collect()}
